@@ -35,6 +35,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import edited_fingerprints
+
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
