@@ -35,6 +35,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted
+
+    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import edited_fingerprints
 
