@@ -1,10 +1,640 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries and their SQL oracles.
+
+A query takes (spark, sf_dir) and covers the whole table; its oracle is DuckDB
+SQL over the same tables. Derived doubles are rounded to six places on both
+sides, since sums are taken in another order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features, impute, signal, vector
+from ..functions import sql as sqlfns
+from ..operators import clustering, community, compare, degree, matrix, motifs, paths, trees, visibility, windows
+from ..operators.graph import VisibilityGraph
+from ..operators.statistics import graph_statistics
+from ..sources import generators, sinks
+from ..sources.series import CsvOptions, _lines_to_points, to_arrays
+from . import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# SQL that several oracles start with.
+S = "s as (select user_id as series_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, value as v from events)"
+GAP = "s as (select user_id as series_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, case when event_id % 7 = 0 then null else value end as v from events)"
+_BETWEEN = "over (partition by series_id, src order by dst rows between unbounded preceding and 1 preceding)"
+PAIRS = "p as (select a.series_id, a.idx as src, b.idx as dst, a.v as va, b.v as vb, (b.v - a.v) / (b.idx - a.idx) as slope from s a join s b on a.series_id = b.series_id and a.idx < b.idx)"
+NVG = f"{S}, {PAIRS}, q as (select *, max(slope) {_BETWEEN} as most from p), e as (select series_id, src, dst, va, vb, 1.0::double as weight from q where most is null or slope > most)"
+HVG = f"{S}, {PAIRS}, q as (select *, max(vb) {_BETWEEN} as most from p), e as (select series_id, src, dst, va, vb, 1.0::double as weight from q where most is null or most < least(va, vb))"
+LINKS = "l as (select series_id, src as node, dst as nb from e union all select series_id, dst, src from e)"
+DEG = f"{LINKS}, d as (select s.series_id, s.idx as node, count(l.nb) as degree from s left join l on s.series_id = l.series_id and s.idx = l.node group by all)"
+TRI = "t as (select x.series_id, x.src as a, x.dst as b, y.dst as c from e x join e y on x.series_id = y.series_id and x.dst = y.src join e z on x.series_id = z.series_id and x.src = z.src and y.dst = z.dst)"
+CC = f"{NVG}, {DEG}, {TRI}, k as (select series_id, node, count(*) as links from (select series_id, unnest([a, b, c]) as node from t) group by all), n as (select d.series_id, d.node, coalesce(links, 0) as links, degree * (degree - 1) / 2.0 as triples, case when degree < 2 then 0.0 else coalesce(links, 0) / (degree * (degree - 1) / 2.0) end as cc from d left join k on d.series_id = k.series_id and d.node = k.node)"
+DIST = (
+    f"recursive {NVG}, {LINKS}, h(series_id, s, t, hops) using key (series_id, s, t) as (select series_id, idx, idx, 0 from s union "
+    "select h.series_id, h.s, l.nb, min(h.hops + 1) from h join l on h.series_id = l.series_id and h.t = l.node left join recurring.h r on r.series_id = h.series_id and r.s = h.s and r.t = l.nb where r.hops is null group by all)"
+)
+
+SIGMA = (
+    f"recursive {NVG}, {LINKS}, h(series_id, s, t, hops, sig) using key (series_id, s, t) as (select series_id, idx, idx, 0, 1.0::double from s union "
+    "select h.series_id, h.s, l.nb, min(h.hops + 1), sum(h.sig) from h join l on h.series_id = l.series_id and h.t = l.node left join recurring.h r on r.series_id = h.series_id and r.s = h.s and r.t = l.nb where r.hops is null group by all), "
+    "n as (select series_id, count(*) as n from s group by 1)"
+)
+_THROUGH = "from h a join h b on a.series_id = b.series_id and a.t = b.s join h c on a.series_id = c.series_id and a.s = c.s and b.t = c.t where a.hops > 0 and b.hops > 0 and a.hops + b.hops = c.hops group by all"
+
+
+def _between(part: str) -> str:
+    return f"with {SIGMA}, x as (select a.series_id, a.t as node, sum({part}) as x {_THROUGH}) select s.series_id, s.idx as node, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 6) as betweenness from s join n on s.series_id = n.series_id left join x on s.series_id = x.series_id and s.idx = x.node"
+
+
+# A. Sources and generators.
+@query("series_index", f"with {S} select series_id, idx, v as value from s")
+def _(spark, sf):
+    return tables.events(spark, sf).select("series_id", "idx", "value")
+
+
+@query("series_lengths", f"with {GAP} select series_id, count(*) as n, count(v) as n_valid from s group by 1")
+def _(spark, sf):
+    return tables.gapped(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"))
+
+
+@query("series_arrays", f"with {GAP} select series_id, array_to_string(list(round(v, 2)::decimal(18,2)::varchar order by idx) filter (v is not null), ',') as line from s group by 1")
+def _(spark, sf):
+    a = to_arrays(tables.gapped(spark, sf), keep_missing=False)
+    return a.select("series_id", F.array_join(F.transform("values", lambda x: F.round(x, 2).cast("decimal(18,2)").cast("string")), ",").alias("line"))
+
+
+@query("csv_series", "select row_number() over (order by event_id) - 1 as idx, event_id::double as t, case when event_id % 7 = 0 then null else value end as value from events")
+def _(spark, sf):
+    """Lines of a CSV file, made of ``events``, read as one series."""
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    value = F.when(F.col("event_id") % 7 == 0, "NA").otherwise(F.col("value").cast("string"))
+    lines = df.select(F.col("event_id").alias("n"), F.concat_ws(";", F.lit("x"), F.col("event_id").cast("string"), value).alias("line"))
+    return _lines_to_points(lines, CsvOptions(False, 1, 2, ";", "NA"), "0").select("idx", "t", "value")
+
+
+def _generated(name: str, sql: str, make: Callable[[SparkSession], DataFrame]) -> None:
+    query(f"gen_{name}", sql)(lambda spark, sf: make(spark).select("idx", r6("value").alias("value")))
+
+
+_generated("sine_wave", "select range as idx, round(2 * sin(2 * pi() * 3 * range / 1000), 6) as value from range(1000)", lambda s: generators.sine_wave(s, 1000, 3, 2))
+_generated("multi_frequency", "select range as idx, round(sin(2 * pi() * range / 1000) + sin(2 * pi() * 7 * range / 1000), 6) as value from range(1000)", lambda s: generators.multi_frequency(s, 1000, [1, 7]))
+_generated("sawtooth", "select range as idx, round((range % 7) / 7, 6) as value from range(1000)", lambda s: generators.sawtooth(s, 1000, 7))
+_generated("square_wave", "select range as idx, case when (range // 5) % 2 = 0 then 1.0::double else -1.0 end as value from range(1000)", lambda s: generators.square_wave(s, 1000, 10))
+_generated("step_function", "select range as idx, ([1.5, -2.0, 4.25]::double[])[least(range // 333, 2) + 1] as value from range(1000)", lambda s: generators.step_function(s, 1000, [1.5, -2.0, 4.25]))
+_generated("random_walk", "select range as idx, case when range % 2 = 0 then -1.0::double else 0.0 end as value from range(1000)", lambda s: generators.random_walk(s, 1000, 42))
+_generated("logistic_map", "with recursive x(idx, v) as (select 0::bigint, 0.2::double union all select idx + 1, 3.2 * v * (1 - v) from x where idx < 199) select idx, round(v, 6) as value from x", lambda s: generators.logistic_map(s, 200, 3.2, 0.2))
+_generated(
+    "trend_with_noise",
+    "with recursive x(idx, st) as (select 0::bigint, (42::hugeint * 1664525 + 1013904223) % 18446744073709551616 union all select idx + 1, (((st // 4294967296) * 1664525 % 4294967296) * 4294967296 + (st % 4294967296) * 1664525 + 1013904223) % 18446744073709551616 from x where idx < 199) select idx, round(0.1 * idx + (st / 18446744073709551616.0 - 0.5) * 2, 6) as value from x",
+    lambda s: generators.trend_with_noise(s, 200, 0.1, 2.0, 42),
+)
+
+# C. Imputation.
+_W = "over (partition by series_id order by idx {})"
+_PREV, _NEXT = _W.format("rows between unbounded preceding and 1 preceding"), _W.format("rows between 1 following and unbounded following")
+_LAST, _FIRST = f"last_value(v ignore nulls) {_PREV}", f"first_value(v ignore nulls) {_NEXT}"
+_IMPUTED = {
+    "linear": f"(({_LAST}) + ({_FIRST})) / 2",
+    "ffill": _LAST,
+    "bfill": _FIRST,
+    "mean3": f"avg(v) {_W.format('rows between 1 preceding and 1 following')}",
+    "median5": f"median(v) {_W.format('rows between 2 preceding and 2 following')}",
+    "zero": "0.0::double",
+}
+for _name, _sql in _IMPUTED.items():
+    query(f"impute_{_name}", f"with {GAP} select series_id, idx, round(coalesce(v, {_sql}), 6) as value from s")(lambda spark, sf, k=_name: impute.impute(tables.gapped(spark, sf), k, strict=False).select("series_id", "idx", r6("value").alias("value")))
+
+
+@query("impute_nearest", f"with {GAP}, n as (select *, last_value(case when v is not null then idx end ignore nulls) {_PREV} as a, first_value(case when v is not null then idx end ignore nulls) {_NEXT} as b, {_LAST} as va, {_FIRST} as vb from s) select series_id, idx, round(coalesce(v, case when a is null then vb when b is null or idx - a <= b - idx then va else vb end), 6) as value from n")
+def _(spark, sf):
+    return impute.impute(tables.gapped(spark, sf), "nearest", strict=False).select("series_id", "idx", r6("value").alias("value"))
+
+
+@query("impute_chain", f"with {GAP} select series_id, idx, round(coalesce(v, {_IMPUTED['linear']}, {_LAST}, {_FIRST}), 6) as value from s")
+def _(spark, sf):
+    chain = impute.Missing("linear").with_fallback("ffill").with_fallback("bfill")
+    return impute.impute(tables.gapped(spark, sf), chain).select("series_id", "idx", r6("value").alias("value"))
+
+
+# D. Windows and splits.
+_WINDOWS = f"{GAP}, n as (select series_id, count(*) as n from s group by 1), f as (select series_id, row_number() over (order by series_id) - 1 as series_no, coalesce(sum(greatest((n - 8) // 4 + 1, 0)) over (order by series_id rows between unbounded preceding and 1 preceding), 0) as first from n), w as (select (first + a.idx // 4)::bigint as window_no, a.series_id, series_no, a.idx as window_start, count(b.v) as valid, round(coalesce(sum(b.v), 0), 6) as total from s a join n on a.series_id = n.series_id join f on a.series_id = f.series_id join s b on a.series_id = b.series_id and b.idx between a.idx and a.idx + 7 where a.idx % 4 = 0 and a.idx + 8 <= n.n group by all)"
+
+
+def _windows(spark, sf):
+    return windows.sliding(tables.gapped(spark, sf), 8, 4)
+
+
+@query("sliding_windows", f"with {_WINDOWS}, x as (select series_id, idx, list(v) filter (v is not null) {_W.format('rows between current row and 7 following')} as l from s) select w.window_no, w.series_id, w.series_no, w.window_start, w.total, 8::bigint as steps, coalesce(round(l[1], 6), 0) as first_value from w join x on w.series_id = x.series_id and w.window_start = x.idx")
+def _(spark, sf):
+    w = F.get("window", F.lit(0))
+    return _windows(spark, sf).select("window_no", "series_id", "series_no", "window_start", r6(vector.total(w)).alias("total"), F.size(w).cast("long").alias("steps"), r6(F.get(w, F.lit(0))).alias("first_value"))
+
+
+_SPLIT = "case when {0} < {1} then 'train' when {0} < {1} + {2} then 'val' else 'test' end as split"
+_KEYS = ["window_no", "series_id", "window_start"]
+
+
+@query("split_time", f"with {_WINDOWS}, c as (select count(*) as c from w) select window_no, series_id, window_start, {_SPLIT.format('window_no', 'floor(c * 0.7)', 'floor(c * 0.15)')} from w, c")
+def _(spark, sf):
+    return windows.split(_windows(spark, sf), "time", 0.7, 0.15).select(*_KEYS, "split")
+
+
+@query("split_series", f"with {_WINDOWS}, o as (select series_no, row_number() over (order by (series_no::hugeint * 2654435761) % 4294967296, series_no) - 1 as rank, count(*) over () as c from (select distinct series_no from w)) select window_no, series_id, window_start, {_SPLIT.format('rank', 'floor(c * 0.7)', 'floor(c * 0.15)')} from w join o on w.series_no = o.series_no")
+def _(spark, sf):
+    return windows.split(_windows(spark, sf), "series", 0.7, 0.15).select(*_KEYS, "split")
+
+
+@query("split_rolling", f"with {_WINDOWS} select window_no, series_id, window_start, {_SPLIT.format('window_no', '100', '50')} from w")
+def _(spark, sf):
+    return windows.split(_windows(spark, sf), "rolling", 100, 50).select(*_KEYS, "split")
+
+
+@query("window_batches", f"with {_WINDOWS} select window_no // 32 as batch, count(*) as windows, round(sum(total), 3) as total from w group by 1")
+def _(spark, sf):
+    b = windows.batches(_windows(spark, sf), 32).withColumn("total", vector.total(F.transform("input", lambda x: F.round(x.cast("double"), 2))))
+    return b.groupBy("batch").agg(F.count("*").alias("windows"), F.round(F.sum("total"), 3).alias("total"))
+
+
+# E. Edges.
+@query("nvg_edges", f"with {NVG} select series_id, src, dst, weight from e")
+def _(spark, sf):
+    return visibility.natural(tables.events(spark, sf))
+
+
+@query("hvg_edges", f"with {HVG} select series_id, src, dst, weight from e")
+def _(spark, sf):
+    return visibility.horizontal(tables.events(spark, sf))
+
+
+@query("hvg_edges_reference_mode", f"with {S}, x as (select *, lead(v) over (partition by series_id order by idx) as nx from s), y as (select *, coalesce(sum(case when v > nx then 0 else 1 end) over (partition by series_id order by idx rows between unbounded preceding and 1 preceding), 0) as run from x) select series_id, idx as src, idx + 1 as dst, 1.0::double as weight from y where nx is not null union all select a.series_id, a.idx, b.idx + 1, 1.0 from y a join y b on a.series_id = b.series_id and a.run = b.run and b.idx > a.idx where b.nx is not null and a.nx < b.nx")
+def _(spark, sf):
+    return visibility.horizontal(tables.events(spark, sf), mode="reference")
+
+
+for _name, _sql in {"absdiff": "abs(vb - va)", "distance": "(dst - src)::double", "geomean": "sqrt(abs(va * vb))", "normdiff": "abs(vb - va) / (abs(va) + abs(vb) + 1e-10)"}.items():
+    query(f"nvg_edges_weighted_{_name}", f"with {NVG} select series_id, src, dst, round({_sql}, 6) as weight from e")(lambda spark, sf, k=_name: visibility.natural(tables.events(spark, sf), k).withColumn("weight", r6("weight")))
+
+
+@query("nvg_edges_kernel", ORACLES["nvg_edges"])
+def _(spark, sf):
+    return visibility.natural(tables.events(spark, sf), strategy="kernel")
+
+
+@query("hvg_edges_kernel", ORACLES["hvg_edges"])
+def _(spark, sf):
+    return visibility.horizontal(tables.events(spark, sf), strategy="kernel")
+
+
+_DAILY = "s as (select o_orderpriority as series_id, row_number() over (partition by o_orderpriority order by day) - 1 as idx, revenue as v from (select o_orderpriority, o_orderdate::date as day, round(sum(o_totalprice), 2) as revenue from orders group by all))"
+
+
+@query("nvg_edges_daily_revenue", f"with {NVG.replace(S, _DAILY)} select series_id, count(*) as edges, sum(src)::bigint as src_sum, sum(dst)::bigint as dst_sum from e group by 1")
+def _(spark, sf):
+    e = visibility.natural(tables.prices(spark, sf))
+    return e.groupBy("series_id").agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"))
+
+
+@query("visibility_edges_udtf", f"with {HVG} select series_id, src, dst from e")
+def _(spark, sf):
+    """The table function of SQL over one array for each series."""
+    sqlfns.register(spark)
+    to_arrays(tables.events(spark, sf)).createOrReplaceTempView("series_arrays")
+    return spark.sql("select series_id, e.src, e.dst from series_arrays, lateral visibility_edges(values, 'horizontal') e")
+
+
+# F. Accessors.
+@query("nvg_degree", f"with {NVG}, {DEG} select series_id, node, degree from d")
+def _(spark, sf):
+    return tables.natural(spark, sf).degrees()
+
+
+@query("nvg_degree_directed", f"with {NVG} select s.series_id, s.idx as node, count(e.dst) as degree from s left join e on s.series_id = e.series_id and s.idx = e.src group by all")
+def _(spark, sf):
+    g = tables.natural(spark, sf)
+    return VisibilityGraph(g.nodes, g.edges, directed=True).degrees()
+
+
+@query("nvg_neighbors", f"with {NVG} select series_id, src as node, dst as neighbor, weight from e union all select series_id, dst, src, weight from e")
+def _(spark, sf):
+    return tables.natural(spark, sf).links()
+
+
+@query("nvg_neighbors_of_node", f"with {NVG}, {LINKS} select series_id, nb as neighbor from l where node = 10")
+def _(spark, sf):
+    return tables.natural(spark, sf).neighbors(10).select("series_id", "neighbor")
+
+
+@query("nvg_has_edge", f"with {NVG} select s.series_id, count(e.src) > 0 as has_edge from (select distinct series_id from s) s left join e on s.series_id = e.series_id and src = 3 and dst = 7 group by 1")
+def _(spark, sf):
+    return tables.natural(spark, sf).has_edge(7, 3)
+
+
+@query("nvg_adjacency", f"with {NVG} select series_id, src as row, dst as col, weight from e")
+def _(spark, sf):
+    return tables.natural(spark, sf).adjacency()
+
+
+@query("nvg_adjacency_rows", f"with {NVG} select a.series_id, a.idx as row, string_agg(case when e.src is null then '0' else '1' end, '' order by b.idx) as line from s a join s b on a.series_id = b.series_id left join e on e.series_id = a.series_id and ((e.src = a.idx and e.dst = b.idx) or (e.src = b.idx and e.dst = a.idx)) group by 1, 2")
+def _(spark, sf):
+    rows = tables.natural(spark, sf).adjacency_rows(symmetric=True)
+    return rows.select("series_id", "row", F.array_join(F.transform("entries", lambda x: x.cast("int").cast("string")), "").alias("line"))
+
+
+@query("graph_counts", f"with {NVG}, n as (select series_id, count(*) as node_count from s group by 1), m as (select series_id, count(*) as edge_count from e group by 1) select n.series_id, node_count, coalesce(edge_count, 0) as edge_count from n left join m on n.series_id = m.series_id")
+def _(spark, sf):
+    return tables.natural(spark, sf).counts()
+
+
+# G. Features.
+_Y = "coalesce(v, 0)"
+_O = "(partition by series_id order by idx)"
+_LEAD, _LAG = f"lead({_Y}) over {_O}", f"lag({_Y}) over {_O}"
+_FEATURES = {
+    "delta_forward": f"{_LEAD} - {_Y}",
+    "delta_backward": f"{_Y} - {_LAG}",
+    "delta_symmetric": f"({_LEAD} - {_LAG}) / 2",
+    "local_slope": f"({_LEAD} - {_LAG}) / 2",
+    "acceleration": f"{_LEAD} - 2 * {_Y} + {_LAG}",
+    "local_mean": f"avg({_Y}) {_W.format('rows between 1 preceding and 1 following')}",
+    "local_variance": f"var_pop({_Y}) {_W.format('rows between 1 preceding and 1 following')}",
+    "is_local_max": f"case when {_Y} > {_LAG} and {_Y} > {_LEAD} then 1.0::double else 0.0 end",
+    "is_local_min": f"case when {_Y} < {_LAG} and {_Y} < {_LEAD} then 1.0::double else 0.0 end",
+    "z_score": f"case when count(*) over (partition by series_id) < 2 then null when stddev_pop({_Y}) over (partition by series_id) <= 1e-10 then 0.0 else ({_Y} - avg({_Y}) over (partition by series_id)) / stddev_pop({_Y}) over (partition by series_id) end",
+}
+
+
+def _feature(name: str) -> Query:
+    return lambda spark, sf: features.FeatureSet().add_builtin(name).compute(tables.gapped(spark, sf)).withColumn(name, r6(name))
+
+
+for _name, _sql in _FEATURES.items():
+    query(f"feat_{_name}", f"with {GAP} select series_id, idx as node, round({_sql}, 6) as {_name} from s")(_feature(_name))
+
+
+@query("feat_all_wide", f"with {GAP} select series_id, idx as node, " + ", ".join(f"round({s}, 6) as {k}" for k, s in _FEATURES.items()) + " from s")
+def _(spark, sf):
+    found = features.all_builtin().compute(tables.gapped(spark, sf))
+    return found.select("series_id", "node", *(r6(k).alias(k) for k in features.BUILTIN))
+
+
+@query("feat_custom", f"with {GAP}, f as (select *, coalesce(v, {_LAST}) as y from s) select series_id, idx as node, round(y - avg(y) over (partition by series_id order by idx rows between 4 preceding and current row), 6) as above_trail from f")
+def _(spark, sf):
+    own = features.FeatureSet().with_missing_data_strategy("ffill").add_function("above_trail", lambda y, w: y - F.avg(y).over(w.rowsBetween(-4, 0)))
+    return own.compute(tables.gapped(spark, sf)).withColumn("above_trail", r6("above_trail"))
+
+
+@query("feat_counts", f"with {GAP}, f as (select series_id, {_FEATURES['delta_forward']} as a, {_FEATURES['delta_backward']} as b from s) select series_id, count(a) + count(b) as features from f group by 1")
+def _(spark, sf):
+    found = features.as_map(features.FeatureSet().add_builtin("delta_forward").add_builtin("delta_backward").compute(tables.gapped(spark, sf)))
+    return found.groupBy("series_id").agg(F.sum(F.size("features")).alias("features"))
+
+
+# H. Degrees.
+@query("degree_stats", f"with {NVG}, {DEG} select series_id, count(*) as node_count, round(avg(degree), 6) as average_degree, min(degree) as min_degree, max(degree) as max_degree, round(var_pop(degree), 6) as degree_variance, round(stddev_pop(degree), 6) as degree_std_dev from d group by 1")
+def _(spark, sf):
+    d = degree.degree_stats(tables.natural(spark, sf))
+    return d.select("series_id", "node_count", r6("average_degree").alias("average_degree"), "min_degree", "max_degree", r6("degree_variance").alias("degree_variance"), r6("degree_std_dev").alias("degree_std_dev"))
+
+
+@query("degree_distribution", f"with {NVG}, {DEG} select series_id, degree, count(*) as nodes from d group by 1, 2")
+def _(spark, sf):
+    return degree.degree_distribution(tables.natural(spark, sf))
+
+
+@query("degree_histogram", f"with {NVG}, {DEG}, m as (select series_id, unnest(range(max(degree) + 1)) as degree from d group by 1) select m.series_id, m.degree, count(d.node) as nodes from m left join d on m.series_id = d.series_id and m.degree = d.degree group by 1, 2")
+def _(spark, sf):
+    return degree.degree_histogram(tables.natural(spark, sf))
+
+
+@query("degree_entropy", f"with {NVG}, {DEG}, c as (select series_id, degree, count(*) as c from d group by 1, 2), z as (select series_id, c / sum(c) over (partition by series_id) as z from c) select series_id, round(-sum(z * log2(z)), 6) as degree_entropy from z group by 1")
+def _(spark, sf):
+    return degree.degree_entropy(tables.natural(spark, sf)).select("series_id", r6("degree_entropy").alias("degree_entropy"))
+
+
+@query("degree_centrality", f"with {NVG}, {DEG} select series_id, node, round(degree / (count(*) over (partition by series_id) - 1), 6) as degree_centrality from d")
+def _(spark, sf):
+    return degree.degree_centrality(tables.natural(spark, sf)).withColumn("degree_centrality", r6("degree_centrality"))
+
+
+@query("density", f"with {NVG}, n as (select series_id, count(*) as n from s group by 1), m as (select series_id, count(*) as m from e group by 1) select n.series_id, round(m / (n * (n - 1) / 2), 6) as density from n join m on n.series_id = m.series_id")
+def _(spark, sf):
+    return degree.density(tables.natural(spark, sf)).withColumn("density", r6("density"))
+
+
+_ASSORT = "x as (select e.series_id, a.degree as a, b.degree as b from e join d a on e.series_id = a.series_id and e.src = a.node join d b on e.series_id = b.series_id and e.dst = b.node), y as (select series_id, avg(a * b) - pow(avg((a + b) / 2), 2) as num, avg((a * a + b * b) / 2) - pow(avg((a + b) / 2), 2) as den from x group by 1)"
+
+
+@query("assortativity", f"with {NVG}, {DEG}, {_ASSORT} select series_id, round(case when abs(den) < 1e-10 then 0 else num / den end, 6) as assortativity from y")
+def _(spark, sf):
+    return degree.assortativity(tables.natural(spark, sf)).withColumn("assortativity", r6("assortativity"))
+
+
+# I. Clustering.
+@query("triangles", f"with {NVG}, {TRI} select series_id, a, b, c from t")
+def _(spark, sf):
+    return clustering.triangles(tables.natural(spark, sf))
+
+
+@query("clustering_node", f"with {CC} select series_id, node, round(cc, 6) as clustering from n")
+def _(spark, sf):
+    return clustering.node_clustering(tables.natural(spark, sf)).select("series_id", "node", r6("clustering").alias("clustering"))
+
+
+@query("clustering_graph", f"with {CC} select series_id, round(avg(cc), 6) as average_clustering, round(sum(links) / sum(triples), 6) as global_clustering from n group by 1")
+def _(spark, sf):
+    c = clustering.clustering(tables.natural(spark, sf))
+    return c.select("series_id", r6("average_clustering").alias("average_clustering"), r6("global_clustering").alias("global_clustering"))
+
+
+# J. Paths.
+@query("apsp", f"with {DIST} select series_id, s as source, t as target, hops from h")
+def _(spark, sf):
+    return paths.distances(tables.natural(spark, sf))
+
+
+@query("shortest_path_length", f"with {DIST} select series_id, hops from h where s = 2 and t = 40")
+def _(spark, sf):
+    return paths.shortest_path_length(tables.natural(spark, sf), 2, 40).filter("hops is not null")
+
+
+_PATHS = "ec as (select series_id, s, max(hops) as ecc from h group by 1, 2), pt as (select h.series_id, round(avg(hops) filter (s < t), 6) as average_path_length, max(hops)::bigint as diameter from h group by 1), ra as (select series_id, min(ecc)::bigint as radius from ec group by 1)"
+
+
+@query("path_stats", f"with {DIST}, {_PATHS} select pt.series_id, average_path_length, diameter, radius, true as is_connected from pt join ra on pt.series_id = ra.series_id")
+def _(spark, sf):
+    p = paths.path_stats(paths.node_paths(tables.natural(spark, sf), betweenness=False))
+    return p.withColumn("average_path_length", r6("average_path_length"))
+
+
+@query("components", f"with {S} select series_id, idx as node, 0::bigint as component from s")
+def _(spark, sf):
+    return paths.connected_components(tables.natural(spark, sf))
+
+
+@query("component_stats", f"with {S} select series_id, 1::bigint as num_components, count(*) as largest_component_size from s group by 1")
+def _(spark, sf):
+    return paths.component_stats(tables.natural(spark, sf))
+
+
+# K. Centrality.
+@query("closeness", f"with {DIST} select series_id, s as node, round(case when sum(hops) > 0 then count(*) filter (hops > 0) / sum(hops) else 0 end, 6) as closeness from h group by 1, 2")
+def _(spark, sf):
+    return paths.closeness(paths.node_paths(tables.natural(spark, sf), betweenness=False)).withColumn("closeness", r6("closeness"))
+
+
+@query("betweenness", _between("a.sig * b.sig / c.sig"))
+def _(spark, sf):
+    return paths.betweenness(tables.natural(spark, sf)).withColumn("betweenness", r6("betweenness"))
+
+
+@query("betweenness_reference_mode", _between("a.sig / c.sig"))
+def _(spark, sf):
+    return paths.betweenness(tables.natural(spark, sf), "reference").withColumn("betweenness", r6("betweenness"))
+
+
+# L. Communities.
+@query("communities")
+def _(spark, sf):
+    return community.detect_communities(tables.natural(spark, sf))
+
+
+@query("community_sizes")
+def _(spark, sf):
+    return community.community_sizes(community.detect_communities(tables.natural(spark, sf)))
+
+
+_BLOCKS = f"with {NVG}, {DEG}, m as (select series_id, count(*) as m from e group by 1), i as (select series_id, src // 10 as c, count(*) as i from e where src // 10 = dst // 10 group by 1, 2), g as (select series_id, node // 10 as c, sum(degree) as d from d group by 1, 2) select g.series_id, round(sum(coalesce(i, 0) / ({{}} * m) - pow(d / (2 * m), 2)), 6) as modularity from g join m on g.series_id = m.series_id left join i on g.series_id = i.series_id and g.c = i.c group by 1"
+
+
+def _modularity(variant: str) -> Query:
+    def run(spark, sf):
+        g = tables.natural(spark, sf)
+        blocks = g.nodes.select("series_id", "node", F.floor(F.col("node") / 10).alias("community"))
+        return community.modularity(g, blocks, variant).withColumn("modularity", r6("modularity"))
+
+    return run
+
+
+query("modularity_of_time_blocks", _BLOCKS.format("2.0"))(_modularity("reference"))
+query("modularity_of_time_blocks_standard", _BLOCKS.format("1.0"))(_modularity("standard"))
+
+# M. Motifs.
+_M3 = f"{CC}, z as (select n.series_id, count(*) as n, (sum(d.degree) / 2)::bigint as e, sum(n.triples)::bigint as w, (sum(n.links) / 3)::bigint as t from n join d on n.series_id = d.series_id and n.node = d.node group by 1), y as (select series_id, n, t, w - 3 * t as two, e * (n - 2) - 2 * (w - 3 * t) - 3 * t as one, n * (n - 1) * (n - 2) // 6 as total from z), x as (select series_id, unnest(['empty', 'fork', 'four_edges', 'complete_triangle']) as motif, unnest([0, 1, 2, 3]) as n_edges, unnest([total - one - two - t, one, two, t])::bigint as count, total::bigint as total from y)"
+
+
+@query("motifs3", f"with {_M3} select series_id, motif, n_edges, count, total from x")
+def _(spark, sf):
+    return motifs.motifs3(tables.natural(spark, sf))
+
+
+@query("motif_frequencies", f"with {_M3} select series_id, motif, round(count * 100 / total, 6) as percent from x")
+def _(spark, sf):
+    return motifs.frequencies(motifs.motifs3(tables.natural(spark, sf))).withColumn("percent", r6("percent"))
+
+
+@query("motif_most_frequent", f"with {_M3} select series_id, arg_max(motif, count * 10 + n_edges) as motif, max(count) as count from x group by 1")
+def _(spark, sf):
+    return motifs.most_frequent(motifs.motifs3(tables.natural(spark, sf)))
+
+
+@query("motifs4")
+def _(spark, sf):
+    return motifs.motifs4(tables.natural(spark, sf))
+
+
+@query("motif_significance")
+def _(spark, sf):
+    return motifs.motif_significance(tables.natural(spark, sf), 5).withColumn("z_score", r6("z_score"))
+
+
+# N. Batches and comparison.
+_STATS = f"with {DIST}, {DEG.replace(LINKS + ', ', '')}, {TRI}, k as (select series_id, node, count(*) as links from (select series_id, unnest([a, b, c]) as node from t) group by all), n as (select d.series_id, d.node, degree, coalesce(links, 0) as links, degree * (degree - 1) / 2.0 as triples, case when degree < 2 then 0.0 else coalesce(links, 0) / (degree * (degree - 1) / 2.0) end as cc from d left join k on d.series_id = k.series_id and d.node = k.node), {_PATHS}, {_ASSORT}, c as (select series_id, count(*) as node_count, (sum(degree) / 2)::bigint as edge_count, round(avg(degree), 6) as average_degree, min(degree) as min_degree, max(degree) as max_degree, round(stddev_pop(degree), 6) as degree_std_dev, round(var_pop(degree), 6) as degree_variance, round(avg(cc), 6) as average_clustering, round(sum(links) / sum(triples), 6) as global_clustering from n group by 1), st as (select c.series_id, node_count, edge_count, false as is_directed, average_degree, min_degree, max_degree, degree_std_dev, degree_variance, average_clustering, global_clustering, average_path_length, diameter, radius, round(edge_count / (node_count * (node_count - 1) / 2), 6) as density, true as is_connected, 1::bigint as num_components, node_count as largest_component_size, round(case when abs(den) < 1e-10 then 0 else num / den end, 6) as assortativity, 0::bigint as feature_count from c join pt on c.series_id = pt.series_id join ra on c.series_id = ra.series_id join y on c.series_id = y.series_id)"
+
+
+@query("graph_statistics", f"{_STATS} select * from st")
+def _(spark, sf):
+    stats = graph_statistics(tables.natural(spark, sf))
+    return stats.select(*(r6(c).alias(c) if t == "double" else c for c, t in stats.dtypes))
+
+
+@query("batch_stats", f"{_STATS} select count(*) as num_graphs, round(avg(edge_count), 6) as avg_edges, round(avg(average_clustering), 4) as avg_clustering, round(avg(average_path_length), 4) as avg_path_length, round(avg(density), 4) as avg_density from st")
+def _(spark, sf):
+    b = compare.batch_statistics(graph_statistics(tables.natural(spark, sf)))
+    return b.select("num_graphs", r6("avg_edges").alias("avg_edges"), *(F.round(c, 4).alias(c) for c in ("avg_clustering", "avg_path_length", "avg_density")))
+
+
+@query("compare_nvg_hvg", f"with {NVG}, hq as (select *, max(vb) {_BETWEEN} as hm from p), he as (select series_id, src, dst from hq where hm is null or hm < least(va, vb)), {DEG}, {TRI}, k as (select series_id, node, count(*) as links from (select series_id, unnest([a, b, c]) as node from t) group by all), hl as (select series_id, src as node, dst as nb from he union all select series_id, dst, src from he), hd as (select s.series_id, s.idx as node, count(hl.nb) as degree from s left join hl on s.series_id = hl.series_id and s.idx = hl.node group by all), ht as (select x.series_id, x.src as a, x.dst as b, y.dst as c from he x join he y on x.series_id = y.series_id and x.dst = y.src join he z on x.series_id = z.series_id and x.src = z.src and y.dst = z.dst), hk as (select series_id, node, count(*) as links from (select series_id, unnest([a, b, c]) as node from ht) group by all), n as (select d.series_id, d.degree as x, hd.degree as y, case when d.degree < 2 then 0.0 else coalesce(k.links, 0) / (d.degree * (d.degree - 1) / 2.0) end as cx, case when hd.degree < 2 then 0.0 else coalesce(hk.links, 0) / (hd.degree * (hd.degree - 1) / 2.0) end as cy from d join hd on d.series_id = hd.series_id and d.node = hd.node left join k on d.series_id = k.series_id and d.node = k.node left join hk on d.series_id = hk.series_id and d.node = hk.node) select series_id, round(sum(y) / sum(x), 6) as edge_overlap, round(corr(x, y), 6) as degree_correlation, round(abs(avg(cx) - avg(cy)), 6) as clustering_diff, round(abs(sum(x) - sum(y)) / (count(*) * (count(*) - 1)), 6) as density_diff from n group by 1")
+def _(spark, sf):
+    c = compare.compare(tables.natural(spark, sf), tables.horizontal(spark, sf))
+    return c.select("series_id", *(r6(x).alias(x) for x in c.columns[1:]))
+
+
+# O. Signals.
+_FFT = f"{S}, x as (select series_id, idx, list(v) {_W.format('rows between 8 preceding and 7 following')} as l from s), m as (select series_id, idx, k, sqrt(pow(list_sum(list_transform(range(len(l)), lambda n: l[n + 1] * cos(2 * pi() * k * n / 16))), 2) + pow(list_sum(list_transform(range(len(l)), lambda n: l[n + 1] * sin(2 * pi() * k * n / 16))), 2)) as mag from x, range(16) r(k))"
+
+
+@query("fft_dominant", f"with {_FFT} select series_id, idx, arg_max(k, round(mag, 9) * 1000 + k * 1e-9)::int as bin from m where k between 1 and 8 group by 1, 2")
+def _(spark, sf):
+    found = signal.fft_windows(tables.events(spark, sf), 16)
+    return found.select("series_id", "idx", signal.dominant_frequency(F.col("magnitudes")).alias("bin"))
+
+
+@query("spectral_energy", f"with {_FFT} select series_id, idx, round(sum(mag * mag), 4) as energy from m where k between 1 and 4 group by 1, 2")
+def _(spark, sf):
+    found = signal.fft_windows(tables.events(spark, sf), 16)
+    return found.select("series_id", "idx", F.round(signal.spectral_energy(F.col("magnitudes"), 1, 5), 4).alias("energy"))
+
+
+_HAAR = f"{S}, h1 as (select series_id, idx // 2 as k, (max(v) filter (idx % 2 = 0) + max(v) filter (idx % 2 = 1)) / sqrt(2) as a, (max(v) filter (idx % 2 = 0) - max(v) filter (idx % 2 = 1)) / sqrt(2) as d from s group by 1, 2 having count(*) = 2)"
+for _k in (2, 3):
+    _HAAR += f", h{_k} as (select series_id, k // 2 as k, (max(a) filter (k % 2 = 0) + max(a) filter (k % 2 = 1)) / sqrt(2) as a, (max(a) filter (k % 2 = 0) - max(a) filter (k % 2 = 1)) / sqrt(2) as d from h{_k - 1} group by 1, h{_k - 1}.k // 2 having count(*) = 2)"
+
+
+@query("haar_levels", f"with {_HAAR} " + " union all ".join(f"select series_id, {k} as level, k, round(a, 6) as approximation, round(d, 6) as detail from h{k}" for k in (1, 2, 3)))
+def _(spark, sf):
+    found = signal.haar_levels(tables.events(spark, sf), 3)
+    return found.select("series_id", "level", "k", r6("approximation").alias("approximation"), r6("detail").alias("detail"))
+
+
+@query("wavelet_energy", f"with {_HAAR} select series_id, round(sum(d * d), 4) as energy from h2 group by 1")
+def _(spark, sf):
+    return signal.wavelet_energy(tables.events(spark, sf), 2).select("series_id", F.round("energy", 4).alias("energy"))
+
+
+def _matches(m: int) -> str:
+    near = " and ".join(f"abs(a.l[{d}] - b.l[{d}]) <= 20" for d in range(1, m + 1))
+    return f"(select series_id, count(*) as c from t a join t b using (series_id) where a.idx <> b.idx and a.idx < a.n - {m} and b.idx < b.n - {m} and {near} group by 1)"
+
+
+@query("sample_entropy", f"with {S}, t as (select series_id, idx, count(*) over (partition by series_id) as n, list(v) {_W.format('rows between current row and 2 following')} as l from s), z as (select distinct series_id, n from t), a as {_matches(2)}, b as {_matches(3)} select z.series_id, round(case when a.c is null or b.c is null then 0 else -ln((b.c / ((n - 3) * (n - 4))) / (a.c / ((n - 2) * (n - 3)))) end, 6) as sample_entropy from z left join a on z.series_id = a.series_id left join b on z.series_id = b.series_id")
+def _(spark, sf):
+    return signal.sample_entropy(tables.events(spark, sf), 2, 20.0).withColumn("sample_entropy", r6("sample_entropy"))
+
+
+@query("hurst", f"with {S}, x as (select *, v - avg(v) over (partition by series_id) as d from s), c as (select *, sum(d) over (partition by series_id order by idx) as c from x) select series_id, round(ln((max(c) - min(c)) / stddev_pop(v)) / ln(count(*)), 6) as hurst from c group by 1")
+def _(spark, sf):
+    return signal.hurst_exponent(tables.events(spark, sf)).withColumn("hurst", r6("hurst"))
+
+
+# P. Vectors.
+@query("vec_stats", "with x as (select vec_id, list_transform(embedding, lambda e: e::double) as e from embeddings) select vec_id, round(list_sum(e), 5) as total, round(list_avg(e), 5) as mean, round(list_var_pop(e), 5) as variance from x")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    a = F.col("embedding")
+    return e.select("vec_id", *(F.round(f(a), 5).alias(k) for k, f in (("total", vector.total), ("mean", vector.mean), ("variance", vector.variance))))
+
+
+@query("vec_dot_add", "select a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 5) as dot, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double + b.embedding[i]::double)), 5) as added from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(b, "vec_id").select("vec_id", F.round(vector.dot(F.col("embedding"), F.col("b")), 5).alias("dot"), F.round(vector.total(vector.add(F.col("embedding"), F.col("b"))), 5).alias("added"))
+
+
+# Q. Matrices.
+@query("laplacian", f"with {NVG}, {DEG} select series_id, node as row, node as col, degree::double as value from d where degree > 0 union all select series_id, src, dst, -1.0 from e union all select series_id, dst, src, -1.0 from e")
+def _(spark, sf):
+    return matrix.laplacian(tables.natural(spark, sf))
+
+
+@query("matrix_features", f"with {S}, f as (select series_id, idx as node, coalesce(lead(v) over {_O} - v, 0) as a, coalesce(lead(v) over {_O} - 2 * v + lag(v) over {_O}, 0) as b from s) select series_id, node, round(b, 6) as x0, round(a, 6) as x1 from f")
+def _(spark, sf):
+    own = features.FeatureSet().add_builtin("delta_forward").add_builtin("acceleration")
+    g = VisibilityGraph.from_series(tables.events(spark, sf)).with_features(own).natural_visibility()
+    return matrix.features(g).select("series_id", "node", *(r6(F.get("row", F.lit(k))).alias(f"x{k}") for k in range(2)))
+
+
+@query("graph_energy", f"with {NVG} select series_id, round(sqrt(2.0 * count(*)), 6) as graph_energy from e group by 1")
+def _(spark, sf):
+    return matrix.graph_energy(tables.natural(spark, sf)).withColumn("graph_energy", r6("graph_energy"))
+
+
+@query("dominant_eigenvalue")
+def _(spark, sf):
+    return matrix.dominant_eigenvalue(tables.natural(spark, sf)).withColumn("eigenvalue", r6("eigenvalue"))
+
+
+@query("random_walk_stationary", "with recursive " + f"{NVG}, {DEG}, w(k, series_id, node, p) as (select 0, series_id, node, 1.0::double / count(*) over (partition by series_id) from d union all select k + 1, series_id, node, p from (select w.k, w.series_id, l.nb as node, sum(w.p / d.degree) as p from w join l on w.series_id = l.series_id and w.node = l.node join d on w.series_id = d.series_id and w.node = d.node where w.k < 10 group by 1, 2, 3)) select series_id, node, round(p, 6) as probability from w where k = 10")
+def _(spark, sf):
+    return matrix.random_walk_stationary(tables.natural(spark, sf), 10).withColumn("probability", r6("probability"))
+
+
+# R. Trees and orders.
+@query("dijkstra_from_0", f"with {DIST} select series_id, t as node, hops::double as distance from h where s = 0")
+def _(spark, sf):
+    return paths.dijkstra(tables.natural(spark, sf), 0)
+
+
+@query("lightest_edges", f"with {NVG}, n as (select series_id, count(*) as n from s group by 1), r as (select series_id, src, dst, round(abs(vb - va), 6) as weight, row_number() over (partition by series_id order by abs(vb - va), src, dst) as k from e) select r.series_id, src, dst, weight from r join n on r.series_id = n.series_id where k <= n - 1")
+def _(spark, sf):
+    g = VisibilityGraph.from_series(tables.events(spark, sf)).with_weight("absdiff").natural_visibility()
+    return trees.lightest_edges(g).withColumn("weight", r6("weight"))
+
+
+@query("mst")
+def _(spark, sf):
+    g = VisibilityGraph.from_series(tables.events(spark, sf)).with_weight("absdiff").natural_visibility()
+    return trees.minimum_spanning_tree(g).withColumn("weight", r6("weight"))
+
+
+@query("scc", f"with {S} select series_id, idx as node, idx as component from s")
+def _(spark, sf):
+    return trees.strongly_connected_components(tables.natural(spark, sf))
+
+
+@query("topological_order", f"with {S} select series_id, idx as node, idx as position from s")
+def _(spark, sf):
+    return trees.topological_sort(tables.natural(spark, sf))
+
+
+# B. Sinks.
+@query("export_edge_list_csv", f"with {NVG} select series_id, 'source,target,weight' || chr(10) || string_agg(src || ',' || dst || ',1', chr(10) order by src, dst) as text from e group by 1")
+def _(spark, sf):
+    return sinks.to_edge_list_csv(tables.natural(spark, sf))
+
+
+@query("export_json", f"with {NVG}, n as (select series_id, count(*) as n from s group by 1), j as (select series_id, string_agg('{{\"source\":' || src || ',\"target\":' || dst || '}}', ',' order by src, dst) as j from e group by 1) select n.series_id, '{{\"nodes\":' || n || ',\"edges\":[' || coalesce(j, '') || ']}}' as json from n left join j on n.series_id = j.series_id")
+def _(spark, sf):
+    return sinks.to_json(tables.natural(spark, sf), sinks.JsonOptions(include_weights=False))
+
+
+@query("export_dot")
+def _(spark, sf):
+    return sinks.to_dot(tables.natural(spark, sf))
+
+
+@query("export_graphml")
+def _(spark, sf):
+    return sinks.to_graphml(tables.natural(spark, sf))
+
+
+@query("export_adjacency_csv")
+def _(spark, sf):
+    return sinks.to_adjacency_csv(tables.natural(spark, sf))
+
+
+@query("export_npy")
+def _(spark, sf):
+    return sinks.to_npy(tables.natural(spark, sf))
