@@ -59,7 +59,7 @@ def z_score(y: Column, w: WindowSpec) -> Column:
     """By the whole series; null for a single sample, 0 where there is no spread."""
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sd = F.stddev_pop(y).over(whole)
-    return F.when(F.count(y).over(whole) < 2, None).when(sd <= 1e-10, 0.0).otherwise((y - F.avg(y).over(whole)) / sd)
+    return F.when(F.count(y).over(whole) < 2, None).when(sd <= 1e-10, 0.0).otherwise(F.try_divide(y - F.avg(y).over(whole), sd))
 
 
 BUILTIN: dict[str, Feature] = {

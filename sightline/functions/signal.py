@@ -84,10 +84,10 @@ def sample_entropy(series: DataFrame, m: int, r: float) -> DataFrame:
             return out
 
         matches = F.aggregate(starts, F.lit(0).cast("long"), lambda s, i: s + F.size(F.filter(starts, lambda j: (i != j) & near(i, j))))
-        return F.when(count > 1, matches / (count * (count - 1)).cast("double")).otherwise(0.0)
+        return F.when(count > 1, F.try_divide(matches, (count * (count - 1)).cast("double"))).otherwise(0.0)
 
     shares = arrays.select("series_id", n.alias("n"), share(m).alias("p"), share(m + 1).alias("q"))
-    return shares.select("series_id", F.when((F.col("n") <= m + 1) | (F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise(-F.log(F.col("q") / F.col("p"))).alias("sample_entropy"))
+    return shares.select("series_id", F.when((F.col("n") <= m + 1) | (F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise(-F.log(F.try_divide(F.col("q"), F.col("p")))).alias("sample_entropy"))
 
 
 def hurst_exponent(series: DataFrame) -> DataFrame:
@@ -95,5 +95,5 @@ def hurst_exponent(series: DataFrame) -> DataFrame:
     whole = Window.partitionBy("series_id")
     spread = series.withColumn("d", F.col("value") - F.avg("value").over(whole)).withColumn("c", F.sum("d").over(order()))
     found = spread.groupBy("series_id").agg(F.count("*").alias("n"), (F.max("c") - F.min("c")).alias("range"), F.stddev_pop("value").alias("s"))
-    ratio = F.col("range") / F.nullif(F.col("s"), F.lit(0.0))
-    return found.select("series_id", F.when((F.col("n") < 10) | ratio.isNull() | (ratio <= 0), 0.5).otherwise(F.log(ratio) / F.log(F.col("n").cast("double"))).alias("hurst"))
+    ratio = F.try_divide(F.col("range"), F.col("s"))
+    return found.select("series_id", F.when((F.col("n") < 10) | ratio.isNull() | (ratio <= 0), 0.5).otherwise(F.try_divide(F.log(ratio), F.log(F.col("n").cast("double")))).alias("hurst"))

@@ -31,10 +31,10 @@ def node_clustering(g: VisibilityGraph) -> DataFrame:
     """series_id, node, clustering, with links and triples that it is made of; 0 for a degree below 2."""
     both = g.degrees().join(_closed(g), ["series_id", "node"], "left").withColumn("links", F.coalesce("links", F.lit(0)))
     triples = F.col("degree") * (F.col("degree") - 1) / 2
-    return both.select("series_id", "node", F.when(F.col("degree") < 2, 0.0).otherwise(F.col("links") / triples).alias("clustering"), "links", triples.alias("triples"))
+    return both.select("series_id", "node", F.when(F.col("degree") < 2, 0.0).otherwise(F.try_divide(F.col("links"), triples)).alias("clustering"), "links", triples.alias("triples"))
 
 
 def clustering(g: VisibilityGraph) -> DataFrame:
     """series_id, average_clustering, global_clustering."""
     sums = node_clustering(g).groupBy("series_id").agg(F.avg("clustering").alias("average_clustering"), F.sum("links").alias("links"), F.sum("triples").alias("triples"))
-    return sums.select("series_id", "average_clustering", F.when(F.col("triples") > 0, F.col("links") / F.col("triples")).otherwise(0.0).alias("global_clustering"))
+    return sums.select("series_id", "average_clustering", F.when(F.col("triples") > 0, F.try_divide(F.col("links"), F.col("triples"))).otherwise(0.0).alias("global_clustering"))

@@ -17,9 +17,9 @@ def compare(a: VisibilityGraph, b: VisibilityGraph) -> DataFrame:
     y = b.edges.select("series_id", "src", "dst", F.lit(1).alias("y"))
     overlap = x.join(y, ["series_id", "src", "dst"], "full").groupBy("series_id").agg((F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)) / F.count("*")).alias("edge_overlap"))
     da, db = a.degrees().withColumnRenamed("degree", "x"), b.degrees().withColumnRenamed("degree", "y")
-    both = da.join(db, ["series_id", "node"], "full").groupBy("series_id").agg(F.count("x").alias("nx"), F.count("y").alias("ny"), F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    flat = (F.col("sx") == 0) | (F.col("sy") == 0) | F.col("r").isNull() | F.isnan("r")
-    corr = both.select("series_id", F.when((F.col("nx") == F.col("n")) & (F.col("ny") == F.col("n")), F.when(flat, 1.0).otherwise(F.col("r"))).alias("degree_correlation"))
+    both = da.join(db, ["series_id", "node"], "full").groupBy("series_id").agg(F.count("x").alias("nx"), F.count("y").alias("ny"), F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    flat = (F.col("sx") == 0) | (F.col("sy") == 0)
+    corr = both.select("series_id", F.when((F.col("nx") == F.col("n")) & (F.col("ny") == F.col("n")), F.when(flat, 1.0).otherwise(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")))).alias("degree_correlation"))
     cc = clustering(a).select("series_id", F.col("average_clustering").alias("ca")).join(clustering(b).select("series_id", F.col("average_clustering").alias("cb")), "series_id").select("series_id", F.abs(F.col("ca") - F.col("cb")).alias("clustering_diff"))
     dd = density(a).withColumnRenamed("density", "da").join(density(b).withColumnRenamed("density", "db"), "series_id").select("series_id", F.abs(F.col("da") - F.col("db")).alias("density_diff"))
     return corr.join(overlap, "series_id", "left").join(cc, "series_id").join(dd, "series_id").select("series_id", F.coalesce("edge_overlap", F.lit(0.0)).alias("edge_overlap"), "degree_correlation", "clustering_diff", "density_diff")

@@ -33,11 +33,11 @@ def degree_entropy(g: VisibilityGraph) -> DataFrame:
 
 def degree_centrality(g: VisibilityGraph) -> DataFrame:
     n = g.nodes.groupBy("series_id").agg(F.count("*").alias("n"))
-    return g.degrees().join(n, "series_id").select("series_id", "node", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0).alias("degree_centrality"))
+    return g.degrees().join(n, "series_id").select("series_id", "node", F.when(F.col("n") > 1, F.try_divide(F.col("degree"), F.col("n") - 1)).otherwise(0.0).alias("degree_centrality"))
 
 
 def density_of(n: Column, m: Column) -> Column:
-    return F.when(n < 2, 0.0).otherwise(m / (n * (n - 1) / 2))
+    return F.when(n < 2, 0.0).otherwise(F.try_divide(m, n * (n - 1) / 2))
 
 
 def density(g: VisibilityGraph) -> DataFrame:
@@ -51,5 +51,5 @@ def assortativity(g: VisibilityGraph) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     sums = ends.groupBy("series_id").agg(F.avg(a * b).alias("ab"), F.avg((a + b) / 2).alias("h"), F.avg((a * a + b * b) / 2).alias("q"))
     num, den = F.col("ab") - F.col("h") * F.col("h"), F.col("q") - F.col("h") * F.col("h")
-    found = sums.select("series_id", F.when(F.abs(den) < 1e-10, 0.0).otherwise(num / den).alias("assortativity"))
+    found = sums.select("series_id", F.when(F.abs(den) < 1e-10, 0.0).otherwise(F.try_divide(num, den)).alias("assortativity"))
     return g.nodes.select("series_id").distinct().join(found, "series_id", "left").select("series_id", F.coalesce("assortativity", F.lit(0.0)).alias("assortativity"))

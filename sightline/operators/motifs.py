@@ -111,6 +111,6 @@ def most_frequent(motifs: DataFrame) -> DataFrame:
 
 def frequencies(motifs: DataFrame) -> DataFrame:
     """In percent of all subgraphs."""
-    return motifs.select("series_id", "motif", F.when(F.col("total") > 0, F.col("count") * 100.0 / F.col("total")).otherwise(0.0).alias("percent"))
+    return motifs.select("series_id", "motif", F.when(F.col("total") > 0, F.try_divide(F.col("count") * 100.0, F.col("total"))).otherwise(0.0).alias("percent"))
 
 

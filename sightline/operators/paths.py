@@ -187,11 +187,11 @@ def path_stats(nodes: DataFrame) -> DataFrame:
     """From ``node_paths``: series_id, average_path_length (over connected i < j), diameter, radius, is_connected."""
     first = F.max(F.when(F.col("node") == 0, F.col("reached")))
     sums = nodes.groupBy("series_id").agg(F.sum("later").alias("pairs"), F.sum("later_hops").alias("hops"), F.max("later_most").alias("diameter"), F.min("eccentricity").alias("radius"), first.alias("first"), F.count("*").alias("n"))
-    return sums.select("series_id", F.when(F.col("pairs") > 0, F.col("hops") / F.col("pairs")).otherwise(0.0).alias("average_path_length"), "diameter", "radius", (F.col("first") == F.col("n") - 1).alias("is_connected"))
+    return sums.select("series_id", F.when(F.col("pairs") > 0, F.try_divide(F.col("hops"), F.col("pairs"))).otherwise(0.0).alias("average_path_length"), "diameter", "radius", (F.col("first") == F.col("n") - 1).alias("is_connected"))
 
 
 def closeness(nodes: DataFrame) -> DataFrame:
-    return nodes.select("series_id", "node", F.when(F.col("hops") > 0, F.col("reached") / F.col("hops")).otherwise(0.0).alias("closeness"))
+    return nodes.select("series_id", "node", F.when(F.col("hops") > 0, F.try_divide(F.col("reached"), F.col("hops"))).otherwise(0.0).alias("closeness"))
 
 
 def betweenness(g: VisibilityGraph, variant: str = "brandes") -> DataFrame:
