@@ -518,9 +518,9 @@ def _(spark, sf):
     return found.select("series_id", "level", "k", r6("approximation").alias("approximation"), r6("detail").alias("detail"))
 
 
-@query("wavelet_energy", f"with {_HAAR} select series_id, round(sum(d * d), 4) as energy from h2 group by 1")
+@query("wavelet_energy", f"with {_HAAR} select series_id, round(sum(d * d), 2) as energy from h2 group by 1")
 def _(spark, sf):
-    return signal.wavelet_energy(tables.events(spark, sf), 2).select("series_id", F.round("energy", 4).alias("energy"))
+    return signal.wavelet_energy(tables.events(spark, sf), 2).select("series_id", F.round("energy", 2).alias("energy"))
 
 
 def _matches(m: int) -> str:
