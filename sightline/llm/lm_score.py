@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from .common import Scratch, map_batches
 from .labelled import held_out
 
-HEAD, RARE, DIM, ORDER, LONG = 320, 64, 32, 4, 24
-KNOWN, WARM_DOCS, WARM_EPOCHS, NOISE, BATCH = 200_000, 1500, 4, 96, 512
+HEAD, RARE, DIM, ORDER, LONG = 192, 32, 32, 2, 24
+KNOWN, WARM_DOCS, WARM_EPOCHS, NOISE, BATCH = 100_000, 1500, 10, 48, 2048
 RATE, MIX_RATE = 0.15, 0.05
 FOLDS, FOLD = 7, 2
 CLASSES = HEAD + RARE
@@ -106,8 +106,10 @@ class Model:
         n = len(ids)
         padded = np.concatenate([np.full(LONG, end), ids[:-1]])
         at = [padded[LONG - 1 - d : LONG - 1 - d + n] for d in range(ORDER)]
-        sums = np.cumsum(np.concatenate([np.zeros((1, DIM)), self.vectors[padded]]), axis=0)
-        long = ((sums[LONG : LONG + n] - sums[:n]) / LONG).astype(np.float32)
+        sums = np.zeros((len(padded) + 1, DIM), np.float32)
+        np.cumsum(self.vectors[padded], axis=0, out=sums[1:])
+        long = sums[LONG : LONG + n] - sums[:n]
+        long /= LONG
         out = long * self.places[ORDER]
         for d, k in enumerate(at):
             out += self.vectors[k] * self.places[d]
@@ -116,17 +118,17 @@ class Model:
     def log10s(self, ids: np.ndarray, end: int) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
         out = np.empty(len(ids))
-        for lo in range(0, len(ids), 8192):
+        weights = np.ascontiguousarray(self.outputs.T)
+        for lo in range(0, len(ids), 4096):
             first = max(0, lo - LONG)
-            context = self.contexts(ids[first : lo + 8192], end)[0][lo - first :] if lo else self.contexts(ids[:8192], end)[0]
+            context = self.contexts(ids[first : lo + 4096], end)[0][lo - first :]
             for at in range(0, len(context), 1024):
-                s = context[at : at + 1024] @ self.outputs.T
+                s = context[at : at + 1024] @ weights
                 s += self.bias
                 own = s[np.arange(len(s)), ids[lo + at : lo + at + len(s)]]
-                top = s.max(axis=1)
-                s -= top[:, None]
+                np.minimum(s, 80, out=s)  # scores stay far below; the bound keeps the sum finite
                 np.exp(s, out=s)
-                out[lo + at : lo + at + len(s)] = own - top - np.log(s.sum(axis=1))
+                out[lo + at : lo + at + len(s)] = np.minimum(own, 80) - np.log(s.sum(axis=1))
         return out / LOG10
 
 
@@ -139,36 +141,56 @@ class Trainer:
         self.cumulated = np.cumsum(noise)
         self.rng = np.random.default_rng(3)
         self.squares = [np.full_like(p, 0.01) for p in model.parts()]
+        self.held: list[np.ndarray] = []
+        self.size = 0
 
     def _move(self, k: int, rows: np.ndarray | None, g: np.ndarray) -> None:
         p, q = self.m.parts()[k], self.squares[k]
         if rows is None:
             q += g * g
             p -= self.rate * g / np.sqrt(q)
-        else:
-            some, inverse = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(some), *p.shape[1:]), np.float32)
-            np.add.at(total, inverse, g)
-            q[some] += total * total
-            p[some] -= self.rate * total / np.sqrt(q[some])
+            return
+        order = np.argsort(rows.astype(np.int16), kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        some, total = ordered[first], np.add.reduceat(g[order], first, axis=0)
+        moved = q[some] + total * total
+        q[some] = moved
+        p[some] -= self.rate * total / np.sqrt(moved)
 
     def text(self, ids: np.ndarray) -> None:
+        """Texts are trained on in batches; ends stand between them, which are no targets."""
+        self.held += [ids, np.full(LONG, self.end)]
+        self.size += len(ids) + LONG
+        if self.size >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.size:
+            return
+        ids = np.concatenate(self.held)
+        own = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(self.held)])
+        self.held, self.size = [], 0
         for at in range(0, len(ids), BATCH):
-            self.step(ids[max(0, at - LONG) : at + BATCH], min(at, LONG))
+            first = max(0, at - LONG)
+            self.step(ids[first : at + BATCH], own[at : at + BATCH], at - first)
 
-    def step(self, ids: np.ndarray, skip: int) -> None:
+    def step(self, ids: np.ndarray, own: np.ndarray, skip: int) -> None:
         m = self.m
         context, places, long = m.contexts(ids, self.end)
-        context, places, long, target = context[skip:], [k[skip:] for k in places], long[skip:], ids[skip:]
+        context, places, long, target = context[skip:][own], [k[skip:][own] for k in places], long[skip:][own], ids[skip:][own]
+        if not len(target):
+            return
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), CLASSES - 1)
-        right = (context * m.outputs[target]).sum(1) + m.bias[target] - self.log_noise[target]
+        own_out = m.outputs[target]
+        right = np.einsum("ij,ij->i", context, own_out) + m.bias[target] - self.log_noise[target]
         wrong = context @ m.outputs[noise].T + m.bias[noise] - self.log_noise[noise]
         g_right = (1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1).astype(np.float32) / len(target)
         g_wrong = (1 / (1 + np.exp(-np.clip(wrong, -30, 30)))).astype(np.float32) / len(target)
-        g_context = g_right[:, None] * m.outputs[target] + g_wrong @ m.outputs[noise]
+        g_context = g_right[:, None] * own_out + g_wrong @ m.outputs[noise]
         g_out = np.concatenate([g_right[:, None] * context, g_wrong.T @ context])
         rows = np.concatenate([target, noise])
-        g_places = np.stack([(g_context * m.vectors[k]).sum(0) for k in places] + [(g_context * long).sum(0)])
+        g_places = np.stack([np.einsum("ij,ij->j", g_context, m.vectors[k]) for k in places] + [np.einsum("ij,ij->j", g_context, long)])
         g_in = np.concatenate([g_context * m.places[d] for d in range(ORDER)])
         self._move(2, rows, g_out)
         self._move(3, rows, np.concatenate([g_right, g_wrong.sum(0)]))
@@ -204,6 +226,20 @@ def _counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, COUNTS).groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, types: int) -> list[tuple[bytes, int]]:
+    """At most KNOWN tokens, by a count that they exceed; so no more than these leave the executors."""
+    least = 0
+    if types > KNOWN:
+        run = 0
+        for c, n in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(KNOWN).toArrow().to_pandas().itertuples(index=False):
+            run += n
+            if run > KNOWN:
+                least = int(c)
+                break
+    found = counts.filter(F.col("c") > least).toArrow()
+    return sorted(zip(found.column("w").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int) -> Model:
     """The mean, by tokens, of what each partition makes of the parameters."""
 
@@ -218,6 +254,7 @@ def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int) -> Mod
                 ids = words.classes[words.encode(text.as_py())[0]].astype(np.int64)
                 trainer.text(ids)
                 n += len(ids)
+        trainer.flush()
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([(model.flat().astype(np.float64) * n).tobytes()], pa.binary())], names=MIXED.names)
 
@@ -240,7 +277,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
     train = docs.filter(~held_out(F.col("doc_id"), folds, fold))
     counts = scratch.keep(_counts(train))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(KNOWN).collect()]
+    top = _most_frequent(counts, types)
     if END not in dict(top[:HEAD]):  # without training texts, or where ends are rare: the end keeps a class of its own
         top = [(END, dict(top).get(END, 0)), *(x for x in top if x[0] != END)][:KNOWN]
     # Sums of the rare classes over all training tokens.
@@ -265,6 +302,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
     for _ in range(WARM_EPOCHS):
         for ids in texts:
             trainer.text(ids)
+        trainer.flush()
     start = sc.broadcast(model.flat())
     final = sc.broadcast(_mixed(train, lexicon, start, noise, end).flat())
     log_z = np.concatenate([np.zeros(HEAD), np.log10(z)])
