@@ -38,27 +38,39 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one job in the shared folder: they cut lineage and survive lost executors."""
+    """Tables of one job in the shared folder: they cut lineage and survive lost executors.
+
+    What a job returns may still read some of them, so they stay until
+    ``clean_up`` or until the folder is emptied; what nothing reads any more is dropped at once.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self._paths: dict[int, str] = {}
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back."""
-        self._n += 1
-        path = f"{self.root}/{self._n}"
+        self.n += 1
+        path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        self._last = out
+        out._scratch_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in dfs:
-            if path := self._paths.pop(id(df), None):
-                _delete(self.spark, path)
+            _delete(self.spark, df._scratch_path)
+
+
+#: Folders of all jobs of this process.
+_roots: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables of all jobs so far; their results must have been written or read by then."""
+    while _roots:
+        _delete(spark, _roots.pop())
 
 
 def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[dict[str, list]], list[tuple]]], slice_rows: int = 256) -> DataFrame:
