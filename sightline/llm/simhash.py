@@ -184,13 +184,18 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     own, members = _resolve(docs, shingle, scratch)
+    return first_rows(docs, own, members, lambda text: int(np.uint64(fingerprint(text, shingle)).astype(np.int64)), scratch)
+
+
+def first_rows(docs: DataFrame, own: DataFrame, members: DataFrame, fp_of_text: Callable[[str | None], int], scratch: Scratch) -> DataFrame:
+    """One row of ``docs`` for each component, by the fingerprints (signed) of its rows and the components of these."""
     first = own.join(members, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = scratch.keep(first.groupBy("doc_id").agg(F.count("*").alias("n")))
     single, several = kept.filter("n = 1 and doc_id is not null").select("doc_id"), kept.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
 
     @F.pandas_udf("long")
     def fp_of(text: pd.Series) -> pd.Series:
-        return pd.Series([np.uint64(fingerprint(t, shingle)).astype(np.int64) for t in text], dtype="int64")
+        return pd.Series([fp_of_text(t) for t in text], dtype="int64")
 
     odd = docs.join(several, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").select(F.struct(*docs.columns).alias("row"), fp_of("text").alias("fp"))
     odd = odd.join(members, "fp").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
