@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from .common import Scratch, map_batches
 from .labelled import held_out
 
-HEAD, RARE, DIM, ORDER, LONG = 192, 32, 32, 2, 24
-KNOWN, WARM_DOCS, WARM_EPOCHS, NOISE, BATCH = 100_000, 1500, 10, 48, 2048
+HEAD, RARE, DIM, ORDER, LONG = 320, 64, 32, 4, 24
+KNOWN, WARM_DOCS, WARM_EPOCHS, NOISE, BATCH = 100_000, 1500, 10, 96, 2048
 RATE, MIX_RATE = 0.15, 0.05
 FOLDS, FOLD = 7, 2
 CLASSES = HEAD + RARE
