@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,17 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of output gathered before an Arrow batch is handed back to the JVM.
-OUT_ROWS = 4096
+#: Rows of output, and bytes of input behind them, after which an Arrow batch is handed back to the JVM.
+OUT_ROWS, OUT_BYTES = 4096, 4 << 20
+
+
+def fresh(df: DataFrame, n: int = 0) -> str:
+    """A column name that ``df`` doesn't have (another for each ``n``)."""
+    have, k = {c.lower() for c in df.columns}, n
+    while f"_sightline_{k}" in have:
+        k += 1000
+    return f"_sightline_{k}"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    ``spark.checkpoint.dir`` names it. Where the setting is absent (tests on
-    one machine) a temporary folder stands in for it.
+    ``spark.checkpoint.dir`` names it. Where the setting is absent a temporary folder
+    stands in for it on one machine (tests); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="sightline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -77,19 +88,23 @@ def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable
     """Run Python over ``df`` in Arrow batches, whole rows at a time.
 
     ``make()`` is called once in each task and returns a function from columns
-    (name to list) to output rows. Slices are small, so memory follows the
-    longest texts and not the batch size of the session.
+    (name to list) to output rows. Slices are small in rows and bytes, and so is what is
+    gathered before it is handed back: memory follows the longest texts and not
+    the batch size of the session.
     """
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, rows = make(), []
+        work, rows, held = make(), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                rows += work(batch.slice(at, slice_rows).to_pydict())
-                if len(rows) >= OUT_ROWS:
+            step = max(1, min(slice_rows, OUT_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows += work(part.to_pydict())
+                held += part.nbytes
+                if len(rows) >= OUT_ROWS or held >= OUT_BYTES:
                     yield to_batch(rows, arrow)
-                    rows = []
+                    rows, held = [], 0
         if rows:
             yield to_batch(rows, arrow)
 
