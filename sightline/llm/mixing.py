@@ -2,11 +2,11 @@
 
 Each source's documents are laid end to end and cut into blocks of ``block``
 words (the last one may be short). The mix is a sequence of slots of one block
-each, dealt into output shards. How many slots of a shard go to each source is
-drawn at random: multinomial draws, made under the condition that all shards
-together give every source its exact number of slots. They come from halving
-the range of shards again and again (a multivariate hypergeometric draw at each
-halving), so that a shard's counts need no other shard. Slot q of a source
+each, dealt into output shards. Each shard draws how many of its slots go to each source:
+a multinomial draw, seeded by the shard's number, so that it needs no other shard.
+The slots of a source are numbered through the shards. Where the draws of all shards
+together give a source more slots than its target needs, the last of them go to the sources that got too
+few, so every source has its exact number. Slot q of a source
 takes block perm(q mod n) of pass q div n, where perm is a pseudorandom
 permutation (a Feistel network that walks cycles) keyed by source and pass.
 Slots and blocks meet in a join on source and block index.
@@ -19,10 +19,11 @@ The last slot of a source is cut where its target (rounded to whole words) is
 reached, and a source takes whole passes over its blocks first, so a document
 is taken ``most`` times its size at most and a source's words meet its target.
 
-Prefix sums run in two levels (pieces of about the square root of the number of
-documents), so a hot source is not gathered in one task. The table of sources
-is collected for the targets: one row for each source, and ``MAX_SOURCES`` bounds
-it with an error.
+Repeated rows are counted before they are placed, and prefix sums run in two levels (pieces
+of about the square root of the number of documents), so neither a hot source nor a
+row that is repeated often is gathered in one task. One row for each source is
+collected for the targets and broadcast (about 50 bytes each); sources are labels of origin,
+and nothing else that is broadcast grows with the documents.
 
 Defined results: a null text counts as empty; documents without words are
 returned with taken 0; a null doc_id is passed on, and the order of packing is
@@ -36,13 +37,17 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, map_batches
+from .common import Scratch
 
-BLOCK, SHARD_SLOTS, MOST, MAX_SOURCES = 512, 1024, 3, 1_000_000
+BLOCK, SHARD_SLOTS, MOST = 512, 1024, 3
+#: Shards whose draws are added up together.
+CHUNK = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -88,29 +93,74 @@ def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndar
     return out.astype(np.int64)
 
 
-def shard_counts(totals: np.ndarray, shard: int, shards: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source in one shard, and in the shards before it."""
-    counts, before, lo, hi = totals.astype(np.int64), np.zeros(len(totals), np.int64), 0, shards
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        total = int(counts.sum())
-        want = min(total, (mid - lo) * slots)
-        if total < 1_000_000_000:
-            left = rng.multivariate_hypergeometric(counts, want, method="marginals")
-        else:  # beyond what numpy draws exactly, the normal law stands in, source by source
-            left, rest, need = np.zeros_like(counts), total, want
-            for i, c in enumerate(counts.tolist()):
-                if c and need > 0:
-                    sd = math.sqrt(need * c / rest * (1 - c / rest) * (rest - need) / max(1, rest - 1))
-                    left[i] = min(c, need, max(0, need - (rest - c), round(rng.normal(need * c / rest, sd))))
-                    need -= int(left[i])
-                rest -= c
-        if shard < mid:
-            counts, hi = left, mid
-        else:
-            before, counts, lo = before + left, counts - left, mid
-    return counts, before
+class Mix:
+    """What all shards draw from, by source: slots wanted, blocks, words, and the slot that is cut."""
+
+    def __init__(self, sizes: list[int], goals: list[float], block: int, shard_slots: int, seed: int):
+        self.block, self.shard_slots, self.seed = block, shard_slots, seed
+        self.sizes = np.array(sizes, np.int64)
+        self.blocks = -(-self.sizes // block)
+        self.quota = np.zeros(len(sizes), np.int64)
+        self.cut_at, self.cut_to = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+        # Whole passes first; of the last pass so many slots as could be needed, the short block included.
+        for i, (n, s, goal) in enumerate(zip(self.blocks.tolist(), sizes, goals, strict=True)):
+            w = round(goal)
+            p = w // s if s else 0
+            r = w - p * s
+            self.quota[i] = n * p
+            if not r:
+                continue
+            short, k = s - (n - 1) * block, -(-r // block)
+            where = int(permuted(np.array([n - 1]), n, _key(seed, i, p), back=True)[0]) if short < block else k
+            got = r - ((k - 1) * block)
+            if where < k:  # the short block is among them: go on until the words are reached
+                have = (k - 1) * block + short
+                if have < r:
+                    k += 1
+                    got = r - have
+                else:
+                    got = r - (have - (short if where == k - 1 else block))
+            self.quota[i] += k
+            self.cut_at[i], self.cut_to[i] = n * p + k - 1, got
+        self.slots = int(self.quota.sum())
+        self.shards = -(-self.slots // shard_slots)
+        self.cumulated = np.cumsum(self.quota)
+
+    def drawn(self, shard: int) -> np.ndarray:
+        """The source of each slot of a shard: independent draws by quota, so their counts are multinomial."""
+        n = min(self.shard_slots, self.slots - shard * self.shard_slots)
+        return np.searchsorted(self.cumulated, np.random.default_rng([self.seed, self.shards, shard]).integers(0, self.slots, n), side="right")
+
+    def settle(self, totals: np.ndarray) -> None:
+        """``totals``: slots that all shards have drawn of each source; what is too much goes to where it is too little."""
+        self.totals, over, under = totals, np.maximum(totals - self.quota, 0), np.maximum(self.quota - totals, 0)
+        self.over, self.under = np.cumsum(over) - over, np.cumsum(under)
+
+    def chunk(self, shards: range, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """shard, slot, source, block and words of every slot of some shards, after ``before`` slots of each source."""
+        drawn = [self.drawn(s) for s in shards]
+        shard, slot = np.repeat(np.array(shards), [len(x) for x in drawn]), np.concatenate([np.arange(len(x)) for x in drawn])
+        source = np.concatenate(drawn)
+        order = np.argsort(source, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(source[order]) > 0))
+        q = np.empty(len(source), np.int64)
+        q[order] = np.arange(len(source)) - np.repeat(first, np.diff(np.append(first, len(source))))
+        q += before[source]
+        much = np.flatnonzero(q >= self.quota[source])
+        if len(much):
+            r = self.over[source[much]] + q[much] - self.quota[source[much]]
+            to = np.searchsorted(self.under, r, side="right")
+            begin = np.append(0, self.under)[to]
+            source[much], q[much] = to, self.totals[to] + r - begin
+        n = self.blocks[source]
+        turn, at, block = q // n, q % n, np.empty(len(q), np.int64)
+        order = np.lexsort((turn, source))
+        cut = np.flatnonzero((np.diff(source[order]) != 0) | (np.diff(turn[order]) != 0)) + 1
+        for part in np.split(order, cut):
+            i = int(source[part[0]])
+            block[part] = permuted(at[part], int(self.blocks[i]), _key(self.seed, i, int(turn[part[0]])))
+        words = np.minimum(self.block, self.sizes[source] - block * self.block)
+        return shard, slot, source, block, np.where(q == self.cut_at[source], self.cut_to[source], words)
 
 
 SLOTS = T.StructType([
@@ -126,77 +176,61 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, m
     first word's place in the source). slots: shard, slot, source_no, block,
     cut (words of the block that the slot takes), in the order of the mix.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.keep(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("order")))
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("order"))
+    sized = scratch.keep(rows.groupBy("doc_id", "source", "size", "order").agg(F.count("*").alias("copies")))
+    by_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n")).collect()
     by_source.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    sizes, rows = [r["size"] for r in by_source], sum(r["n"] for r in by_source)
+    sizes, n_rows = [r["size"] for r in by_source], sum(r["n"] for r in by_source)
     goals = targets(sizes, [1.0 + i % 3 for i in range(len(sizes))], sum(sizes), most)
-    spark = docs.sparkSession
     table = scratch.keep(spark.createDataFrame([(r["source"], i, int(r["size"]), float(g)) for i, (r, g) in enumerate(zip(by_source, goals, strict=True))], "source string, source_no int, source_size bigint, target double"))
     # Two-level prefix sums: pieces of a source first, then the documents of a piece.
-    pieces = max(1, math.isqrt(rows))
-    sized = sized.withColumn("piece", F.pmod("order", F.lit(pieces)))
+    pieces = max(1, math.isqrt(n_rows))
+    sized = sized.withColumn("piece", F.pmod("order", F.lit(pieces))).withColumn("all", F.col("size") * F.col("copies"))
     before = "sum({0}) over (partition by {1} order by {2} rows between unbounded preceding and 1 preceding)"
-    starts = scratch.keep(sized.groupBy("source", "piece").agg(F.sum("size").alias("piece_size")).withColumn("piece_at", F.expr(f"coalesce({before.format('piece_size', 'source', 'piece')}, 0)")).select(F.col("source").alias("s"), F.col("piece").alias("p"), "piece_at"))
-    placed = sized.withColumn("in_piece", F.expr(f"coalesce({before.format('size', 'source, piece', 'order, doc_id, size')}, 0)"))
-    placed = scratch.keep(placed)
+    starts = scratch.keep(sized.groupBy("source", "piece").agg(F.sum("all").alias("piece_size")).withColumn("piece_at", F.expr(f"coalesce({before.format('piece_size', 'source', 'piece')}, 0)")).select(F.col("source").alias("s"), F.col("piece").alias("p"), "piece_at"))
+    placed = scratch.keep(sized.withColumn("in_piece", F.expr(f"coalesce({before.format('`all`', 'source, piece', '`order`, doc_id, size')}, 0)")))
     placed = placed.join(starts, placed.source.eqNullSafe(starts.s) & (placed.piece == starts.p)).join(F.broadcast(table.withColumnRenamed("source", "t")), placed.source.eqNullSafe(F.col("t")))
-    placed = scratch.keep(placed.select("doc_id", "source", "source_no", "size", "source_size", "target", (F.col("piece_at") + F.col("in_piece")).alias("at")))
-
-    blocks = np.array([-(-s // block) for s in sizes], np.int64)
-    # Whole passes first; of the last pass so many slots as could be needed, the short block included.
-    words = [round(g) for g in goals]
-    passes = [w // s if s else 0 for w, s in zip(words, sizes, strict=True)]
-    rest = [w - p * s for w, p, s in zip(words, passes, sizes, strict=True)]
-    quota = np.zeros(len(sizes), np.int64)
-    final: list[tuple[int, int, int]] = []
-    for i, (n, p, r, s) in enumerate(zip(blocks.tolist(), passes, rest, sizes, strict=True)):
-        quota[i] = n * p
-        if r:
-            short = s - (n - 1) * block
-            k = -(-r // block)
-            where = int(permuted(np.array([n - 1]), n, _key(seed, i, p), back=True)[0]) if short < block else k
-            got = r - ((k - 1) * block)
-            if where < k:  # the short block is among them: go on until the words are reached
-                have = (k - 1) * block + short
-                if have < r:
-                    k += 1
-                    got = r - have
-                else:
-                    got = r - (have - (short if where == k - 1 else block))
-            quota[i] += k
-            final.append((i, n * p + k - 1, got))
-    total = int(quota.sum())
-    shards = -(-total // shard_slots)
-    cuts = {i: (q, got) for i, q, got in final}
-    sizes_a = np.array(sizes, np.int64)
-
-    def make():
-        def work(cols):
-            out = []
-            for shard in cols["id"]:
-                counts, first = shard_counts(quota, shard, shards, shard_slots, seed)
-                rng = np.random.default_rng([seed, shards, shard, 1])
-                own: list[tuple] = []
-                for i in np.flatnonzero(counts).tolist():
-                    q, n = np.arange(first[i], first[i] + counts[i]), int(blocks[i])
-                    for turn in np.unique(q // n).tolist():
-                        part = q[q // n == turn]
-                        b = permuted(part % n, n, _key(seed, i, turn))
-                        length = np.minimum(block, sizes_a[i] - b * block)
-                        if i in cuts and cuts[i][0] in (at := part.tolist()):
-                            length[at.index(cuts[i][0])] = cuts[i][1]
-                        own += [(i, x, y) for x, y in zip(b.tolist(), length.tolist(), strict=True)]
-                out += [(shard, k, *own[j]) for k, j in enumerate(rng.permutation(len(own)).tolist())]
-            return out
-
-        return work
-
-    tasks = max(1, min(shards, 4096))
-    return placed, map_batches(spark.range(0, shards, 1, tasks), SLOTS, make, slice_rows=16)
+    # Copies of a row stand one after the other; their numbers come in two steps, so no array is long.
+    far = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.shiftright(F.col("copies") - 1, 16)))).withColumn("copy", F.explode(F.sequence(F.shiftleft("k", 16), F.least(F.col("copies") - 1, F.shiftleft(F.col("k") + 1, 16) - 1))))
+    placed = scratch.keep(far.select("doc_id", "source", "source_no", "size", "source_size", "target", (F.col("piece_at") + F.col("in_piece") + F.col("copy") * F.col("size")).alias("at")))
+
+    mix = Mix(sizes, goals, block, shard_slots, seed)
+    sent = spark.sparkContext.broadcast(mix)
+    chunks = spark.range(0, -(-mix.shards // CHUNK), 1, max(1, min(4096, -(-mix.shards // CHUNK)))).toDF("chunk")
+
+    def own(chunk: int) -> range:
+        return range(chunk * CHUNK, min(mix_shards, (chunk + 1) * CHUNK))
+
+    mix_shards = mix.shards
+
+    def count(batches):
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                source, n = np.unique(np.concatenate([sent.value.drawn(s) for s in own(chunk)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(source, pa.int64()), pa.array(n, pa.int64())], names=["chunk", "source_no", "n"])
+
+    counts = scratch.keep(chunks.mapInArrow(count, "chunk long, source_no long, n long"))
+    totals = np.zeros(len(sizes), np.int64)
+    for r in counts.groupBy("source_no").agg(F.sum("n").alias("n")).collect():
+        totals[r["source_no"]] = r["n"]
+    mix.settle(totals)
+    settled = spark.sparkContext.broadcast(mix)
+    starts = counts.withColumn("before", F.expr(f"coalesce({before.format('n', 'source_no', 'chunk')}, 0)"))
+    starts = scratch.keep(starts.groupBy("chunk").agg(F.collect_list(F.struct("source_no", "before")).alias("b")))
+    arrow = to_arrow_schema(SLOTS)
+
+    def make(batches):
+        for batch in batches:
+            for chunk, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.zeros(len(settled.value.sizes), np.int64)
+                for x in known:
+                    at[x["source_no"]] = x["before"]
+                cols = settled.value.chunk(own(chunk), at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return placed, starts.select("chunk", "b").mapInArrow(make, SLOTS)
 
 
 def _key(seed: int, source_no: int, turn: int) -> int:

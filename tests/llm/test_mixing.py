@@ -23,15 +23,34 @@ def test_permutation(n):
     assert (mixing.permuted(out, n, 7, back=True) == np.arange(n)).all()
 
 
-def test_shard_counts_add_up():
-    totals = np.array([0, 5, 1000, 333])
-    shards, slots = 14, 100
-    at = np.zeros(4, int)
-    for k in range(shards):
-        counts, before = mixing.shard_counts(totals, k, shards, slots, 1)
-        assert (before == at).all()
-        at += counts
-    assert (at == totals).all()
+def test_draws_are_multinomial_and_settled_exactly():
+    sizes = [0, 50, 16_000, 5_333]
+    goals = mixing.targets(sizes, [1, 2, 3, 1], sum(sizes))
+    mix = mixing.Mix(sizes, goals, 16, 10, 1)
+    drawn = [np.bincount(mix.drawn(s), minlength=4) for s in range(mix.shards)]
+    p = mix.quota / mix.slots
+    spread = np.array(drawn[:-1])[:, 2].var() / (10 * p[2] * (1 - p[2]))
+    assert 0.7 < spread < 1.4  # as of independent draws
+    mix.settle(np.sum(drawn, axis=0))
+    at, got, words = np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64)
+    times = [np.zeros(n, np.int64) for n in mix.blocks]
+    for lo in range(0, mix.shards, 7):
+        own = range(lo, min(mix.shards, lo + 7))
+        shard, slot, source, block, cut = mix.chunk(own, at)
+        at += np.sum([drawn[s] for s in own], axis=0)
+        got += np.bincount(source, minlength=4)
+        words += np.bincount(source, cut, minlength=4).astype(np.int64)
+        for i, b in zip(source.tolist(), block.tolist(), strict=True):
+            times[i][b] += 1
+    assert (got == mix.quota).all() and words.tolist() == [round(g) for g in goals]
+    assert all(t.max(initial=0) - t.min(initial=9) <= 1 for t in times[1:])  # each pass takes every block once
+
+
+def test_repeated_rows_are_packed_each(frame):
+    texts = ["a b c d e f g"] * 300 + ["h i j"] * 5
+    got = mixing.taken(frame(texts, [1] * 300 + [2] * 5, ["s"] * 300 + ["t"] * 5), 16, shard_slots=4).collect()
+    assert len(got) == 305 and sum(r.taken for r in got if r.source == "s") == round(next(r.target for r in got if r.source == "s"))
+    assert all(r.taken <= 3 * r["size"] for r in got)
 
 
 def test_mix(frame, spark):
