@@ -9,8 +9,8 @@ shape alone. A text's vector pools (averages) its tokens' vectors; a two-layer
 numpy network with one hidden layer maps it to a logit, and a temperature (one at least) fitted
 on training rows left out of its fit makes the probabilities calibrated.
 
-Training takes at most ``TRAIN_ROWS`` labelled documents (see labelled.py), of
-which ids of at most ``VOCABULARY`` tokens go to the driver; every document is
+Training takes at most ``TRAIN_ROWS`` labelled documents (see labelled.py) and runs in
+one task of an executor, of which the driver sees the model; every document is
 scored whole. What is broadcast is at most ``VOCABULARY`` + ``SHAPES`` vectors
 of ``DIM`` numbers.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches
-from .labelled import held_out, training_rows
+from .labelled import fitted, held_out, training_rows
 
 TRAIN_ROWS, VOCABULARY, SHAPES, DIM, NONZERO, WINDOW = 12_000, 3000, 1000, 128, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 60, 3e-3, 1e-4, 128
@@ -183,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         ids = Encoder(vocabulary).ids
         return lambda c: [(i, ids(t).astype(np.int16).tobytes(), y) for i, t, y in zip(c["doc_id"], c["text"], c["label"], strict=True)]
 
-    found = map_batches(some, ENCODED, encode).toArrow()
-    own = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "ids", "label")), strict=True))
-    return fit(vocabulary, [np.frombuffer(b, np.int16).reshape(-1, 3).astype(np.int32) for _, b, _ in own], np.array([y for *_, y in own], np.float64))
+    def fit_own(own):
+        return fit(vocabulary, [np.frombuffer(b, np.int16).reshape(-1, 3) for _, b, _ in own], np.array([y for *_, y in own], np.float64))
+
+    return fitted(map_batches(some, ENCODED, encode), fit_own, rows)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,8 +6,8 @@ documents one by one with a learning rate of its own for every coordinate, and
 L1 leaves few weights other than zero: at most 2**BITS, which bounds what is
 broadcast (8 bytes each).
 
-Training takes at most ``TRAIN_ROWS`` labelled documents (see labelled.py);
-every document is scored whole.
+Training takes at most ``TRAIN_ROWS`` labelled documents (see labelled.py) and runs in
+one task of an executor; every document is scored whole.
 
 Defined results: a null text counts as empty and gets the score of the bias
 alone; a null doc_id is not held out and its label is not used; repeated rows are scored
@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches
-from .labelled import held_out, training_rows
+from .labelled import fitted, held_out, training_rows
 
 BITS, TRAIN_ROWS, EPOCHS = 22, 12_000, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
@@ -129,9 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         hasher = Hasher()
         return lambda c: [(i, np.unique(hasher.features(t)).tobytes(), y) for i, t, y in zip(c["doc_id"], c["text"], c["label"], strict=True)]
 
-    found: pa.Table = map_batches(training_rows(docs, labels, label, folds, fold, rows), TRAINING, make).toArrow()
-    own = zip(*(found.column(c).to_pylist() for c in ("doc_id", "features", "label")), strict=True)
-    return fit([(np.frombuffer(f, np.uint32), y) for _, f, y in sorted(own)])
+    encoded = map_batches(training_rows(docs, labels, label, folds, fold, rows), TRAINING, make)
+    return fitted(encoded, lambda own: fit([(np.frombuffer(f, np.uint32), y) for _, f, y in own]), rows)
 
 
 def scores(docs: DataFrame, weights: Weights) -> DataFrame:
