@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_batches
+from .common import Scratch, fresh, map_batches
 
 LENGTH, ANCHOR = 200, 128
 SPAN = LENGTH - ANCHOR + 1  # windows that can share one anchor; also the symbols of a window whose anchor is one
@@ -331,15 +331,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of text (n_chars follows, where there is one)."""
     scratch = Scratch(docs.sparkSession, "bwt")
     rows, spans = repeats(docs, scratch)
-    names = {c: f"_{k}" for k, c in enumerate(("doc_id", "r", "spans"))}
-    spans = spans.withColumnsRenamed(names)
-    joined = docs.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("_0")) & (F.xxhash64("doc_id", "text") == F.col("_1")), "left")
+    i, r, own = (fresh(docs, k) for k in range(3))
+    spans = spans.withColumnsRenamed({"doc_id": i, "r": r, "spans": own})
+    joined = docs.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col(i)) & (F.xxhash64("doc_id", "text") == F.col(r)), "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         return text.combine(spans, lambda t, s: t if s is None else _cut(t.encode(), list(s))[0].decode(errors="ignore"))
 
-    cut = joined.withColumn("text", F.when(F.col("_2").isNull(), F.col("text")).otherwise(kept("text", "_2")))
+    cut = joined.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(kept("text", own)))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_2").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_batches
+from .common import Scratch, fresh, map_batches
 
 TAU, SEGMENTS, DENSE = 2, 5, 64
 #: First bit of each segment, and one past the last.
@@ -191,12 +191,12 @@ def first_rows(docs: DataFrame, own: DataFrame, members: DataFrame, fp_of_text:
     """One row of ``docs`` for each component, by the fingerprints (signed) of its rows and the components of these."""
     first = own.join(members, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = scratch.keep(first.groupBy("doc_id").agg(F.count("*").alias("n")))
-    single, several = kept.filter("n = 1 and doc_id is not null").select("doc_id"), kept.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    single, several = kept.filter("n = 1 and doc_id is not null").select("doc_id"), kept.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(fresh(docs)))
 
     @F.pandas_udf("long")
     def fp_of(text: pd.Series) -> pd.Series:
         return pd.Series([fp_of_text(t) for t in text], dtype="int64")
 
-    odd = docs.join(several, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").select(F.struct(*docs.columns).alias("row"), fp_of("text").alias("fp"))
+    odd = docs.join(several, docs.doc_id.eqNullSafe(F.col(fresh(docs))), "left_semi").select(F.struct(*docs.columns).alias("row"), fp_of("text").alias("fp"))
     odd = odd.join(members, "fp").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(odd)
