@@ -197,6 +197,9 @@ def first_rows(docs: DataFrame, own: DataFrame, members: DataFrame, fp_of_text:
     def fp_of(text: pd.Series) -> pd.Series:
         return pd.Series([fp_of_text(t) for t in text], dtype="int64")
 
+    whole = docs.join(single, "doc_id", "left_semi").select(docs.columns)
+    if several.isEmpty():
+        return whole
     odd = docs.join(several, docs.doc_id.eqNullSafe(F.col(fresh(docs))), "left_semi").select(F.struct(*docs.columns).alias("row"), fp_of("text").alias("fp"))
     odd = odd.join(members, "fp").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
-    return docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(odd)
+    return whole.unionByName(odd)
