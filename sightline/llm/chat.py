@@ -19,7 +19,10 @@ of a conversation with up to ``LOCAL_EDGES`` edges are followed in one group,
 those of larger ones in distributed rounds.
 
 Defined results: a null text has null content; an object without any of the
-keys above is plain content, and so is what is not JSON; of calls with the same identifier in a
+keys above is plain content, and so is what is not JSON, is nested more than
+``DEPTH`` deep or has numbers of over 4,300 digits; ``tool_calls`` and ``tools`` that are no lists are none;
+lone surrogates become U+FFFD; arguments are not checked (``n_unchecked``, and no
+``valid``) where no schema is known, or where it is malformed or has keywords that are not known here; of calls with the same identifier in a
 conversation the first (by turn, then place) is linked, of several results the
 first, the others being duplicates; results without a call are orphans;
 messages on a cycle, or behind one, have in_cycle true and their own turn;
@@ -33,16 +36,26 @@ import json
 import math
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, map_batches
 
-LOCAL_EDGES = 20_000
+LOCAL_EDGES, DEPTH = 20_000, 100
 KEYS = {"content", "tool_calls", "tool_call_id", "tools"}
+_SURROGATE = re.compile("[\ud800-\udfff]").sub
+#: Keywords of schemas that are checked, and those that say nothing about a value.
+KEYWORDS = {
+    "type", "enum", "const", "properties", "patternProperties", "additionalProperties", "required", "items", "minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties",
+    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "uniqueItems", "pattern", "anyOf", "allOf", "oneOf", "not",
+}
+NOTES = {"title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
 
 _CALL = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType()), T.StructField("depends_on", T.ArrayType(T.StringType()))])
 _TOOL = T.StructType([T.StructField("name", T.StringType()), T.StructField("schema", T.StringType())])
@@ -52,6 +65,11 @@ PARSED = T.StructType([
 ])
 
 
+def clean(s: str) -> str:
+    """Lone surrogates, which UTF-8 can't have, become U+FFFD."""
+    return s if s.isascii() else _SURROGATE("\ufffd", s)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces and one form for each number."""
 
@@ -61,85 +79,168 @@ def canonical(value) -> str:
                 return None
             return int(x) if x == int(x) and abs(x) < 1e21 else x
         if isinstance(x, dict):
-            return {str(k): plain(v) for k, v in x.items()}
+            return {clean(str(k)): plain(v) for k, v in x.items()}
+        if isinstance(x, str):
+            return clean(x)
         return [plain(v) for v in x] if isinstance(x, list) else x
 
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def read(text: str):
+    """The value of a JSON text, or ValueError: also for numbers of over 4,300 digits and nesting beyond DEPTH."""
+    try:
+        found = json.loads(text)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level = [found]
+    for _ in range(DEPTH):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return found
+    raise ValueError("nested too deep")
+
+
+class Unchecked(Exception):
+    """The schema is malformed, or has a keyword that is not known here."""
+
+
+def _number(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def _need(right: bool, what: str) -> None:
+    if not right:
+        raise Unchecked(what)
+
+
+def _matches(pattern, value: str) -> bool:
+    """By RE2, in time linear in the value; patterns that it doesn't know are not checked."""
+    _need(isinstance(pattern, str), "pattern")
+    try:
+        return pc.match_substring_regex(pa.array([clean(value)]), clean(pattern))[0].as_py()
+    except pa.ArrowException:
+        raise Unchecked("pattern") from None
+
+
 def errors(value, schema, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (types, enum, const, required, properties,
-    additionalProperties, items, bounds of numbers and lengths, pattern, anyOf, allOf)."""
+    """Where a value breaks a JSON schema; raises Unchecked where that cannot be said.
+
+    Known are type, enum, const, properties, patternProperties, additionalProperties, required, items,
+    bounds of numbers, lengths and properties, multipleOf, uniqueItems, pattern, anyOf, allOf, oneOf and not.
+    """
     if schema is True or schema is None:
         return []
     if schema is False:
         return [f"{at}: not allowed"]
-    if not isinstance(schema, dict):
-        return [f"{at}: no schema"]
+    _need(isinstance(schema, dict), "schema")
+    if unknown := sorted(map(str, schema.keys() - KEYWORDS - NOTES)):
+        raise Unchecked(", ".join(unknown))
     out = []
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
     kinds = {
         "object": isinstance(value, dict), "array": isinstance(value, list), "string": isinstance(value, str), "boolean": isinstance(value, bool),
-        "null": value is None, "number": number, "integer": number and float(value).is_integer(),
+        "null": value is None, "number": _number(value), "integer": _number(value) and (isinstance(value, int) or value.is_integer()),
     }
-    if wanted := schema.get("type"):
-        wanted = wanted if isinstance(wanted, list) else [wanted]
-        if not any(kinds.get(k, False) for k in wanted):
-            return [f"{at}: not {'/'.join(map(str, wanted))}"]
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
-        out.append(f"{at}: not in enum")
+    if "type" in schema:
+        wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        _need(bool(wanted) and all(isinstance(k, str) and k in kinds for k in wanted), "type")
+        if not any(kinds[k] for k in wanted):
+            out.append(f"{at}: not {'/'.join(wanted)}")
+    if "enum" in schema:
+        _need(isinstance(schema["enum"], list), "enum")
+        if canonical(value) not in map(canonical, schema["enum"]):
+            out.append(f"{at}: not in enum")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{at}: not the constant")
+    known, patterns, required = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("required", [])
+    _need(isinstance(known, dict) and isinstance(patterns, dict), "properties")
+    _need(isinstance(required, list) and all(isinstance(k, str) for k in required), "required")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        out += [f"{at}.{k}: missing" for k in required if k not in value]
         for k, v in value.items():
-            out += errors(v, known[k] if k in known else schema.get("additionalProperties", True), f"{at}.{k}")
+            own = [known[k]] if k in known else []
+            own += [sub for p, sub in patterns.items() if _matches(p, k)]
+            for sub in own or [schema.get("additionalProperties", True)]:
+                out += errors(v, sub, f"{at}.{k}")
     if isinstance(value, list):
         for i, v in enumerate(value):
             out += errors(v, schema.get("items", True), f"{at}[{i}]")
-    size = len(value) if isinstance(value, (str, list)) else None
-    low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
-    if size is not None and not schema.get(low, 0) <= size <= schema.get(high, size):
-        out.append(f"{at}: length")
-    if number and (value < schema.get("minimum", value) or value > schema.get("maximum", value)):
-        out.append(f"{at}: range")
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        if schema.get("uniqueItems") is True and len(set(map(canonical, value))) < len(value):
+            out.append(f"{at}: repeated items")
+    for kind, low, high in ((str, "minLength", "maxLength"), (list, "minItems", "maxItems"), (dict, "minProperties", "maxProperties")):
+        for k in (low, high):
+            _need(k not in schema or _number(schema[k]), k)
+        if isinstance(value, kind) and not schema.get(low, 0) <= len(value) <= schema.get(high, len(value)):
+            out.append(f"{at}: length")
+    for k in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"):
+        _need(k not in schema or _number(schema[k]) and math.isfinite(schema[k]) if not isinstance(schema.get(k), int) else True, k)
+        _need(not isinstance(schema.get(k), bool), k)
+    if _number(value):
+        low, high = schema.get("minimum", value), schema.get("maximum", value)
+        if not low <= value <= high or ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]) or ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]):
+            out.append(f"{at}: range")
+        if "multipleOf" in schema:
+            _need(schema["multipleOf"] > 0, "multipleOf")
+            if not isinstance(value, int) and not math.isfinite(value) or Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+                out.append(f"{at}: no multiple")
+    if isinstance(value, str) and "pattern" in schema and not _matches(schema["pattern"], value):
         out.append(f"{at}: pattern")
+    for k in ("allOf", "anyOf", "oneOf"):
+        _need(isinstance(schema.get(k, []), list), k)
     for sub in schema.get("allOf", []):
         out += errors(value, sub, at)
-    if "anyOf" in schema and all(errors(value, sub, at) for sub in schema["anyOf"]):
+    if "anyOf" in schema and all([errors(value, sub, at) for sub in schema["anyOf"]]):
         out.append(f"{at}: none of anyOf")
+    if "oneOf" in schema and sum(not errors(value, sub, at) for sub in schema["oneOf"]) != 1:
+        out.append(f"{at}: not one of oneOf")
+    if "not" in schema and not errors(value, schema["not"], at):
+        out.append(f"{at}: not")
     return out
 
 
+def checked(arguments: str, schema: str | None) -> tuple[bool | None, str | None]:
+    """(valid, errors) of canonical arguments under the text of a schema; valid is null where they are not checked."""
+    if schema is None:
+        return None, None
+    try:
+        wrong = errors(read(arguments), read(schema))
+    except (Unchecked, ValueError) as e:
+        return None, f"unchecked: {e}"
+    return not wrong, clean("; ".join(wrong)) or None
+
+
+def _name(x) -> str:
+    return clean(x) if isinstance(x, str) else canonical(x)
+
+
 def parse(text: str | None) -> tuple:
     """content, calls, result_of, tools of one message."""
     plain = (text, [], None, [])
     if not text or text.lstrip()[:1] != "{":
         return plain
     try:
-        found = json.loads(text)
-    except (ValueError, RecursionError):
+        found = read(text)
+    except ValueError:
         return plain
     if not isinstance(found, dict) or not KEYS & found.keys():
         return plain
     calls, tools = [], []
-    for k, call in enumerate(found.get("tool_calls") or []):
+    listed = lambda k: x if isinstance(x := found.get(k), list) else []
+    for k, call in enumerate(listed("tool_calls")):
         if isinstance(call, dict):
             args = call.get("arguments")
             if isinstance(args, str):
                 try:
-                    args = json.loads(args)
+                    args = read(args)
                 except ValueError:
                     pass
-            needs = call.get("depends_on") or []
-            calls.append({"pos": k, "id": None if call.get("id") is None else str(call["id"]), "name": str(call.get("name", "")), "arguments": canonical(args), "depends_on": [str(x) for x in needs if x is not None] if isinstance(needs, list) else []})
-    for tool in found.get("tools") or []:
+            needs = call.get("depends_on")
+            calls.append({"pos": k, "id": None if call.get("id") is None else _name(call["id"]), "name": _name(call.get("name", "")), "arguments": canonical(args), "depends_on": [_name(x) for x in needs if x is not None] if isinstance(needs, list) else []})
+    for tool in listed("tools"):
         if isinstance(tool, dict) and "name" in tool:
-            tools.append({"name": str(tool["name"]), "schema": canonical(tool.get("parameters", {}))})
-    content = found.get("content")
-    return (content if content is None or isinstance(content, str) else canonical(content), calls, None if found.get("tool_call_id") is None else str(found["tool_call_id"]), tools)
+            tools.append({"name": _name(tool["name"]), "schema": canonical(tool.get("parameters", {}))})
+    content, result = found.get("content"), found.get("tool_call_id")
+    return (None if content is None else _name(content), calls, None if result is None else _name(result), tools)
 
 
 ORDER = T.StructType([T.StructField("mid", T.LongType()), T.StructField("order_turn", T.LongType()), T.StructField("order_level", T.LongType()), T.StructField("in_cycle", T.BooleanType())])
@@ -198,7 +299,7 @@ def _order(edges: DataFrame, scratch: Scratch) -> DataFrame:
 CHECKED = T.StructType([*(T.StructField(c, T.LongType()) for c in ("mid", "pos")), T.StructField("valid", T.BooleanType()), T.StructField("errors", T.StringType())])
 LINES = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("order_turn", T.LongType()), T.StructField("order_level", T.LongType()), T.StructField("in_cycle", T.BooleanType()),
-    T.StructField("link", T.StringType()), T.StructField("n_calls", T.LongType()), T.StructField("n_linked", T.LongType()), T.StructField("n_invalid", T.LongType()), T.StructField("json", T.StringType()),
+    T.StructField("link", T.StringType()), T.StructField("n_calls", T.LongType()), T.StructField("n_linked", T.LongType()), T.StructField("n_invalid", T.LongType()), T.StructField("n_unchecked", T.LongType()), T.StructField("json", T.StringType()),
 ])
 
 
@@ -234,15 +335,14 @@ def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFram
         def work(c):
             out = []
             for mid, pos, args, schema in zip(c["mid"], c["pos"], c["arguments"], c["own"], strict=True):
-                wrong = None if schema is None else errors(json.loads(args), json.loads(schema))
-                out.append((mid, pos, None if wrong is None else not wrong, "; ".join(wrong) if wrong else None))
+                out.append((mid, pos, *checked(args, schema)))
             return out
 
         return work
 
-    checked = map_batches(asked.select("mid", F.col("pos").cast("bigint").alias("pos"), "arguments", "own"), CHECKED, checking)
+    verdicts = map_batches(asked.select("mid", F.col("pos").cast("bigint").alias("pos"), "arguments", "own"), CHECKED, checking)
     answer = linked.select(F.col("call.mid").alias("mid"), F.col("call.pos").cast("bigint").alias("pos"), F.struct(F.col("result.content").alias("content"), F.col("result.turn").alias("turn")).alias("result"))
-    full = calls.select("mid", F.col("pos").cast("bigint").alias("pos"), "id", "name", "arguments").join(checked, ["mid", "pos"], "left").join(answer, ["mid", "pos"], "left")
+    full = calls.select("mid", F.col("pos").cast("bigint").alias("pos"), "id", "name", "arguments").join(verdicts, ["mid", "pos"], "left").join(answer, ["mid", "pos"], "left")
     full = scratch.keep(full.groupBy("mid").agg(F.collect_list(F.struct("pos", "id", "name", "arguments", "valid", "result")).alias("calls")))
     state = links.filter("result is not null").select(F.col("result.mid").alias("mid"), F.when(F.col("call").isNull(), "orphan").otherwise("linked").alias("link"))
     known = links.filter("result is not null").select("conv_id", F.col("id").alias("result_of"), F.lit(True).alias("has"), F.col("call").isNotNull().alias("called"))
@@ -261,7 +361,7 @@ def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFram
                 if c["result_of"][k] is not None:
                     line["tool_call_id"] = c["result_of"][k]
                 turn, at = c["turn"][k], c["order_turn"][k]
-                out.append((conv, turn, c["role"][k], turn if at is None else at, c["order_level"][k] or 0, bool(c["in_cycle"][k]), c["link"][k], len(calls), sum(x["result"] is not None for x in calls), sum(x["valid"] is False for x in calls), canonical(line)))
+                out.append((conv, turn, c["role"][k], turn if at is None else at, c["order_level"][k] or 0, bool(c["in_cycle"][k]), c["link"][k], len(calls), sum(x["result"] is not None for x in calls), sum(x["valid"] is False for x in calls), sum(x["valid"] is None for x in calls), canonical(line)))
             return out
 
         return work
