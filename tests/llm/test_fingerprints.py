@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from .conftest import sentence
 
 def brute_root(text):
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return h("".join(h("".join(h(p) for p in s.split("\n"))) for s in (text or "").split("\n\n")))
+    pieces = lambda p: re.findall(r"[^.!?]{1,48}+[.!?]*|[.!?]+", p)
+    return h("".join(h("".join(h("".join(h(x) for x in pieces(p))) for p in s.split("\n"))) for s in (text or "").split("\n\n")))
 
 
 def brute(docs):
@@ -45,10 +47,23 @@ def test_likeness_follows_the_edit(frame):
     assert all(0.5 < r.near_edited < 0.8 and r.near_next < 0.1 for r in rows)
 
 
+def test_likeness_counts_repeats_and_moved_parts(spark):
+    cases = [("ab. " * 50, "ab. " * 50 + "cd. ", 49 / 52, 1), ("ab. " * 50, "cd. " * 50, 0, 0.05), ("one. two. three. four.", "three. four. one. two.", 0.3, 0.9), ("same", "same", 1, 1)]
+    df = spark.createDataFrame([(a, b) for a, b, *_ in cases], "a string, b string").select(*(merkle.tree(F.col(c)).alias(c) for c in "ab"))
+    got = df.select(merkle.likeness(merkle.root(F.col("a")), merkle.leaves(F.col("a")), merkle.root(F.col("b")), merkle.leaves(F.col("b"))).alias("x")).collect()
+    assert all(lo <= r.x <= hi for r, (_, _, lo, hi) in zip(got, cases, strict=True))
+
+
+def test_edit_is_located(frame):
+    texts = ["p one.\n\np two.\np three. " + "x" * 60, "other words entirely. " * 5]
+    rows = {r.doc_id: r for r in merkle.edited_fingerprints(frame(texts)).collect()}
+    assert (rows[0].edit_section, rows[0].edit_paragraph, rows[0].edited_paragraphs) == (1, 1, 1)
+
+
 def test_differences(spark):
     a, b = "one\ntwo\n\nthree\n\nfour", "one\n2\n\nthree\n\nfour\nfive"
     df = spark.createDataFrame([(a, b), (a, a), ("", "x\ny")], "a string, b string")
-    got = df.select(merkle.differences(merkle.sections(F.col("a")), merkle.sections(F.col("b"))).alias("d")).collect()
+    got = df.select(merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d")).collect()
     assert [[tuple(x) for x in r.d] for r in got] == [[(0, 1), (2, 1)], [], [(0, 0), (0, 1)]]
 
 
