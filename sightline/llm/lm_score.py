@@ -2,7 +2,7 @@
 
 Tokens are the words of a text (A-Z lowered, split at ASCII white space) and one
 end. Outputs of the model are the ``HEAD`` most frequent tokens of the training
-documents and ``RARE`` classes, by hash of the first two bytes, for all others;
+documents and ``RARE`` classes, by hash of the first two bytes, for all others (tokens go by 64-bit hashes);
 within its class a rare token has probability (c + 1) / Z, with c its training
 count and Z the sum over the class's types and one unseen type. The context is
 linear: each of the ``ORDER`` tokens before has its vector scaled by weights of its
@@ -11,10 +11,12 @@ scores are one matrix product of contexts and outputs, and their log-sum-exp
 normalises every token's probability exactly.
 
 Training: counts cover all training documents. The parameters start from a
-bounded sample (``WARM_DOCS`` documents), then every partition of all training
-documents is visited with noise-contrastive steps from there, and the mean of
-the partitions' parameters, weighted by tokens, is the model (one round of
-parameter mixing, summed in two levels).
+bounded sample (``WARM_DOCS`` documents), then all training documents are dealt into
+groups of about ``GROUP_TOKENS`` tokens by a hash, each group is visited in the order of that hash
+with noise-contrastive steps from there, and the mean of
+the groups' parameters, weighted by tokens, is the model (one round of
+parameter mixing, summed in two levels). Groups and their order depend on the documents alone,
+so scores are the same however Spark has cut the table.
 
 The ``KNOWN`` most frequent tokens and their counts are broadcast (a bound on rows);
 the counts of all other tokens are joined in, as sums for each document.
@@ -28,56 +30,96 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, map_batches
-from .labelled import held_out
+from .common import CHARS, LOW, WORD, Scratch, to_batch, word_hashes
+from .labelled import fitted, held_out
 
 HEAD, RARE, DIM, ORDER, LONG = 320, 64, 32, 4, 24
 KNOWN, WARM_DOCS, WARM_EPOCHS, NOISE, BATCH = 100_000, 1500, 10, 96, 2048
 RATE, MIX_RATE = 0.15, 0.05
 FOLDS, FOLD = 7, 2
 CLASSES = HEAD + RARE
-END = b"\n"
+#: Tokens of a group that is trained on in one go.
+GROUP_TOKENS = 4_000_000
+#: Stands for the hash of the end, which no word has (the words' hashes are odd).
+END = np.uint64(0)
 FLUSH = 300_000
 LOG10 = math.log(10)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
-
-
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word[:2]) % RARE
+#: Class of a rare word by its first two bytes (0: it has one).
+_BUCKETS = np.array([zlib.crc32(bytes((a, b) if b else (a,))) % RARE for a in range(256) for b in range(256)], np.int32)
+
+
+def tokens(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and rare classes of the tokens of each text, its end included."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, data)) > 4 * CHARS and len(data) > 1:
+        return [x for t in texts for x in tokens([t])]
+    joined = b"\n".join([*data, b""])
+    h, start = word_hashes(joined)
+    codes = LOW[np.frombuffer(joined, np.uint8)]
+    second = codes[start + 1]
+    buckets = _BUCKETS[codes[start].astype(np.int64) << 8 | np.where(WORD[second], second, 0)]
+    h |= np.uint64(1)
+    edges = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in data)]))
+    return [(np.append(h[a:b], END), np.append(buckets[a:b], 0)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _slices(batches):
+    """First column and the tokens of the last, some rows at a time."""
+    for batch in batches:
+        first, texts, size = [], [], 0
+        for i, text in zip(batch.column(0), batch.column(batch.num_columns - 1), strict=True):
+            first.append(i.as_py())
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size > CHARS:
+                yield first, tokens(texts)
+                first, texts, size = [], [], 0
+        if texts:
+            yield first, tokens(texts)
 
 
 class Lexicon:
     """Codes of tokens: known ones by rank, then one code for each class of unknown ones."""
 
-    def __init__(self, known: list[tuple[bytes, int]]):
-        self.code = {w: i for i, (w, _) in enumerate(known)}
-        n = len(known)
-        self.unknown = n
-        self.classes = np.array([i if i < HEAD else HEAD + bucket(w) for i, (w, _) in enumerate(known)] + [HEAD + b for b in range(RARE)], np.int16)
-        self.log_count = np.array([math.log10(c + 1) for _, c in known] + [0.0] * RARE)
-        self.seen = np.array([c > 0 for _, c in known] + [False] * RARE)
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Codes of the tokens, and the tokens that are not known."""
-        own, get = tokens(text), self.code.get
-        codes = [get(w, -1) for w in own]
-        out = np.array(codes, np.int32)
-        missing = np.flatnonzero(out < 0)
-        rare = [own[i] for i in missing.tolist()]
-        if rare:
-            out[missing] = [self.unknown + bucket(w) for w in rare]
-        return out, rare
+    SLOTS = 21
+
+    def __init__(self, known: list[tuple[int, int, int]]):
+        """``known``: hash, rare class and count, by rank."""
+        n = self.unknown = len(known)
+        self.hashes = np.array([h for h, *_ in known], np.uint64)
+        self.order = np.argsort(self.hashes)
+        # The first token of each slot; what it isn't is searched for.
+        slot = (self.hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        self.first = np.zeros(1 << self.SLOTS, np.int32)
+        self.first[slot[::-1]] = np.arange(n, dtype=np.int32)[::-1]
+        self.several = np.bincount(slot, minlength=1 << self.SLOTS) > 1
+        self.classes = np.array([i if i < HEAD else HEAD + b for i, (_, b, _) in enumerate(known)] + [HEAD + b for b in range(RARE)], np.int16)
+        self.log_count = np.array([math.log10(c + 1) for *_, c in known] + [0.0] * RARE)
+        self.seen = np.array([c > 0 for *_, c in known] + [False] * RARE)
+
+    def encode(self, h: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the tokens, and the hashes of those that are not known."""
+        slot = (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.first[slot].copy()
+        wrong = np.flatnonzero(self.hashes[out] != h)
+        out[wrong] = -1
+        wrong = wrong[self.several[slot[wrong]]]
+        if len(wrong):
+            at = self.order[np.minimum(np.searchsorted(self.hashes, h[wrong], sorter=self.order), self.unknown - 1)]
+            right = self.hashes[at] == h[wrong]
+            out[wrong[right]] = at[right]
+        missing = out < 0
+        out[missing] = self.unknown + buckets[missing]
+        return out, h[missing]
 
 
 class Model:
@@ -198,35 +240,40 @@ class Trainer:
         self._move(1, None, g_places)
 
 
-COUNTS = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("c", T.LongType())])
-CODED = T.StructType([T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
+COUNTS = T.StructType([T.StructField("h", T.LongType()), T.StructField("b", T.IntegerType()), T.StructField("c", T.LongType())])
+CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("label", T.IntegerType())])
 MIXED = T.StructType([T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sums", T.BinaryType())])
 SCORED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
     T.StructField("logs", T.DoubleType()), T.StructField("model_log", T.DoubleType()),
-    T.StructField("rare", T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.IntegerType())]))),
+    T.StructField("rare", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))),
 ])
 
 
 def _counts(train: DataFrame) -> DataFrame:
-    """w, c over all training texts; each task hands on sums, in pieces of bounded size."""
+    """h, b, c over all training texts; each task hands on sums, in pieces of bounded size."""
 
     def run(batches):
-        import pyarrow as pa
+        held, size = [], 0
+
+        def out():
+            h, at, c = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
+            b = np.concatenate([x[1] for x in held])[at]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b, pa.int32()), pa.array(c, pa.int64())], names=COUNTS.names)
 
-        own: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                own.update(tokens(text.as_py()))
-                if len(own) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["w", "c"])
-                    own.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["w", "c"])
+        for _, found in _slices(batches):
+            held += found
+            size += sum(len(x[0]) for x in found)
+            if size > 4 * FLUSH:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
-    return train.select("text").mapInArrow(run, COUNTS).groupBy("w").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, COUNTS).groupBy("h").agg(F.min("b").alias("b"), F.sum("c").alias("c"))
 
 
-def _most_frequent(counts: DataFrame, types: int) -> list[tuple[bytes, int]]:
+def _most_frequent(counts: DataFrame, types: int) -> list[tuple[int, int, int]]:
     """At most KNOWN tokens, by a count that they exceed; so no more than these leave the executors."""
     least = 0
     if types > KNOWN:
@@ -237,36 +284,36 @@ def _most_frequent(counts: DataFrame, types: int) -> list[tuple[bytes, int]]:
                 least = int(c)
                 break
     found = counts.filter(F.col("c") > least).toArrow()
-    return sorted(zip(found.column("w").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    own = zip(found.column("h").to_numpy().view(np.uint64).tolist(), found.column("b").to_pylist(), found.column("c").to_pylist(), strict=True)
+    return sorted(own, key=lambda x: (-x[2], x[0]))
 
 
-def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int) -> Model:
-    """The mean, by tokens, of what each partition makes of the parameters."""
+def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int, groups: int) -> Model:
+    """The mean, by tokens, of what each group makes of the parameters."""
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         model, words, n = Model.of(start.value.copy()), lexicon.value, 0
         trainer = Trainer(model, noise, MIX_RATE, end)
-        for batch in batches:
-            for text in batch.column(0):
-                ids = words.classes[words.encode(text.as_py())[0]].astype(np.int64)
-                trainer.text(ids)
-                n += len(ids)
+        for _, found in _slices(batches):
+            for x in found:
+                trainer.text(words.classes[words.encode(*x)[0]].astype(np.int64))
+                n += len(x[0])
         trainer.flush()
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([(model.flat().astype(np.float64) * n).tobytes()], pa.binary())], names=MIXED.names)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
         total = sum(np.frombuffer(b) for b in pdf["sums"])
-        return pd.DataFrame({"part": [0], "n": [int(pdf["n"].sum())], "sums": [total.tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [int(pdf["n"].sum())], "sums": [total.tobytes()]})
 
-    parts = train.select("text").mapInArrow(run, MIXED)
-    groups = max(1, math.isqrt(train.rdd.getNumPartitions()))
-    found = parts.withColumn("g", F.col("part") % groups).groupBy("g").applyInPandas(lambda pdf: add(pdf), MIXED).collect()
+    key = F.xxhash64("doc_id", "text").alias("h")
+    parts = train.select(key, "text").repartition(groups, "h").sortWithinPartitions("h", "text").mapInArrow(run, MIXED)
+    found = parts.withColumn("g", F.col("part") % max(1, math.isqrt(groups))).groupBy("g").applyInPandas(lambda pdf: add(pdf), MIXED).collect()
     n = sum(r["n"] for r in found)
-    return Model.of((sum(np.frombuffer(r["sums"]) for r in found) / n).astype(np.float32)) if n else Model.of(start.value)
+    return Model.of((sum(np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["part"])) / n).astype(np.float32)) if n else Model.of(start.value)
 
 
 def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
@@ -278,53 +325,55 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
     counts = scratch.keep(_counts(train))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = _most_frequent(counts, types)
-    if END not in dict(top[:HEAD]):  # without training texts, or where ends are rare: the end keeps a class of its own
-        top = [(END, dict(top).get(END, 0)), *(x for x in top if x[0] != END)][:KNOWN]
+    if int(END) not in {h for h, *_ in top[:HEAD]}:  # without training texts, or where ends are rare: the end keeps a class of its own
+        top = [(int(END), 0, next((c for h, _, c in top if h == int(END)), 0)), *(x for x in top if x[0] != int(END))][:KNOWN]
     # Sums of the rare classes over all training tokens.
-    head = spark.createDataFrame([(bytearray(w),) for w, _ in top[:HEAD]], "w binary")
-    by_class = dict(counts.join(F.broadcast(head), "w", "left_anti").groupBy(F.pmod(F.crc32(F.substring("w", 1, 2)), F.lit(RARE)).alias("b")).agg(F.sum(F.col("c") + 1), F.sum("c")).rdd.map(lambda r: (r[0], (r[1], r[2]))).collect())
+    head = spark.createDataFrame(np.array([h for h, *_ in top[:HEAD]], np.uint64).view(np.int64)[:, None].tolist(), "h long")
+    by_class = {r[0]: r[1:] for r in counts.join(F.broadcast(head), "h", "left_anti").groupBy("b").agg(F.sum(F.col("c") + 1), F.sum("c")).collect()}
     z = np.array([1 + by_class.get(b, (0, 0))[0] for b in range(RARE)], np.float64)
-    class_counts = np.array([c for _, c in top[:HEAD]] + [0] * (HEAD - len(top[:HEAD])) + [by_class.get(b, (0, 0))[1] for b in range(RARE)], np.float64)
+    class_counts = np.array([c for *_, c in top[:HEAD]] + [0] * (HEAD - len(top[:HEAD])) + [by_class.get(b, (0, 0))[1] for b in range(RARE)], np.float64)
     noise = (class_counts + 1) / (class_counts + 1).sum()
-    words = Lexicon(top)
-    end = words.code[END]
-    lexicon = sc.broadcast(words)
-
-    def coded():
-        return lambda c: [(h, lexicon.value.classes[lexicon.value.encode(t)[0]].tobytes()) for h, t in zip(c["h"], c["text"], strict=True)]
+    end = next(i for i, (h, *_) in enumerate(top) if h == int(END))
+    lexicon = sc.broadcast(Lexicon(top))
+
+    def coded(batches):
+        words = lexicon.value
+        for ids, found in _slices(batches):
+            own = [words.classes[words.encode(*x)[0]].tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary()), pa.array([0] * len(ids), pa.int32())], names=CODED.names)
+
+    def warm(own: list[tuple[int, bytes, int]]) -> np.ndarray:
+        model = Model(np.log(noise))
+        trainer = Trainer(model, noise, RATE, end)
+        for _ in range(WARM_EPOCHS):
+            for _, ids, _ in own:
+                trainer.text(np.frombuffer(ids, np.int16).astype(np.int64))
+            trainer.flush()
+        return model.flat()
 
     hashed = train.select(F.xxhash64("doc_id", "text").alias("h"), "text")
     some = hashed.select("h").distinct().orderBy("h").limit(WARM_DOCS)
-    warm = map_batches(hashed.join(F.broadcast(some), "h").dropDuplicates(["h"]), CODED, coded).collect()
-    model = Model(np.log(noise))
-    trainer = Trainer(model, noise, RATE, end)
-    texts = [np.frombuffer(r["ids"], np.int16).astype(np.int64) for r in sorted(warm, key=lambda r: r["h"])]
-    for _ in range(WARM_EPOCHS):
-        for ids in texts:
-            trainer.text(ids)
-        trainer.flush()
-    start = sc.broadcast(model.flat())
-    final = sc.broadcast(_mixed(train, lexicon, start, noise, end).flat())
+    sample = hashed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text"))
+    start = sc.broadcast(fitted(sample.mapInArrow(coded, CODED), warm, WARM_DOCS))
+    final = sc.broadcast(_mixed(train, lexicon, start, noise, end, max(1, -(-total // GROUP_TOKENS))).flat())
     log_z = np.concatenate([np.zeros(HEAD), np.log10(z)])
     counted = np.concatenate([np.zeros(HEAD), np.ones(RARE)])
 
-    def score():
-        model, words = Model.of(final.value), lexicon.value
-
-        def work(c):
+    def score(batches):
+        model, words, arrow = Model.of(final.value), lexicon.value, to_arrow_schema(SCORED)
+        for doc_ids, found in _slices(batches):
             out = []
-            for i, text in zip(c["doc_id"], c["text"], strict=True):
-                codes, rare = words.encode(text)
+            for i, (h, buckets) in zip(doc_ids, found, strict=True):
+                codes, rare = words.encode(h, buckets)
                 ids = words.classes[codes].astype(np.int64)
                 logs = words.log_count[codes]
                 mine = float(model.log10s(ids, end).sum() + (logs * counted[ids]).sum() - log_z[ids].sum())
-                out.append((i, len(ids), int(words.seen[codes].sum()), float(logs.sum()), mine, [{"w": w, "n": n} for w, n in Counter(rare).items()]))
-            return out
-
-        return work
+                rare, n = np.unique(rare.view(np.int64), return_counts=True)
+                out.append((i, len(ids), int(words.seen[codes].sum()), float(logs.sum()), mine, [{"h": w, "n": k} for w, k in zip(rare.tolist(), n.tolist(), strict=True)]))
+            yield to_batch(out, arrow)
 
-    scored = scratch.keep(map_batches(docs, SCORED, score, slice_rows=64).withColumn("row", F.monotonically_increasing_id()))
-    joined = scored.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.n").join(counts, "w")
+    scored = scratch.keep(docs.mapInArrow(score, SCORED).withColumn("row", F.monotonically_increasing_id()))
+    joined = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.n").join(counts, "h")
     more = joined.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more"))
     out = scored.drop("rare").join(more, "row", "left")
     more = F.coalesce("more", F.lit(0.0))

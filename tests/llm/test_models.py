@@ -102,7 +102,7 @@ def test_language_model(frame):
     lexicons = [[sentence(rng, 1) for _ in range(60)] for _ in range(2)]
     texts = [" ".join(rng.choices(lexicons[i % 2], k=rng.randint(10, 60))).title() for i in range(300)] + [None, "", sentence(rng, 9000)]
     rows = {r.doc_id: r for r in lm_score.lm_scores(frame(texts)).collect()}
-    own = {i: lm_score.tokens(t) for i, t in enumerate(texts)}
+    own = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in enumerate(texts)}
     counts = Counter(w for i, ws in own.items() if crc(i, 7) != 2 for w in ws)
     n, v = sum(counts.values()), len(counts)
     for i, ws in own.items():
@@ -129,3 +129,45 @@ def test_language_model_on_odd_rows(odd, none):
     rows = lm_score.lm_scores(odd).collect()
     assert len(rows) == odd.count() and all(r.n_tokens >= 1 for r in rows)
     assert lm_score.lm_scores(none).collect() == []
+
+
+def test_scores_do_not_depend_on_the_layout(frame):
+    rng = random.Random(12)
+    words = [sentence(rng, 1) for _ in range(300)]
+    docs = frame([" ".join(rng.choices(words, k=rng.randint(5, 80))) for _ in range(200)])
+    one, two = ({r.doc_id: r.score for r in lm_score.lm_scores(d).collect()} for d in (docs.coalesce(1), docs.repartition(5)))
+    assert one == two
+
+
+def test_a_step_follows_the_gradient_of_the_contrast():
+    """One step against the loss differentiated numerically, with the step's own noise draws."""
+    rng = np.random.default_rng(4)
+    noise = rng.random(lm_score.CLASSES) + 0.1
+    noise /= noise.sum()
+    ids, end = rng.integers(0, lm_score.CLASSES, 60), 0
+    own = np.ones(60, bool)
+    base = lm_score.Model(np.log(noise))
+    start = [p.astype(np.float64).copy() for p in base.parts()]
+    trainer = lm_score.Trainer(base, noise, 0.01, end)
+    drawn = np.minimum(np.searchsorted(np.cumsum(noise), np.random.default_rng(3).random(lm_score.NOISE) * np.cumsum(noise)[-1]), lm_score.CLASSES - 1)
+
+    def loss(parts):
+        m = lm_score.Model(parts[3], *(p.astype(np.float64) for p in parts[:3]))
+        m.bias = parts[3]
+        c = m.contexts(ids, end)[0]
+        k = np.log(lm_score.NOISE * noise)
+        right = np.einsum("ij,ij->i", c, m.outputs[ids]) + m.bias[ids] - k[ids]
+        wrong = c @ m.outputs[drawn].T + m.bias[drawn] - k[drawn]
+        return (np.logaddexp(0, -right).sum() + np.logaddexp(0, wrong).sum()) / len(ids)
+
+    trainer.step(ids, own, 0)
+    for k, row in ((2, int(ids[5])), (2, int(drawn[0])), (3, int(ids[7]))):
+        moved = base.parts()[k][row] - start[k][row]
+        for j in range(3) if k == 2 else (None,):
+            at = (row, j) if j is not None else row
+            up, down = [p.copy() for p in start], [p.copy() for p in start]
+            up[k][at] += 1e-3
+            down[k][at] -= 1e-3
+            g = (loss(up) - loss(down)) / 2e-3
+            want = -0.01 * g / np.sqrt(0.01 + g * g)
+            assert (moved if j is None else moved[j]) == pytest.approx(want, rel=0.05, abs=2e-5)
