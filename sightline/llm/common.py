@@ -32,19 +32,27 @@ CHARS = 1 << 18
 #: By byte: lower case, and whether it is of a word; and multipliers for the places in a word.
 LOW = np.arange(256, dtype=np.uint8) + 32 * np.isin(np.arange(256), np.arange(65, 91)).astype(np.uint8)
 WORD = ~np.isin(np.arange(256), [32, *range(9, 14)])
+_TERMS = LOW.astype(np.uint64) + np.uint64(1)
 _PLACES = np.random.default_rng(31).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (of what is not ASCII white space), A-Z lowered, and where each begins."""
-    codes = LOW[np.frombuffer(data, np.uint8)]
-    word = WORD[codes]
-    at = np.flatnonzero(word)
-    start = np.flatnonzero(np.append(True, at[1:] - at[:-1] > 1)) if len(at) else at
+    codes = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(WORD[codes])
     if not len(at):
         return np.zeros(0, np.uint64), at
-    place = np.arange(len(at), dtype=np.int32) - np.repeat(start.astype(np.int32), np.diff(np.append(start, len(at))))
-    h = np.add.reduceat((codes[at].astype(np.uint64) + np.uint64(1)) * _PLACES[place & 255] + (place >> 8).astype(np.uint64), start)
+    start = np.flatnonzero(np.append(True, at[1:] - at[:-1] > 1))
+    lengths = np.diff(np.append(start, len(at)))
+    place = np.arange(len(at), dtype=np.int32)
+    place -= np.repeat(start.astype(np.int32), lengths)
+    term = _TERMS[codes[at]]
+    if lengths.max() > 256:
+        term *= _PLACES[place & 255]
+        term += (place >> 8).astype(np.uint64)
+    else:
+        term *= _PLACES[place]
+    h = np.add.reduceat(term, start)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32)), at[start]

@@ -157,20 +157,40 @@ class Model:
             out += self.vectors[k] * self.places[d]
         return out, at, long
 
+    def scaled(self) -> list[np.ndarray]:
+        """Input vectors by place, as they add up to a context."""
+        return [*(self.vectors * self.places[d] for d in range(ORDER)), self.vectors * (self.places[ORDER] / LONG)]
+
+    def summed(self, ids: np.ndarray, end: int, tables: list[np.ndarray]) -> np.ndarray:
+        """The vectors of ``contexts``, from ``scaled`` tables, with a last column of ones."""
+        n = len(ids)
+        padded = np.concatenate([np.full(LONG, end), ids[:-1]])
+        out, sums = np.ones((n, DIM + 1), np.float32), np.zeros((len(padded) + 1, DIM), np.float32)
+        np.cumsum(np.take(tables[ORDER], padded, axis=0), axis=0, out=sums[1:])
+        own = np.subtract(sums[LONG : LONG + n], sums[:n], out=out[:, :DIM])
+        for d in range(ORDER):
+            own += np.take(tables[d], padded[LONG - 1 - d : LONG - 1 - d + n], axis=0)
+        return out
+
     def log10s(self, ids: np.ndarray, end: int) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
         out = np.empty(len(ids))
-        weights = np.ascontiguousarray(self.outputs.T)
+        weights, tables = np.vstack([self.outputs.T, self.bias[None]]), self.scaled()
+        ones, block = np.ones(CLASSES, np.float32), np.empty((512, CLASSES), np.float32)
+        most = float(np.linalg.norm(self.outputs, axis=1).max()), float(np.abs(self.bias).max())
         for lo in range(0, len(ids), 4096):
             first = max(0, lo - LONG)
-            context = self.contexts(ids[first : lo + 4096], end)[0][lo - first :]
-            for at in range(0, len(context), 1024):
-                s = context[at : at + 1024] @ weights
-                s += self.bias
+            context = self.summed(ids[first : lo + 4096], end, tables)[lo - first :]
+            # Scores stay far below 80; where they could not, the bound keeps the sum finite.
+            tame = float(np.linalg.norm(context, axis=1).max()) * most[0] + most[1] < 80
+            for at in range(0, len(context), len(block)):
+                part = context[at : at + len(block)]
+                s = np.matmul(part, weights, out=block[: len(part)])
+                if not tame:
+                    np.minimum(s, 80, out=s)
                 own = s[np.arange(len(s)), ids[lo + at : lo + at + len(s)]]
-                np.minimum(s, 80, out=s)  # scores stay far below; the bound keeps the sum finite
                 np.exp(s, out=s)
-                out[lo + at : lo + at + len(s)] = np.minimum(own, 80) - np.log(s.sum(axis=1))
+                out[lo + at : lo + at + len(s)] = own - np.log(s @ ones)
         return out / LOG10
 
 
@@ -226,10 +246,17 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), CLASSES - 1)
         own_out = m.outputs[target]
         right = np.einsum("ij,ij->i", context, own_out) + m.bias[target] - self.log_noise[target]
-        wrong = context @ m.outputs[noise].T + m.bias[noise] - self.log_noise[noise]
+        some = m.outputs[noise]
+        g_wrong = context @ some.T
+        g_wrong += m.bias[noise] - self.log_noise[noise]
         g_right = (1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1).astype(np.float32) / len(target)
-        g_wrong = (1 / (1 + np.exp(-np.clip(wrong, -30, 30)))).astype(np.float32) / len(target)
-        g_context = g_right[:, None] * own_out + g_wrong @ m.outputs[noise]
+        np.negative(g_wrong, out=g_wrong)
+        with np.errstate(over="ignore"):  # to zero
+            np.exp(g_wrong, out=g_wrong)
+        g_wrong += 1
+        np.divide(np.float32(1 / len(target)), g_wrong, out=g_wrong)
+        g_context = g_wrong @ some
+        g_context += g_right[:, None] * own_out
         g_out = np.concatenate([g_right[:, None] * context, g_wrong.T @ context])
         rows = np.concatenate([target, noise])
         g_places = np.stack([np.einsum("ij,ij->j", g_context, m.vectors[k]) for k in places] + [np.einsum("ij,ij->j", g_context, long)])
@@ -334,7 +361,8 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
     class_counts = np.array([c for *_, c in top[:HEAD]] + [0] * (HEAD - len(top[:HEAD])) + [by_class.get(b, (0, 0))[1] for b in range(RARE)], np.float64)
     noise = (class_counts + 1) / (class_counts + 1).sum()
     end = next(i for i, (h, *_) in enumerate(top) if h == int(END))
-    lexicon = sc.broadcast(Lexicon(top))
+    words = Lexicon(top)
+    lexicon = sc.broadcast(words)
 
     def coded(batches):
         words = lexicon.value
@@ -356,8 +384,9 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
     sample = hashed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text"))
     start = sc.broadcast(fitted(sample.mapInArrow(coded, CODED), warm, WARM_DOCS))
     final = sc.broadcast(_mixed(train, lexicon, start, noise, end, max(1, -(-total // GROUP_TOKENS))).flat())
-    log_z = np.concatenate([np.zeros(HEAD), np.log10(z)])
-    counted = np.concatenate([np.zeros(HEAD), np.ones(RARE)])
+    # By code, what a token's own count adds to the probability of its class.
+    within = np.where(words.classes < HEAD, 0, words.log_count - np.concatenate([np.zeros(HEAD), np.log10(z)])[words.classes])
+    within = sc.broadcast(within)
 
     def score(batches):
         model, words, arrow = Model.of(final.value), lexicon.value, to_arrow_schema(SCORED)
@@ -366,10 +395,9 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
             for i, (h, buckets) in zip(doc_ids, found, strict=True):
                 codes, rare = words.encode(h, buckets)
                 ids = words.classes[codes].astype(np.int64)
-                logs = words.log_count[codes]
-                mine = float(model.log10s(ids, end).sum() + (logs * counted[ids]).sum() - log_z[ids].sum())
+                mine = float(model.log10s(ids, end).sum() + within.value[codes].sum())
                 rare, n = np.unique(rare.view(np.int64), return_counts=True)
-                out.append((i, len(ids), int(words.seen[codes].sum()), float(logs.sum()), mine, [{"h": w, "n": k} for w, k in zip(rare.tolist(), n.tolist(), strict=True)]))
+                out.append((i, len(ids), int(words.seen[codes].sum()), float(words.log_count[codes].sum()), mine, [{"h": w, "n": k} for w, k in zip(rare.tolist(), n.tolist(), strict=True)]))
             yield to_batch(out, arrow)
 
     scored = scratch.keep(docs.mapInArrow(score, SCORED).withColumn("row", F.monotonically_increasing_id()))
