@@ -172,10 +172,14 @@ class Model:
             own += np.take(tables[d], padded[LONG - 1 - d : LONG - 1 - d + n], axis=0)
         return out
 
-    def log10s(self, ids: np.ndarray, end: int) -> np.ndarray:
+    def prepared(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What ``log10s`` makes of the parameters, for many calls."""
+        return np.vstack([self.outputs.T, self.bias[None]]), self.scaled()
+
+    def log10s(self, ids: np.ndarray, end: int, prepared: tuple[np.ndarray, list[np.ndarray]] | None = None) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
         out = np.empty(len(ids))
-        weights, tables = np.vstack([self.outputs.T, self.bias[None]]), self.scaled()
+        weights, tables = prepared or self.prepared()
         ones, block = np.ones(CLASSES, np.float32), np.empty((512, CLASSES), np.float32)
         most = float(np.linalg.norm(self.outputs, axis=1).max()), float(np.abs(self.bias).max())
         for lo in range(0, len(ids), 4096):
@@ -390,12 +394,13 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
 
     def score(batches):
         model, words, arrow = Model.of(final.value), lexicon.value, to_arrow_schema(SCORED)
+        prepared = model.prepared()
         for doc_ids, found in _slices(batches):
             out = []
             for i, (h, buckets) in zip(doc_ids, found, strict=True):
                 codes, rare = words.encode(h, buckets)
                 ids = words.classes[codes].astype(np.int64)
-                mine = float(model.log10s(ids, end).sum() + within.value[codes].sum())
+                mine = float(model.log10s(ids, end, prepared).sum() + within.value[codes].sum())
                 rare, n = np.unique(rare.view(np.int64), return_counts=True)
                 out.append((i, len(ids), int(words.seen[codes].sum()), float(words.log_count[codes].sum()), mine, [{"h": w, "n": k} for w, k in zip(rare.tolist(), n.tolist(), strict=True)]))
             yield to_batch(out, arrow)
