@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +18,16 @@ def fft_windows(series: DataFrame, window_size: int) -> DataFrame:
     The window is [idx - w/2, idx + w/2), clipped at the ends and padded on the right with zeros.
     """
     half = window_size // 2
-    frame = order().rowsBetween(-half, half - 1)
-    near = F.collect_list(F.coalesce("value", F.lit(0.0))).over(frame)
-    padded = F.concat(near, F.array_repeat(F.lit(0.0), window_size - F.size(near)))
-    places = F.sequence(F.lit(0), F.lit(window_size - 1))
-
-    def magnitude(k: Column) -> Column:
-        angle = lambda n: -2 * math.pi * k * n / window_size
-        re = F.aggregate(places, F.lit(0.0), lambda s, n: s + F.get(F.col("x"), n) * F.cos(angle(n)))
-        im = F.aggregate(places, F.lit(0.0), lambda s, n: s + F.get(F.col("x"), n) * F.sin(angle(n)))
-        return F.sqrt(re * re + im * im)
-
-    return series.select("series_id", "idx", padded.alias("x")).select("series_id", "idx", F.transform(places, magnitude).alias("magnitudes"))
+    near = F.collect_list(F.coalesce("value", F.lit(0.0))).over(order().rowsBetween(-half, half - 1))
+
+    @F.pandas_udf("array<double>")
+    def magnitudes(windows: pd.Series) -> pd.Series:
+        padded = np.zeros((len(windows), window_size))
+        lengths = windows.map(len).to_numpy()
+        padded[np.arange(window_size) < lengths[:, None]] = np.concatenate(windows.to_list()) if len(windows) else []
+        return pd.Series(list(np.abs(np.fft.fft(padded))))
+
+    return series.select("series_id", "idx", near.alias("x")).select("series_id", "idx", magnitudes("x").alias("magnitudes"))
 
 
 def dominant_frequency(magnitudes: Column) -> Column:

@@ -60,9 +60,10 @@ def modularity(g: VisibilityGraph, communities: DataFrame, variant: str = "refer
     degrees = g.degrees().join(c, ["series_id", "node"]).groupBy("series_id", "community").agg(F.sum("degree").alias("d"))
     m = g.counts().select("series_id", F.col("edge_count").alias("m"))
     both = degrees.join(inside, ["series_id", "community"], "left").join(m, "series_id").withColumn("inside", F.coalesce("inside", F.lit(0)))
-    share = F.col("inside") / F.nullif(F.col("m") * (2 if variant == "reference" else 1), F.lit(0))
-    part = share - F.pow(F.col("d") / F.nullif(2 * F.col("m"), F.lit(0)), F.lit(2.0))
-    return both.groupBy("series_id").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("modularity"))
+    # Whole numbers up to the one division, so the order of the sum makes no difference.
+    part = (2 if variant == "reference" else 4) * F.col("m") * F.col("inside") - F.col("d") * F.col("d")
+    total = F.try_divide(F.sum(part).cast("double"), (4 * F.max("m") * F.max("m")).cast("double"))
+    return both.groupBy("series_id").agg(F.coalesce(total, F.lit(0.0)).alias("modularity"))
 
 
 def community_nodes(communities: DataFrame, community: int) -> DataFrame:

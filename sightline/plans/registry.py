@@ -318,6 +318,11 @@ def _(spark, sf):
     return d.select("series_id", "node_count", r6("average_degree").alias("average_degree"), "min_degree", "max_degree", r6("degree_variance").alias("degree_variance"), r6("degree_std_dev").alias("degree_std_dev"))
 
 
+@query("top_nodes_by_degree", f"with {NVG}, {DEG} select series_id, node, degree from d order by degree desc, series_id, node limit 10")
+def _(spark, sf):
+    return tables.natural(spark, sf).degrees().orderBy(F.desc("degree"), "series_id", "node").limit(10)
+
+
 @query("degree_distribution", f"with {NVG}, {DEG} select series_id, degree, count(*) as nodes from d group by 1, 2")
 def _(spark, sf):
     return degree.degree_distribution(tables.natural(spark, sf))
@@ -352,7 +357,7 @@ def _(spark, sf):
 
 
 # I. Clustering.
-@query("triangles", f"with {NVG}, {TRI} select series_id, a, b, c from t")
+@query("triangles", f"with {NVG}, m as materialized (select series_id, src, dst from e), w as materialized (select x.series_id, x.src as a, x.dst as b, y.dst as c from m x join m y on x.series_id = y.series_id and x.dst = y.src) select w.series_id, a, b, c from w join m on w.series_id = m.series_id and w.a = m.src and w.c = m.dst")
 def _(spark, sf):
     return clustering.triangles(tables.natural(spark, sf))
 
@@ -425,7 +430,7 @@ def _(spark, sf):
     return community.community_sizes(community.detect_communities(tables.natural(spark, sf)))
 
 
-_BLOCKS = f"with {NVG}, {DEG}, m as (select series_id, count(*) as m from e group by 1), i as (select series_id, src // 10 as c, count(*) as i from e where src // 10 = dst // 10 group by 1, 2), g as (select series_id, node // 10 as c, sum(degree) as d from d group by 1, 2) select g.series_id, round(sum(coalesce(i, 0) / ({{}} * m) - pow(d / (2 * m), 2)), 6) as modularity from g join m on g.series_id = m.series_id left join i on g.series_id = i.series_id and g.c = i.c group by 1"
+_BLOCKS = f"with {NVG}, {DEG}, m as (select series_id, count(*) as m from e group by 1), i as (select series_id, src // 10 as c, count(*) as i from e where src // 10 = dst // 10 group by 1, 2), g as (select series_id, node // 10 as c, sum(degree) as d from d group by 1, 2) select g.series_id, round(sum({{}} * m * coalesce(i, 0) - d * d)::double / (4 * max(m) * max(m)), 6) as modularity from g join m on g.series_id = m.series_id left join i on g.series_id = i.series_id and g.c = i.c group by 1"
 
 
 def _modularity(variant: str) -> Query:
@@ -437,8 +442,8 @@ def _modularity(variant: str) -> Query:
     return run
 
 
-query("modularity_of_time_blocks", _BLOCKS.format("2.0"))(_modularity("reference"))
-query("modularity_of_time_blocks_standard", _BLOCKS.format("1.0"))(_modularity("standard"))
+query("modularity_of_time_blocks", _BLOCKS.format("2"))(_modularity("reference"))
+query("modularity_of_time_blocks_standard", _BLOCKS.format("4"))(_modularity("standard"))
 
 # M. Motifs.
 _M3 = f"{CC}, z as (select n.series_id, count(*) as n, (sum(d.degree) / 2)::bigint as e, sum(n.triples)::bigint as w, (sum(n.links) / 3)::bigint as t from n join d on n.series_id = d.series_id and n.node = d.node group by 1), y as (select series_id, n, t, w - 3 * t as two, e * (n - 2) - 2 * (w - 3 * t) - 3 * t as one, n * (n - 1) * (n - 2) // 6 as total from z), x as (select series_id, unnest(['empty', 'fork', 'four_edges', 'complete_triangle']) as motif, unnest([0, 1, 2, 3]) as n_edges, unnest([total - one - two - t, one, two, t])::bigint as count, total::bigint as total from y)"
@@ -571,7 +576,10 @@ def _(spark, sf):
     return matrix.graph_energy(tables.natural(spark, sf)).withColumn("graph_energy", r6("graph_energy"))
 
 
-@query("dominant_eigenvalue")
+_POWER = "lm as materialized (select * from l), w(k, series_id, node, x) as (select 0, series_id, node, 1 / sqrt(count(*) over (partition by series_id)) from d union all select k + 1, series_id, node, y / sqrt(sum(y * y) over (partition by series_id)) from (select w.k, w.series_id, lm.nb as node, sum(w.x) as y from w join lm on w.series_id = lm.series_id and w.node = lm.node where w.k < 100 group by 1, 2, 3)), f as materialized (select * from w where k = 100)"
+
+
+@query("dominant_eigenvalue", f"with recursive {NVG}, {DEG}, {_POWER} select a.series_id, round(sum(a.x * b.x), 6) as eigenvalue from f a join lm on a.series_id = lm.series_id and a.node = lm.node join f b on b.series_id = lm.series_id and b.node = lm.nb group by 1")
 def _(spark, sf):
     return matrix.dominant_eigenvalue(tables.natural(spark, sf)).withColumn("eigenvalue", r6("eigenvalue"))
 
@@ -620,17 +628,31 @@ def _(spark, sf):
     return sinks.to_json(tables.natural(spark, sf), sinks.JsonOptions(include_weights=False))
 
 
-@query("export_dot")
+_LINES = "o as (select series_id, string_agg(line, chr(10) order by part, a, b) as text from ({}) group by 1)"
+_DOT = _LINES.format("select series_id, 0 as part, idx as a, 0 as b, '  ' || idx || ' [label=\"' || {} || '\"];' as line from s union all select series_id, 1, src, dst, '  ' || src || ' -- ' || dst || ';' from e")
+_DOT_TEXT = "select series_id, 'graph visibility_graph {' || chr(10) || '  rankdir=LR;' || chr(10) || text || chr(10) || '}' || chr(10) as text from o"
+
+
+@query("export_dot", f"with {NVG}, {_DOT.format('idx')} {_DOT_TEXT}")
 def _(spark, sf):
     return sinks.to_dot(tables.natural(spark, sf))
 
 
-@query("export_graphml")
+@query("export_dot_labels", f"with {NVG}, {_DOT.format(chr(39) + 'day ' + chr(39) + ' || (idx + 1)')} {_DOT_TEXT}")
+def _(spark, sf):
+    return sinks.to_dot(tables.natural(spark, sf), F.concat(F.lit("day "), (F.col("node") + 1).cast("string")))
+
+
+_XML = _LINES.format("select series_id, 0 as part, idx as a, 0 as b, '    <node id=\"n' || idx || '\"></node>' as line from s union all select series_id, 1, src, dst, '    <edge id=\"e' || (row_number() over (partition by series_id order by src, dst) - 1) || '\" source=\"n' || src || '\" target=\"n' || dst || '\"><data key=\"weight\">1.0</data></edge>' from e")
+_XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>|<graphml xmlns="http://graphml.graphdrawing.org/xmlns">|  <key id="weight" for="edge" attr.name="weight" attr.type="double"/>|  <graph id="G" edgedefault="undirected">|'
+
+
+@query("export_graphml", f"with {NVG}, {_XML} select series_id, replace('{_XML_HEAD}', '|', chr(10)) || text || replace('|  </graph>|</graphml>|', '|', chr(10)) as text from o")
 def _(spark, sf):
     return sinks.to_graphml(tables.natural(spark, sf))
 
 
-@query("export_adjacency_csv")
+@query("export_adjacency_csv", f"with {NVG}, r as (select a.series_id, a.idx as row, string_agg(case when e.src is null then '0' else '1' end, ',' order by b.idx) as line from s a join s b on a.series_id = b.series_id left join e on e.series_id = a.series_id and e.src = a.idx and e.dst = b.idx group by 1, 2) select series_id, 'node,' || string_agg(row::varchar, ',' order by row) || chr(10) || string_agg(row || ',' || line, chr(10) order by row) as text from r group by 1")
 def _(spark, sf):
     return sinks.to_adjacency_csv(tables.natural(spark, sf))
 

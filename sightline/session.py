@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,4 +16,17 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for Python functions that run there."""
+    here = Path(__file__).parent
+    file = Path(tempfile.mkdtemp()) / f"{here.name}-{os.getpid()}.zip"
+    with zipfile.ZipFile(file, "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, path.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(file))

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EDGES = "series_id {0}, src long, dst long, weight double"
 
 
-def _run(kind: str, max_points: int):
+def _run(kind: str, max_points: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, at, values = state.get if state.exists else (0, [], [])
         at, values = list(at), list(values)
@@ -50,19 +50,20 @@ def _run(kind: str, max_points: int):
                 at.append(n)
                 values.append(float(v))
                 n += 1
-                if len(at) > max_points:
-                    at, values = at[-max_points:], values[-max_points:]
+                if max_points is not None and len(at) > max_points:
+                    raise ValueError(f"series {key[0]} holds more than {max_points} samples that a later one can see")
         state.update((n, at, values))
         yield pd.DataFrame({"series_id": key[0], "src": pd.Series(src, dtype="int64"), "dst": pd.Series(dst, dtype="int64"), "weight": 1.0})
 
     return step
 
 
-def visibility_edges(stream: DataFrame, kind: str = "natural", max_points: int = 100_000) -> DataFrame:
+def visibility_edges(stream: DataFrame, kind: str = "natural", max_points: int | None = None) -> DataFrame:
     """Edges of a stream of (series_id, t, value), appended as samples arrive.
 
     Samples of a series must arrive in the order of t, at least from one trigger to the
-    next. ``max_points`` bounds the state of a series: samples further back no longer get edges.
+    next. A natural stream keeps all samples of a series, since a high one may see each of them;
+    ``max_points``, where it is given, bounds that state with an error, and no edge is ever left out.
     """
     if kind not in ("natural", "horizontal"):
         raise ValueError(f"no kind {kind!r}; there are natural and horizontal")
