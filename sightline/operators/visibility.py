@@ -5,12 +5,11 @@ the line between them (natural), or below both of them (horizontal). x is the
 sample number. Both conditions are running maxima over the samples after j, so
 no triple of samples is ever formed.
 
-Two ways compute the same edges. The relational one pairs the samples of a
-series on its key and keeps the pairs that pass a windowed maximum; it suits
-many short series, and pairs and windows share the one shuffle by series. The
-kernel takes a whole series as an array and works on one source row at a time in
-numpy, with memory linear in the series; it suits long series, where n^2/2 rows would be
-sorted. ``natural`` and ``horizontal`` send each series to one of them by its length.
+Two ways compute the same edges. The kernel takes a whole series as an array and
+forms the slopes from blocks of its samples in numpy, with memory bounded by ``CELLS`` and the
+series; only edges leave it, and one shuffle by series is all that moves. The relational one pairs the samples of a
+series on its key and keeps the pairs that pass a windowed maximum, all in SQL: n^2/2 rows a
+series are sorted, so ``natural`` and ``horizontal`` take it only where it is asked for.
 """
 
 from __future__ import annotations
@@ -18,15 +17,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import GraphError
 
-#: Series longer than this go to the kernel.
-LONG = 2048
+#: Slopes that are formed together, and edges that are handed on together.
+CELLS, EDGES = 1 << 18, 100_000
 WEIGHTS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
     "unit": lambda i, j, a, b: F.lit(1.0),
     "absdiff": lambda i, j, a, b: F.abs(b - a),
@@ -77,13 +76,27 @@ def run_pairs(s: DataFrame) -> DataFrame:
     return adjacent.union(far.select("series_id", "src", "dst", "va", "vb"))
 
 
+def natural_blocks(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """src and dst of one series, some sources at a time: places where the slope from src reaches a new maximum."""
+    n, at = len(v), 0
+    x = np.arange(n, dtype=float)
+    while at < n - 1:
+        to = min(n - 1, at + max(1, CELLS // (n - at)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = (v[at + 1 :] - v[at:to, None]) / (x[at + 1 :] - x[at:to, None])
+        slope[x[at + 1 :] <= x[at:to, None]] = -np.inf
+        most = np.maximum.accumulate(slope, axis=1)
+        new = np.empty(slope.shape, bool)
+        new[:, 0], new[:, 1:] = slope[:, 0] > -np.inf, slope[:, 1:] > most[:, :-1]
+        src, dst = np.nonzero(new)
+        yield src + at, dst + at + 1
+        at = to
+
+
 def natural_of(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(src, dsts) of one series: places where the slope from src reaches a new maximum."""
-    x = np.arange(len(v), dtype=float)
-    for i in range(len(v) - 1):
-        slope = (v[i + 1 :] - v[i]) / (x[i + 1 :] - i)
-        most = np.maximum.accumulate(slope)
-        yield i, i + 1 + np.flatnonzero(np.append(True, slope[1:] > most[:-1]))
+    """(src, dsts) of one series."""
+    for src, dst in natural_blocks(v):
+        yield from zip(np.unique(src).tolist(), np.split(dst, np.flatnonzero(np.diff(src)) + 1), strict=True)
 
 
 def horizontal_of(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,42 +116,43 @@ def horizontal_of(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield i, np.array(dsts)
 
 
-def _kernel(s: DataFrame, of: Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    schema = T.StructType([s.schema["series_id"], T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("va", T.DoubleType()), T.StructField("vb", T.DoubleType())])
+def horizontal_blocks(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    found = list(horizontal_of(v))
+    if found:
+        yield np.repeat([i for i, _ in found], [len(d) for _, d in found]), np.concatenate([d for _, d in found])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for series_id, values in zip(pdf["series_id"], pdf["values"], strict=True):
-                v, src, dst, held = np.asarray(values, float), [], [], 0
-                for i, found in of(v):
-                    src.append(np.full(len(found), i))
-                    dst.append(found)
-                    held += len(found)
-                    if held > 100_000:
-                        yield _edges(series_id, v, src, dst)
-                        src, dst, held = [], [], 0
-                if held:
-                    yield _edges(series_id, v, src, dst)
 
-    arrays = s.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("a")).select("series_id", F.col("a.v").alias("values"))
-    return arrays.mapInPandas(run, schema)
+def _kernel(s: DataFrame, of: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    schema = T.StructType([s.schema["series_id"], T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("va", T.DoubleType()), T.StructField("vb", T.DoubleType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held, size = batch.column(0), [], 0
+
+            def out() -> pa.RecordBatch:
+                k, src, dst, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(k)), *map(pa.array, (src, dst, a, b))], names=schema.names)
+
+            for k in range(batch.num_rows):
+                v = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+                for src, dst in of(v):
+                    held.append((np.full(len(src), k), src, dst, v[src], v[dst]))
+                    size += len(src)
+                    if size > EDGES:
+                        yield out()
+                        held, size = [], 0
+            if size:
+                yield out()
 
-def _edges(series_id, v: np.ndarray, src: list[np.ndarray], dst: list[np.ndarray]) -> pd.DataFrame:
-    a, b = np.concatenate(src), np.concatenate(dst)
-    return pd.DataFrame({"series_id": series_id, "src": a, "dst": b, "va": v[a], "vb": v[b]})
+    arrays = s.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("a")).select("series_id", F.col("a.v").alias("values"))
+    return arrays.mapInArrow(run, schema)
 
 
 def _either(series: DataFrame, short: Callable[[DataFrame], DataFrame], of, strategy: str) -> DataFrame:
     s = _checked(series)
-    if strategy == "sql":
-        return short(s)
-    if strategy == "kernel":
-        return _kernel(s, of)
-    if strategy != "auto":
+    if strategy not in ("auto", "sql", "kernel"):
         raise GraphError(f"no strategy {strategy!r}; there are auto, sql and kernel")
-    sized = s.withColumn("n", F.count("*").over(Window.partitionBy("series_id")))
-    return short(sized.filter(F.col("n") <= LONG).drop("n")).union(_kernel(sized.filter(F.col("n") > LONG).drop("n"), of))
+    return short(s) if strategy == "sql" else _kernel(s, of)
 
 
 def _weighted(pairs: DataFrame, weight: str | Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
@@ -152,7 +166,7 @@ def _weighted(pairs: DataFrame, weight: str | Callable[[Column, Column, Column,
 def natural(series: DataFrame, weight="unit", strategy: str = "auto") -> DataFrame:
     """series_id, src, dst, weight of the natural visibility graphs. ``weight`` is a
     name of WEIGHTS or a function of the columns (src, dst, value at src, value at dst)."""
-    return _weighted(_either(series, natural_pairs, natural_of, strategy), weight)
+    return _weighted(_either(series, natural_pairs, natural_blocks, strategy), weight)
 
 
 def horizontal(series: DataFrame, weight="unit", strategy: str = "auto", mode: str = "standard") -> DataFrame:
@@ -161,4 +175,4 @@ def horizontal(series: DataFrame, weight="unit", strategy: str = "auto", mode: s
         return _weighted(run_pairs(_checked(series)), weight)
     if mode != "standard":
         raise GraphError(f"no mode {mode!r}; there are standard and reference")
-    return _weighted(_either(series, horizontal_pairs, horizontal_of, strategy), weight)
+    return _weighted(_either(series, horizontal_pairs, horizontal_blocks, strategy), weight)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import features, impute, signal, vector
 from ..functions import sql as sqlfns
 from ..operators import clustering, community, compare, degree, matrix, motifs, paths, trees, visibility, windows
-from ..operators.graph import VisibilityGraph
+from ..operators.graph import VisibilityGraph, of_edges
 from ..operators.statistics import graph_statistics
 from ..sources import generators, sinks
 from ..sources.series import CsvOptions, _lines_to_points, to_arrays
@@ -398,6 +398,17 @@ def _(spark, sf):
     return paths.connected_components(tables.natural(spark, sf))
 
 
+@query("components_of_blocks", f"with {S}, n as (select series_id, count(*) as n from s group by 1) select s.series_id, idx as node, idx // 7 as component from s join n on s.series_id = n.series_id where idx % 7 > 0 or idx + 1 < n")
+def _(spark, sf):
+    """Of a graph in pieces: edges that stay within seven samples."""
+    return paths.connected_components(of_edges(tables.natural(spark, sf).edges.filter("src div 7 = dst div 7")))
+
+
+@query("component_stats_of_blocks", f"with {S}, n as (select series_id, count(*) as n from s group by 1), c as (select s.series_id, idx // 7 as c, count(*) as k from s join n on s.series_id = n.series_id where idx % 7 > 0 or idx + 1 < n group by 1, 2) select series_id, count(*) as num_components, max(k) as largest_component_size from c group by 1")
+def _(spark, sf):
+    return paths.component_stats(of_edges(tables.natural(spark, sf).edges.filter("src div 7 = dst div 7")))
+
+
 @query("component_stats", f"with {S} select series_id, 1::bigint as num_components, count(*) as largest_component_size from s group by 1")
 def _(spark, sf):
     return paths.component_stats(tables.natural(spark, sf))
@@ -595,6 +606,15 @@ def _(spark, sf):
     return paths.dijkstra(tables.natural(spark, sf), 0)
 
 
+_WAYS = "lw as materialized (select series_id, src as node, dst as nb, abs(vb - va) as w from e union all select series_id, dst, src, abs(vb - va) from e), h(series_id, t, dist) using key (series_id, t) as (select distinct series_id, 0, 0.0::double from s union select h.series_id, lw.nb, min(h.dist + lw.w) from h join lw on h.series_id = lw.series_id and h.t = lw.node left join recurring.h r on r.series_id = h.series_id and r.t = lw.nb where r.dist is null or h.dist + lw.w < r.dist - 1e-9 group by all)"
+
+
+@query("dijkstra_weighted", f"with recursive {NVG}, {_WAYS} select series_id, t as node, round(dist, 6) as distance from h")
+def _(spark, sf):
+    g = VisibilityGraph.from_series(tables.events(spark, sf)).with_weight("absdiff").natural_visibility()
+    return paths.dijkstra(g, 0).withColumn("distance", r6("distance"))
+
+
 @query("lightest_edges", f"with {NVG}, n as (select series_id, count(*) as n from s group by 1), r as (select series_id, src, dst, round(abs(vb - va), 6) as weight, row_number() over (partition by series_id order by abs(vb - va), src, dst) as k from e) select r.series_id, src, dst, weight from r join n on r.series_id = n.series_id where k <= n - 1")
 def _(spark, sf):
     g = VisibilityGraph.from_series(tables.events(spark, sf)).with_weight("absdiff").natural_visibility()
