@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import CHARS, LOW, WORD, Scratch, to_batch, word_hashes
+from .common import CHARS, LOW, WORD, Scratch, word_hashes
 from .labelled import fitted, held_out
 
 HEAD, RARE, DIM, ORDER, LONG = 320, 64, 32, 4, 24
@@ -52,6 +52,8 @@ GROUP_TOKENS = 4_000_000
 #: Stands for the hash of the end, which no word has (the words' hashes are odd).
 END = np.uint64(0)
 FLUSH = 300_000
+#: Tokens whose scores are held at once.
+ROOM = 512
 LOG10 = math.log(10)
 #: Class of a rare word by its first two bytes (0: it has one).
 _BUCKETS = np.array([zlib.crc32(bytes((a, b) if b else (a,))) % RARE for a in range(256) for b in range(256)], np.int32)
@@ -143,61 +145,63 @@ class Model:
         a, b = CLASSES * DIM, (ORDER + 1) * DIM
         return Model(flat[2 * a + b :], flat[:a].reshape(CLASSES, DIM), flat[a : a + b].reshape(ORDER + 1, DIM), flat[a + b : 2 * a + b].reshape(CLASSES, DIM))
 
-    def contexts(self, ids: np.ndarray, end: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Context vectors, the ids at each place, and the long mean; what stands before a text are ends."""
+    def contexts(self, ids: np.ndarray, end: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Context vectors, the vectors at each place, the long mean, and the ids that these are of; what stands before a text are ends."""
         n = len(ids)
         padded = np.concatenate([np.full(LONG, end), ids[:-1]])
-        at = [padded[LONG - 1 - d : LONG - 1 - d + n] for d in range(ORDER)]
-        sums = np.zeros((len(padded) + 1, DIM), np.float32)
-        np.cumsum(self.vectors[padded], axis=0, out=sums[1:])
-        long = sums[LONG : LONG + n] - sums[:n]
+        vectors = np.take(self.vectors, padded, axis=0)
+        at = [vectors[LONG - 1 - d : LONG - 1 - d + n] for d in range(ORDER)]
+        long = moving_sum(vectors, LONG)
         long /= LONG
         out = long * self.places[ORDER]
-        for d, k in enumerate(at):
-            out += self.vectors[k] * self.places[d]
-        return out, at, long
+        scaled = np.empty_like(out)
+        for v, place in zip(at, self.places, strict=False):
+            out += np.multiply(v, place, out=scaled)
+        return out, at, long, padded
 
-    def scaled(self) -> list[np.ndarray]:
-        """Input vectors by place, as they add up to a context."""
-        return [*(self.vectors * self.places[d] for d in range(ORDER)), self.vectors * (self.places[ORDER] / LONG)]
-
-    def summed(self, ids: np.ndarray, end: int, tables: list[np.ndarray]) -> np.ndarray:
-        """The vectors of ``contexts``, from ``scaled`` tables, with a last column of ones."""
-        n = len(ids)
-        padded = np.concatenate([np.full(LONG, end), ids[:-1]])
-        out, sums = np.ones((n, DIM + 1), np.float32), np.zeros((len(padded) + 1, DIM), np.float32)
-        np.cumsum(np.take(tables[ORDER], padded, axis=0), axis=0, out=sums[1:])
-        own = np.subtract(sums[LONG : LONG + n], sums[:n], out=out[:, :DIM])
-        for d in range(ORDER):
-            own += np.take(tables[d], padded[LONG - 1 - d : LONG - 1 - d + n], axis=0)
-        return out
-
-    def prepared(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """What ``log10s`` makes of the parameters, for many calls."""
-        return np.vstack([self.outputs.T, self.bias[None]]), self.scaled()
+    def prepared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
+        """What ``log10s`` makes of the parameters, for many calls, and its room for scores."""
+        most = float(np.linalg.norm(self.outputs, axis=1).max()), float(np.abs(self.bias).max())
+        return np.ascontiguousarray(self.outputs.T), np.exp(np.minimum(self.bias, 80)), np.empty((ROOM, CLASSES), np.float32), most
 
-    def log10s(self, ids: np.ndarray, end: int, prepared: tuple[np.ndarray, list[np.ndarray]] | None = None) -> np.ndarray:
+    def log10s(self, ids: np.ndarray, end: int, prepared: tuple | None = None) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
         out = np.empty(len(ids))
-        weights, tables = prepared or self.prepared()
-        ones, block = np.ones(CLASSES, np.float32), np.empty((512, CLASSES), np.float32)
-        most = float(np.linalg.norm(self.outputs, axis=1).max()), float(np.abs(self.bias).max())
-        for lo in range(0, len(ids), 4096):
+        weights, factors, block, most = prepared or self.prepared()
+        for lo in range(0, len(ids), BATCH):
             first = max(0, lo - LONG)
-            context = self.summed(ids[first : lo + 4096], end, tables)[lo - first :]
+            context = self.contexts(ids[first : lo + BATCH], end)[0][lo - first :]
             # Scores stay far below 80; where they could not, the bound keeps the sum finite.
-            tame = float(np.linalg.norm(context, axis=1).max()) * most[0] + most[1] < 80
+            tame = float(np.sqrt(np.einsum("ij,ij->i", context, context).max())) * most[0] + most[1] < 80
             for at in range(0, len(context), len(block)):
                 part = context[at : at + len(block)]
                 s = np.matmul(part, weights, out=block[: len(part)])
-                if not tame:
+                target = ids[lo + at : lo + at + len(s)]
+                own = s[np.arange(len(s)), target] + self.bias[target]
+                if tame:
+                    total = np.exp(s, out=s) @ factors
+                else:
+                    s += self.bias
                     np.minimum(s, 80, out=s)
-                own = s[np.arange(len(s)), ids[lo + at : lo + at + len(s)]]
-                np.exp(s, out=s)
-                out[lo + at : lo + at + len(s)] = own - np.log(s @ ones)
+                    own = np.minimum(own, 80)
+                    total = np.exp(s, out=s).sum(axis=1)
+                out[lo + at : lo + at + len(s)] = own - np.log(total)
         return out / LOG10
 
 
+def moving_sum(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of each ``width`` consecutive rows, from sums of powers of two."""
+    n, out, at, size = len(x) - width + 1, np.zeros(1, x.dtype), 0, 1
+    while size <= width:
+        if width & size:
+            out = out + x[at : at + n]
+            at += size
+        if 2 * size <= width:
+            x = x[size:] + x[:-size]
+        size *= 2
+    return out
+
+
 class Trainer:
     """Noise-contrastive steps with rates of their own for every parameter."""
 
@@ -242,19 +246,18 @@ class Trainer:
             self.step(ids[first : at + BATCH], own[at : at + BATCH], at - first)
 
     def step(self, ids: np.ndarray, own: np.ndarray, skip: int) -> None:
-        m = self.m
-        context, places, long = m.contexts(ids, self.end)
-        context, places, long, target = context[skip:][own], [k[skip:][own] for k in places], long[skip:][own], ids[skip:][own]
-        if not len(target):
+        m, rows = self.m, np.flatnonzero(own) + skip
+        if not len(rows):
             return
+        context, places, long, padded = m.contexts(ids, self.end)
+        context, target = context[rows], ids[rows]
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), CLASSES - 1)
         own_out = m.outputs[target]
         right = np.einsum("ij,ij->i", context, own_out) + m.bias[target] - self.log_noise[target]
         some = m.outputs[noise]
-        g_wrong = context @ some.T
-        g_wrong += m.bias[noise] - self.log_noise[noise]
+        g_wrong = context @ -some.T
+        g_wrong -= m.bias[noise] - self.log_noise[noise]
         g_right = (1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1).astype(np.float32) / len(target)
-        np.negative(g_wrong, out=g_wrong)
         with np.errstate(over="ignore"):  # to zero
             np.exp(g_wrong, out=g_wrong)
         g_wrong += 1
@@ -262,12 +265,17 @@ class Trainer:
         g_context = g_wrong @ some
         g_context += g_right[:, None] * own_out
         g_out = np.concatenate([g_right[:, None] * context, g_wrong.T @ context])
-        rows = np.concatenate([target, noise])
-        g_places = np.stack([np.einsum("ij,ij->j", g_context, m.vectors[k]) for k in places] + [np.einsum("ij,ij->j", g_context, long)])
-        g_in = np.concatenate([g_context * m.places[d] for d in range(ORDER)])
-        self._move(2, rows, g_out)
-        self._move(3, rows, np.concatenate([g_right, g_wrong.sum(0)]))
-        self._move(0, np.concatenate(places), g_in)
+        spread = np.zeros_like(long)
+        spread[rows] = g_context
+        g_places = np.stack([np.einsum("ij,ij->j", spread, v) for v in [*places, long]])
+        # What a word gets from all places that it has; the first ids of ``padded`` have none.
+        g_in, scaled = np.zeros((len(ids) + ORDER - 1, DIM), np.float32), np.empty_like(spread)
+        for d in range(ORDER):
+            g_in[ORDER - 1 - d : ORDER - 1 - d + len(ids)] += np.multiply(spread, m.places[d], out=scaled)
+        outputs = np.concatenate([target, noise])
+        self._move(2, outputs, g_out)
+        self._move(3, outputs, np.concatenate([g_right, g_wrong.sum(0)]))
+        self._move(0, padded[LONG - ORDER :], g_in)
         self._move(1, None, g_places)
 
 
@@ -394,16 +402,20 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
 
     def score(batches):
         model, words, arrow = Model.of(final.value), lexicon.value, to_arrow_schema(SCORED)
-        prepared = model.prepared()
+        prepared, pair = model.prepared(), arrow.field("rare").type.value_type
         for doc_ids, found in _slices(batches):
-            out = []
+            out, rares, times = [], [], []
             for i, (h, buckets) in zip(doc_ids, found, strict=True):
                 codes, rare = words.encode(h, buckets)
                 ids = words.classes[codes].astype(np.int64)
                 mine = float(model.log10s(ids, end, prepared).sum() + within.value[codes].sum())
                 rare, n = np.unique(rare.view(np.int64), return_counts=True)
-                out.append((i, len(ids), int(words.seen[codes].sum()), float(words.log_count[codes].sum()), mine, [{"h": w, "n": k} for w, k in zip(rare.tolist(), n.tolist(), strict=True)]))
-            yield to_batch(out, arrow)
+                rares.append(rare)
+                times.append(n)
+                out.append((i, len(ids), int(words.seen[codes].sum()), float(words.log_count[codes].sum()), mine))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(rares), pa.int64()), pa.array(np.concatenate(times), pa.int32())], fields=list(pair))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rares)]), pa.int32()), pairs).cast(arrow.field("rare").type)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=False)), lists], schema=arrow)
 
     scored = scratch.keep(docs.mapInArrow(score, SCORED).withColumn("row", F.monotonically_increasing_id()))
     joined = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.n").join(counts, "h")
