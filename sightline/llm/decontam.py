@@ -5,18 +5,20 @@ without spaces is a word of its own. They are hashed as whole arrays of code poi
 and the first 16 bits of the hash are the ``FEATURES`` columns, weighted by inverse
 document frequency over all documents.
 
-A randomised SVD of the TF-IDF passages (those of a bounded sample: the benchmark
-and ``FIT_DOCS`` documents, ``FIT_PASSAGES`` of each at most) gives a latent space:
-power iterations multiply a random block by the passages and back, task by task,
-and sum the pieces in Spark; blocks of FEATURES x DIM numbers come to the driver one
-after the other. Directions are scaled by their singular values, since the strongest
-tell languages and not passages apart.
+A randomised SVD of the TF-IDF passages, those of all documents and of the benchmark,
+gives a latent space: two passes multiply a block by all passages and back, task by task,
+and sum the pieces in Spark; the first block is random, and a Nystroem approximation
+from the second's product takes the place of more passes. They read the features of
+the words (two bytes each), which are written once. A task hands over one sum of
+FEATURES x (DIM + OVER) numbers, so there is one for ``TASK_WORDS`` words; sums come to
+the driver one after the other. Directions are scaled by their singular values, since the
+strongest tell languages and not passages apart.
 
 Search: an inverted index has the rarer half of each item's words. A text whose
 longest common subsequence with an item of n words is ``LCS`` * n or more has at
 least a known number of these words within 2n words; only such places are
 looked at, in windows of n words, whose latent vectors must come within ``COSINE`` of
-the item's. All of a document is searched, and the index loses nothing before the
+the item's; one window begins where a copy would, so that no copy is lost. All of a document is searched, and the index loses nothing before the
 cosine. The windows are then verified: enough of the item's words, LCS, and below ``COPY``
 the answer check for paraphrases: of the words of ``answer``, where the benchmark has
 that column, the share ``ANSWER`` must be there.
@@ -50,8 +52,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, fresh, to_batch
 
-FEATURE_BITS, DIM, OVER, POWER, FIT_DOCS, FIT_PASSAGES, PASSAGE = 16, 64, 8, 2, 3000, 30_000, 48
+FEATURE_BITS, DIM, OVER, PASSAGE = 16, 64, 8, 48
 FEATURES = 1 << FEATURE_BITS
+#: Words for each task of the fit, and tasks at least; passages that are worked on together.
+TASK_WORDS, TASKS, TOGETHER = 16_000_000, 8, 512
 ITEMS, ITEM_BYTES = 2000, 4 << 20
 COSINE, SHARED, LCS, COPY, ANSWER = 0.5, 0.5, 0.6, 0.8, 0.6
 SHORT, SHORT_CHARS = 6, 16
@@ -211,8 +215,8 @@ class Index:
         for places, i, d in zip(np.split(at, cut), item[np.append(0, cut)].tolist(), doc[np.append(0, cut)].tolist(), strict=True):
             yield d, i, places
 
-    def windows(self, h: np.ndarray, k: int, lo: int, hi: int) -> Iterator[tuple[float, int]]:
-        """(cosine, first word) of the windows of the item's length between two words that are near it."""
+    def windows(self, h: np.ndarray, k: int, lo: int, hi: int, whole: np.ndarray) -> Iterator[tuple[float, int]]:
+        """(cosine, first word) of the windows of the item's length between two words that are near it: some, and those from ``whole``."""
         n = len(self.items[k].words)
         step = max(1, n // 4)
         for at in range(lo, max(lo + 1, hi - n + 1), step * 2048):
@@ -220,6 +224,7 @@ class Index:
             x = self.vectors[columns_of(h[at:to])]
             sums = np.concatenate([np.zeros((1, x.shape[1]), np.float32), np.cumsum(x, axis=0)])
             start = np.arange(0, max(1, min(step * 2048, to - at - n + 1)), step)
+            start = np.union1d(start, whole[(whole >= at) & (whole < at + step * 2048) & (whole + n <= to)] - at)
             own = sums[np.minimum(start + n, len(x))] - sums[start]
             cosine = own @ self.latent[k] / np.maximum(np.linalg.norm(own, axis=1), 1e-9)
             for j in np.flatnonzero(cosine >= COSINE).tolist():
@@ -239,7 +244,8 @@ class Index:
                 if len(start) and (not x.alone or end - begin == n):
                     best.setdefault((d, k), (1.0, 1.0, None, int(start[0]) - begin, n))
                 continue
-            for cosine, start in self.windows(h, k, max(begin, int(places[0]) - n), min(end, int(places[-1]) + n + 1)):
+            whole = places[h[places] == x.words[self.rarest[k]]] - self.rarest[k]  # where a copy would begin
+            for cosine, start in self.windows(h, k, max(begin, int(places[0]) - n), min(end, int(places[-1]) + n + 1), whole):
                 lo, hi = max(begin, start - n // 2), min(end, start + n + n // 2)
                 around = h[lo:hi].tolist()
                 there = x.distinct.intersection(around)
@@ -255,7 +261,7 @@ class Index:
 
 
 FREQUENCIES = T.StructType([T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType())])
-PASSAGES = T.StructType([T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
+WORDS = T.StructType([T.StructField("features", T.BinaryType())])
 HITS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType()),
     T.StructField("answer", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()),
@@ -283,89 +289,128 @@ def _blocks(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=FREQUENCIES.names)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents with each feature, over all documents, and their number."""
+def features(texts: DataFrame) -> DataFrame:
+    """The 16-bit features of the words of each text."""
 
     def run(batches):
-        own = np.zeros(FEATURES + 1, np.int64)
         for _, h, bounds in _slices(batches):
-            key = np.sort(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << FEATURE_BITS | columns_of(h))
-            own[:-1] += np.bincount(key[np.append(True, key[1:] != key[:-1])] & (FEATURES - 1) if len(key) else key, minlength=FEATURES)
-            own[-1] += len(bounds) - 1
-        yield from _blocks(own)
+            data, edges = columns_of(h).astype("<u2").tobytes(), (2 * bounds).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=WORDS.names)
 
-    found = _summed(docs.select("text").mapInArrow(run, FREQUENCIES), np.zeros(FEATURES + 1, np.int64))
-    return found[:-1], int(found[-1])
+    return texts.select("text").mapInArrow(run, WORDS)
 
 
-def passages(texts: DataFrame) -> DataFrame:
-    """At most FIT_PASSAGES passages (16-bit features) of ``texts``, those of the least hashes."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of the words of rows of about CHARS / 4 words together, and where each row's begin (and the last ends)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = batch.column(0).cast(pa.large_binary())
+        _, offsets, data = col.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] // 2
+        words = np.frombuffer(data, "<u2", int(bounds[-1])) if bounds[-1] else np.zeros(0, "<u2")
+        at = 0
+        while at < len(col):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (CHARS >> 2), "right")) - 1)
+            yield words[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
+            at = to
+
+
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents with each feature, over all ``features`` of documents, their number, and that of their words."""
 
     def run(batches):
-        for rows, h, bounds in _slices(batches):
-            cols = columns_of(h).astype("<u2")
-            out = [(key - (1 << 63), part.tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for at in range(a, b, PASSAGE) if len(part := cols[at : min(at + PASSAGE, b)]) for key in [int(h[at]) ^ 0x9E3779B97F4A7C15]]
-            for at in range(0, len(out), 4096):
-                yield to_batch(out[at : at + 4096], to_arrow_schema(PASSAGES))
-
-    return texts.select("text").mapInArrow(run, PASSAGES).orderBy("h", "ids").limit(FIT_PASSAGES).select("ids")
-
-
-def latent_space(fit: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """FEATURES x DIM: right singular vectors of the TF-IDF passages ``fit`` (a bounded
-    table) over their singular values, by randomised power iteration."""
-    sc = fit.sparkSession.sparkContext
-    weight = sc.broadcast(idf)
+        own = np.zeros(FEATURES + 2, np.int64)
+        for words, bounds in _features(batches):
+            key = np.sort(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << FEATURE_BITS | words)
+            own[:-2] += np.bincount(key[np.append(True, key[1:] != key[:-1])] & (FEATURES - 1) if len(key) else key, minlength=FEATURES)
+            own[-2:] += len(bounds) - 1, len(words)
+        yield from _blocks(own)
 
-    def times(block: np.ndarray, square: bool) -> np.ndarray:
-        """AtA x block, or the small (A block)t (A block)."""
-        sent = sc.broadcast(block)
+    found = _summed(rows.mapInArrow(run, FREQUENCIES), np.zeros(FEATURES + 2, np.int64))
+    return found[:-2], int(found[-2]), int(found[-1])
+
+
+def passages(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The TF-IDF passages of texts, TOGETHER at a time: PASSAGE features each, sorted (FEATURES: none), and their weights."""
+    n = -(-np.diff(bounds) // PASSAGE)
+    start = np.repeat(bounds[:-1] - (np.cumsum(n) - n) * PASSAGE, n) + np.arange(n.sum()) * PASSAGE
+    edges, idf = np.append(start, len(words)), np.append(idf, np.float32(0))
+    for at in range(0, len(start), TOGETHER):
+        own = edges[at : at + TOGETHER + 1]
+        place = own[:-1, None] + np.arange(PASSAGE)
+        k = words.take(place, mode="clip").astype(np.int32)
+        k[place >= own[1:, None]] = FEATURES
+        k.sort(axis=1)
+        weight, flat = idf[k], k.ravel()
+        first = np.append(True, flat[1:] != flat[:-1])
+        first[::PASSAGE] = True
+        first = np.flatnonzero(first)
+        square = (weight.ravel()[first] * np.diff(np.append(first, k.size))) ** 2
+        yield k, weight / np.sqrt(np.add.reduceat(square, np.searchsorted(first, np.arange(0, k.size, PASSAGE))))[:, None].astype(np.float32)
+
+
+def add_products(total: np.ndarray, k: np.ndarray, weight: np.ndarray, block: np.ndarray) -> None:
+    """Adds AtA x block for the passages ``k`` with ``weight``; words that are as frequent as each other are summed together."""
+    y = (weight[:, None, :] @ block.take(k, axis=0, mode="clip"))[:, 0]
+    at = np.flatnonzero(k.ravel() < FEATURES)
+    own = k.ravel()[at].astype(np.uint16)
+    order = np.argsort(own, kind="stable")
+    own, at = own[order], at[order]
+    value, row = weight.ravel()[at], at // k.shape[1]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    count = np.diff(np.append(first, len(own)))
+    for n in np.unique(count).tolist():
+        some = first[count == n]
+        place = some[:, None] + np.arange(n)
+        total[own[some]] += (value[place][:, None, :] @ y.take(row[place], axis=0))[:, 0]
+
+
+def latent_space(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """FEATURES x DIM: right singular vectors of the TF-IDF passages A of all ``features`` over their singular values."""
+    sc = rows.sparkSession.sparkContext
+
+    def times(width: int, block: np.ndarray | None) -> np.ndarray:
+        """AtA x block, or a random block."""
+        sent = sc.broadcast((idf, block))
 
         def run(batches):
-            b, w = sent.value, weight.value
-            total = np.zeros((b.shape[1], b.shape[1]) if square else b.shape, np.float32)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    own = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(0)[at : at + 256]]
-                    key, n = np.unique(np.repeat(np.arange(len(own)), [len(x) for x in own]) << FEATURE_BITS | np.concatenate(own), return_counts=True)
-                    row, k = key >> FEATURE_BITS, key & (FEATURES - 1)
-                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    value = (n * w[k]).astype(np.float32)
-                    value /= np.maximum(np.sqrt(np.add.reduceat(value * value, first)), 1e-9)[row]
-                    y = np.add.reduceat(value[:, None] * b[k], first, axis=0)
-                    if square:
-                        total += y.T @ y
-                        continue
-                    order = np.argsort(k, kind="stable")
-                    k = k[order]
-                    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                    total[k[first]] += np.add.reduceat((value[:, None] * y[row])[order], first, axis=0)
+            w, b = sent.value
+            b = np.random.default_rng(13).standard_normal((FEATURES, width), np.float32) if b is None else b
+            total = np.zeros((FEATURES, width), np.float32)
+            for words, bounds in _features(batches):
+                for k, weight in passages(words, bounds, w):
+                    add_products(total, k, weight, b)
             yield from _blocks(total)
 
-        out = _summed(fit.mapInArrow(run, FREQUENCIES), np.zeros((block.shape[1], block.shape[1]) if square else block.shape, np.float32))
-        sent.unpersist()
+        out = _summed(rows.mapInArrow(run, FREQUENCIES), np.zeros((FEATURES, width), np.float32))
+        sent.destroy()
         return out
 
-    def orthonormal(y: np.ndarray) -> np.ndarray:
-        """By the Gram matrix, so that no second block is made."""
-        gram = np.zeros((y.shape[1], y.shape[1]))
-        for part in np.array_split(y, BLOCKS):
-            gram += part.T.astype(np.float64) @ part.astype(np.float64)
-        values, turn = np.linalg.eigh(gram)
-        some = values > 1e-7 * max(1e-30, float(values[-1]))
-        turn = (turn[:, some] / np.sqrt(values[some])).astype(np.float32)
-        out = np.empty((len(y), turn.shape[1]), np.float32)
-        np.matmul(y, turn, out=out)
-        return out
+    def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(a.T.astype(np.float64) @ b for a, b in zip(np.array_split(x, BLOCKS), np.array_split(y, BLOCKS), strict=True))
+
+    def scaled(square: np.ndarray, least: float, power: float) -> np.ndarray:
+        """Its eigenvectors of more than ``least`` of the largest eigenvalue, the largest first, times a power of their eigenvalues."""
+        values, turn = np.linalg.eigh((square + square.T) / 2)
+        some = np.flatnonzero(values > least * max(1e-30, float(values[-1])))[::-1]
+        return turn[:, some] * values[some] ** power
+
+    def turned(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """x turn, in the place of ``x``."""
+        for part in np.array_split(x, BLOCKS):
+            part[:, : turn.shape[1]] = part @ turn.astype(np.float32)
+        return x[:, : turn.shape[1]]
 
-    block = np.random.default_rng(13).normal(size=(FEATURES, DIM + OVER)).astype(np.float32)
-    for _ in range(POWER):
-        block = orthonormal(times(block, False))
-    values, turn = np.linalg.eigh(times(block, True).astype(np.float64))
-    order = np.argsort(values)[::-1]
-    order = order[values[order] > 1e-6 * max(1e-30, float(values.max(initial=0)))][:DIM]
-    weight.unpersist()
-    return block @ (turn[:, order] / np.sqrt(values[order])).astype(np.float32)
+    block = times(DIM + OVER, None)
+    block = np.ascontiguousarray(turned(block, scaled(product(block, block), 1e-7, -0.5)))
+    if not block.shape[1]:  # no words
+        return block
+    # AtA is nearly C Ct with C = AtA Q (Qt AtA Q)^-1/2, and has its left singular vectors.
+    found = times(block.shape[1], block)
+    half = scaled(product(block, found), 1e-6, -0.5)
+    del block
+    return np.ascontiguousarray(turned(found, half @ scaled(half.T @ product(found, found) @ half, 1e-6, -1.0)[:, :DIM]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -378,14 +423,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(-(-n // ITEMS), -(-size // ITEM_BYTES))
     if not n:
         return spark.createDataFrame([], HITS)
-    df, total = document_frequencies(docs)
+    known = scratch.keep(features(docs))
+    df, total, words = document_frequencies(known)
     idf = np.log((total + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-    hashed = docs.select(F.xxhash64("doc_id").alias("h"), "text")
-    some = hashed.select("h").distinct().orderBy("h").limit(FIT_DOCS)
-    sample = hashed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text"))
-    fit = scratch.keep(passages(sample).union(passages(items)).repartition(8))  # bounded, so a fixed number of tasks does
-    vectors = latent_space(fit, idf)
-    scratch.drop(fit)
+    vectors = latent_space(known.union(features(items)).coalesce(max(TASKS, words // TASK_WORDS)), idf)
+    scratch.drop(known)
     vectors *= (idf * idf)[:, None]
     found = []
     for k in range(blocks):

@@ -91,6 +91,37 @@ def test_recall_in_the_fitted_space_against_brute_force(spark, frame):
     assert all((d, k) in found for d, k in enumerate(planted) if k is not None and d % 4 == 0 and (d, k) in want)  # exact copies
 
 
+def cosine_by_all_passages(texts, item, other):
+    """Of the two texts in the space of all passages, where words are fewer than its dimensions."""
+    cols = [decontam.columns_of(decontam.word_hashes([t])[0]) for t in [*texts, item]]
+    used = np.unique(np.concatenate(cols))
+    df = np.array([sum(c in own for own in map(set, cols[:-1])) for c in used.tolist()])
+    idf = np.log((len(texts) + 1) / (df + 1)) + 0.05
+    counts = lambda c: np.bincount(np.searchsorted(used, c), minlength=len(used)) * idf
+    a = np.array([counts(c[at : at + decontam.PASSAGE]) for c in cols for at in range(0, len(c), decontam.PASSAGE)])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    inner = np.linalg.pinv(a.T @ a)
+    x, y = (counts(decontam.columns_of(decontam.word_hashes([t])[0])) * idf for t in (item, other))
+    return x @ inner @ y / np.sqrt((x @ inner @ x) * (y @ inner @ y))
+
+
+def found_cosine(spark, frame, texts, item):
+    return next(r.cosine for r in decontam.contaminated(frame(texts), items(spark, [item])).collect() if r.doc_id == 0)
+
+
+def paraphrase(rng):
+    words = [f"w{k}" for k in range(40)]
+    item = words[:12]
+    return words, " ".join(item), " ".join("w30" if k == 5 else w for k, w in enumerate(item))
+
+
+def test_space_is_of_all_documents(spark, frame):
+    rng = random.Random(11)
+    words, item, other = paraphrase(rng)
+    texts = [other, *(" ".join(rng.choices(words, range(1, 41), k=30)) for _ in range(3600))]
+    assert abs(found_cosine(spark, frame, texts, item) - cosine_by_all_passages(texts, item, other)) < 1e-4
+
+
 def test_index_loses_nothing(spark):
     """Without the cosine, regions hold every text of enough LCS."""
     rng = random.Random(8)
@@ -106,6 +137,17 @@ def test_index_loses_nothing(spark):
         assert any(i == k and p[0] < 50 + len(kept) and p[-1] >= 50 for _, i, p in index.regions(mixed, np.array([0, len(mixed)])))
 
 
+def test_cosine_loses_no_copy():
+    """Wherever a copy begins, also when what is beside it outweighs it in the space."""
+    item = [f"w{k}" for k in range(12)]
+    vectors = np.random.default_rng(2).normal(size=(decontam.FEATURES, decontam.DIM)).astype(np.float32)
+    vectors[decontam.columns_of(decontam.word_hashes(["heavy"])[0])] *= 1000
+    index = decontam.Index([decontam.Item(7, " ".join(item), None)], vectors, np.ones(decontam.FEATURES, np.float32))
+    for n in range(30):
+        h, bounds = decontam.word_hashes([" ".join(["x"] * n + ["heavy"] + item + ["heavy"] + ["y"] * 20)])
+        assert [(d, i) for d, i, *_ in index.hits(h, bounds)] == [(0, 7)]
+
+
 def test_short_items_and_unspaced_scripts(spark, frame):
     bench = items(spark, ["yes no", "incontrovertible evidence", "\u6c34\u306f\u6c34\u7d20\u3068\u9178\u7d20\u304b\u3089\u3067\u304d\u3066\u3044\u308b"])
     docs = frame(["Yes; no!", "oh yes no", "what incontrovertible EVIDENCE there is", "\u5148\u751f\u300c\u6c34\u306f\u6c34\u7d20\u3068\u9178\u7d20\u304b\u3089\u3067\u304d\u3066\u3044\u308b\u300d\u3068", "evidence incontrovertible"])
