@@ -122,6 +122,16 @@ def test_space_is_of_all_documents(spark, frame):
     assert abs(found_cosine(spark, frame, texts, item) - cosine_by_all_passages(texts, item, other)) < 1e-4
 
 
+def test_space_is_of_all_passages(spark, frame):
+    """Of 36,000 passages of few documents, too."""
+    rng = random.Random(12)
+    words, item, other = paraphrase(rng)
+    texts = [other, *(" ".join(rng.choices(words[k % 8 :], range(1, 41 - k % 8), k=72_000)) for k in range(24))]
+    found = [r.cosine for r in decontam.contaminated(frame(texts), items(spark, [item])).collect() if r.doc_id == 0]
+    assert abs(found[0] - cosine_by_all_passages(texts, item, other)) < 1e-4
+    assert decontam.without_contaminated(frame(texts), items(spark, [item])).filter("doc_id = 0").isEmpty()
+
+
 def test_index_loses_nothing(spark):
     """Without the cosine, regions hold every text of enough LCS."""
     rng = random.Random(8)
