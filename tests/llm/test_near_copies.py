@@ -72,3 +72,18 @@ def test_odd_rows(odd, none):
     texts = [r.text for r in odd.collect()]
     assert kept.count() == len(kept_by_brute_force(texts))
     assert near_copies.one_of_each(none).collect() == []
+
+
+def test_few_links_need_no_rounds(spark, tmp_path, monkeypatch):
+    """Their components come by one query, and are those that rounds give."""
+    rng = random.Random(21)
+    edges = spark.createDataFrame([(rng.randint(-500, 500), rng.randint(-500, 500)) for _ in range(450)] + [(k, k + 1) for k in range(1000, 1300)], "a long, b long")
+    asked = []
+    scratch = near_copies.Scratch(spark, "test")
+    monkeypatch.setattr(scratch, "keep", lambda df, keep=scratch.keep: asked.append(1) or keep(df))
+    roots = lambda: {(r.node, r.root) for r in near_copies._roots(edges, scratch).collect() if r.node != r.root}
+    few = roots()
+    assert len(asked) == 1
+    monkeypatch.setattr(near_copies, "LINKS", 10)
+    assert few == roots() and len(few) > 600
+    assert near_copies._roots(edges.limit(0), scratch).collect() == []
