@@ -20,6 +20,8 @@ else too is removed; matches never cross documents.
    after h rounds rows are in the order of their first h symbols. Rows that still are in one
    block after as many rounds as a window has symbols form a repeated interval;
    the round in which neighbours part is their common prefix. No suffix is sorted again.
+   Only rows at which a window ends go through the rounds, as far as its start, and a row
+   that is alone in its block leaves: equal windows are in one block in every round.
 4. An anchor with over ``MOST`` distinct contexts is not gathered in one batch: its windows
    are counted by hash instead, which is exact too and aggregates before the shuffle.
 5. Repeated windows are joined back to the occurrences, and removed.
@@ -97,16 +99,25 @@ def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
     Each string ends with a symbol 0 of its own. Rows of these ends come first.
     """
-    ended = [np.append(s, 0) for s in strings]
-    flat = np.concatenate(ended).astype(">u2")
-    buffer, ends = flat.tobytes(), np.cumsum([len(s) for s in ended]) - 1
-    end_of = np.repeat(ends, [len(s) for s in ended]).tolist()
-    rows = np.array(sorted(range(len(flat)), key=lambda i: buffer[2 * i : 2 * end_of[i] + 2]))
-    before = np.where(np.isin(rows, np.append(0, ends[:-1] + 1)), 0, flat.astype(np.uint16)[rows - 1])
+    flat = np.concatenate([x for s in strings for x in (s, [0])]).astype(np.uint16)
+    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
+    n, k = len(flat), 1
+    rank = flat.astype(np.int64) + len(ends)
+    rank[ends] = np.arange(len(ends))
+    while True:  # by the first k symbols; ends differ, so that no order reaches past them
+        rows = np.argsort(rank)
+        own = rank[rows]
+        place = np.cumsum(np.append(False, own[1:] != own[:-1]))
+        rank[rows] = place
+        if place[-1] == n - 1:
+            break
+        rank = rank * n + rank[np.minimum(np.arange(k, n + k), n - 1)]
+        k *= 2
+    before = np.roll(flat, 1)[rows]
     to = np.zeros(len(rows), np.int64)
     live = np.flatnonzero(before)
     to[live[np.argsort(before[live], kind="stable")]] = np.arange(len(ends), len(rows))
-    return before.astype(np.uint16), to, rows
+    return before, to, rows
 
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +146,29 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -
     return rows, block, prefix
 
 
+def repeated_ends(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ends: np.ndarray, depth: int) -> np.ndarray:
+    """Those of the rows ``ends`` (numbered through the shards) that have the same ``depth`` symbols before them as some other has.
+
+    The rounds of ``merge`` for these rows alone: each goes to its last-to-first place, stably by preceding symbol,
+    and a row that is by itself in its block is left out, since it stays so.
+    """
+    first = np.cumsum([0, *(len(b) for b, _, _ in shards[:-1])])
+    before = np.concatenate([b for b, _, _ in shards])
+    to = np.concatenate([t + f for (_, t, _), f in zip(shards, first, strict=True)])
+    rows = ends
+    block = np.zeros(len(rows), np.int32)
+    for _ in range(depth):
+        symbol = before[rows]
+        order = np.argsort(symbol, kind="stable")
+        symbol, block = symbol[order], block[order]
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        several = np.flatnonzero(~(new[:-1] & new[1:]))
+        order, block = order[several], np.cumsum(new[:-1], dtype=np.int32)[several]
+        rows, ends = to[rows[order]], ends[order]
+    return ends
+
+
 def repeated_windows(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
     """For each anchor's distinct contexts (bytes, place of the anchor): the windows
     of each that some other context of the same anchor has as well."""
@@ -157,18 +191,18 @@ def repeated_windows(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndar
         owner.append(own[shards[-1][2]])
         offset.append(start[shards[-1][2]])
         at = to
-    rows, block, _ = merge(shards, SPAN)
-    size = np.bincount(block)
-    found = rows[size[block] > 1]
-    owner, offset = np.concatenate(owner)[found], np.concatenate(offset)[found]
+    owner, offset = np.concatenate(owner), np.concatenate(offset)
+    length = np.array([len(s) for s in strings])
+    off = np.array([off for members in groups for _, off in members])
+    x = offset - SPAN  # of the window that ends before the row's suffix
+    found = repeated_ends(shards, np.flatnonzero((x >= 0) & (x <= off[owner]) & (offset <= length[owner])), SPAN)
+    owner, offset = owner[found], offset[found] - SPAN
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * len(members) for members in groups]
     order = np.lexsort((offset, owner))
     owner, offset = owner[order], offset[order]
     for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1) if len(owner) else []:
         g, k = where[owner[part[0]]]
-        data, off = groups[g][k]
-        x = offset[part]
-        out[g][k] = x[(x <= off) & (x + LENGTH <= len(data))]
+        out[g][k] = offset[part]
     return out
 
 

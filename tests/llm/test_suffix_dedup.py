@@ -97,6 +97,41 @@ def test_merge_sorts_and_finds_common_prefixes():
         assert (block[k] == block[k - 1]) == (common >= depth)
 
 
+def test_rounds_of_window_ends_alone():
+    """The rows that stand in a block of several after all rounds of ``merge``; few rows go through the last rounds."""
+    rng = random.Random(9)
+    strings = [np.array(rng.choices([1, 2], k=rng.randint(1, 60))) for _ in range(40)] + [np.arange(1, 400)]
+    shards = [bwt.transform(s) for s in (strings[:9], strings[9:30], strings[30:])]
+    for depth in (1, 5, 9):
+        rows, block, _ = bwt.merge(shards, depth)
+        alike = set(rows[np.bincount(block)[block] > 1].tolist())
+        flat, first = [], 0  # (start, string) of the suffix of every row
+        for s, (_, _, order) in zip((strings[:9], strings[9:30], strings[30:]), shards, strict=True):
+            every = [(i, k + first) for k, x in enumerate(s) for i in range(len(x) + 1)]
+            flat += [every[p] for p in order]
+            first += len(s)
+        row_of = {x: r for r, x in enumerate(flat)}
+        ends = np.array([r for r, (i, _) in enumerate(flat) if i >= depth])
+        found = bwt.repeated_ends(shards, ends, depth)
+        assert {row_of[flat[r][0] - depth, flat[r][1]] for r in found.tolist()} == {r for r in alike if flat[r][0] + depth <= len(strings[flat[r][1]])}
+        seen = Counter(tuple(x[i : i + depth]) for x in strings for i in range(len(x) - depth + 1))
+        assert len(found) == sum(n for n in seen.values() if n > 1)
+
+
+def test_shards_and_rounds_stay_cheap():
+    """Symbols of contexts that differ near their ends: about a third of the rows are window ends, and most leave in the first rounds."""
+    rng = np.random.default_rng(10)
+    anchor = rng.integers(0, 256, bwt.ANCHOR, np.uint8).tobytes()
+    groups = [[(rng.integers(0, 256, 72, np.uint8).tobytes() + anchor + rng.integers(0, 256, 72, np.uint8).tobytes(), 72) for _ in range(2)] for _ in range(300)]
+    moved = []
+    plain = np.argsort
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(np, "argsort", lambda x, **kw: moved.append(len(x)) or plain(x, **kw))
+        found = bwt.repeated_windows(groups)
+    assert not any(len(x) for g in found for x in g)
+    assert sum(moved) < 20 * sum(len(d) - bwt.ANCHOR + 2 for g in groups for d, _ in g)  # it was over 73 times the symbols
+
+
 def test_stage_and_odd(frame, odd, none):
     texts = corpus(8)
     docs = frame(texts)
