@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, map_batches
+from .common import Scratch, fresh, map_batches, trim, trimmed
 
 LENGTH, ANCHOR = 200, 128
 SPAN = LENGTH - ANCHOR + 1  # windows that can share one anchor; also the symbols of a window whose anchor is one
@@ -296,8 +296,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): doc_id, r, text of every row; doc_id, r and the list of repeated byte spans of those that have any."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), "text")
     keyed = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "r", "text")
-    anchors = scratch.keep(docs.select("text").mapInArrow(_count_anchors, ANCHORS).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    places = scratch.keep(keyed.mapInArrow(_list_contexts, PLACES).join(anchors, "h", "left_semi"))
+    anchors = scratch.keep(docs.select("text").mapInArrow(trimmed(_count_anchors), ANCHORS).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    places = scratch.keep(keyed.mapInArrow(trimmed(_list_contexts), PLACES).join(anchors, "h", "left_semi"))
     distinct = scratch.keep(places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "r", "place")).alias("at")))
     several = scratch.keep(distinct.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"))
     wanted = scratch.keep(distinct.select("h", "c", "at.*").join(several, "h"))
@@ -305,8 +305,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     data = F.substring(F.col("text").cast("binary"), F.shiftright("place", 20).cast("int") + 1, shift(10, 10) + LENGTH - 1)
     listed = keyed.join(wanted.groupBy("doc_id", "r").agg(F.collect_list(F.struct("h", "c", "place", "k")).alias("w")), ["doc_id", "r"]).dropDuplicates(["doc_id", "r"])
     bodies = scratch.keep(listed.select("text", F.explode("w").alias("x")).select("x.*", "text").select("h", "c", "k", data.alias("data"), shift(0, 10).alias("off")))
-    few = bodies.filter(F.col("k") <= MOST).select("h", "c", "data", "off").repartition("h").sortWithinPartitions("h").mapInArrow(_merge_batches, RUNS)
-    windows = scratch.keep(bodies.filter(F.col("k") > MOST).select("h", "c", "data").mapInArrow(_window_hashes, WINDOWS))
+    few = bodies.filter(F.col("k") <= MOST).select("h", "c", "data", "off").repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_merge_batches), RUNS)
+    windows = scratch.keep(bodies.filter(F.col("k") > MOST).select("h", "c", "data").mapInArrow(trimmed(_window_hashes), WINDOWS))
     shared = windows.groupBy("h", "x").agg(F.count("*").alias("k")).filter("k > 1")
     many = windows.join(shared, ["h", "x"]).select("h", "c", F.col("w").alias("lo"), F.col("w").alias("hi"))
     whole = distinct.filter("n > 1").select("h", "c", F.lit(0).cast("bigint").alias("lo"), F.shiftright("at.place", 10).bitwiseAND(F.lit(1023)).cast("bigint").alias("hi") - 1)
@@ -370,8 +370,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     joined = docs.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col(i)) & (F.xxhash64("doc_id", "text") == F.col(r)), "left")
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return text.combine(spans, lambda t, s: t if s is None else _cut(t.encode(), list(s))[0].decode(errors="ignore"))
+    def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, spans in parts:
+            yield text.combine(spans, lambda t, s: t if s is None else _cut(t.encode(), list(s))[0].decode(errors="ignore"))
+        trim()
 
     cut = joined.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(kept("text", own)))
     if "n_chars" in docs.columns:

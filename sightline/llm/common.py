@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of output, and bytes of input behind them, after which an Arrow batch is handed back to the JVM.
 OUT_ROWS, OUT_BYTES = 4096, 4 << 20
+#: Bytes of an Arrow batch on the way to Python.
+BATCH_BYTES = 8 << 20
 
 
 def fresh(df: DataFrame, n: int = 0) -> str:
@@ -80,6 +84,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside hand ``BATCH_BYTES`` at once to Python, since executors and workers hold several batches each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one job in the shared folder: they cut lineage and survive lost executors.
 
@@ -95,7 +111,8 @@ class Scratch:
         """Write ``df`` and return it as read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -116,6 +133,28 @@ def clean_up(spark: SparkSession) -> None:
         _delete(spark, _roots.pop())
 
 
+def trim() -> None:
+    """Give memory that is free in this process back to the system, where the C library can (glibc)."""
+    if found := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        found(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; at the end of the task its memory goes back to the system.
+
+    Spark keeps workers for later tasks, and several of them to an executor. A worker holds on to what
+    the buffers of its largest batches took, 40 to 110 MB each, unless it is told to give that up.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[dict[str, list]], list[tuple]]], slice_rows: int = 256) -> DataFrame:
     """Run Python over ``df`` in Arrow batches, whole rows at a time.
 
@@ -140,7 +179,7 @@ def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Callable
         if rows:
             yield to_batch(rows, arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

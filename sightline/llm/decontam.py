@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, fresh, to_batch
+from .common import Scratch, fresh, to_batch, trimmed
 
 FEATURE_BITS, DIM, OVER, PASSAGE = 16, 64, 8, 48
 FEATURES = 1 << FEATURE_BITS
@@ -297,7 +297,7 @@ def features(texts: DataFrame) -> DataFrame:
             data, edges = columns_of(h).astype("<u2").tobytes(), (2 * bounds).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=WORDS.names)
 
-    return texts.select("text").mapInArrow(run, WORDS)
+    return texts.select("text").mapInArrow(trimmed(run), WORDS)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -327,7 +327,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
             own[-2:] += len(bounds) - 1, len(words)
         yield from _blocks(own)
 
-    found = _summed(rows.mapInArrow(run, FREQUENCIES), np.zeros(FEATURES + 2, np.int64))
+    found = _summed(rows.mapInArrow(trimmed(run), FREQUENCIES), np.zeros(FEATURES + 2, np.int64))
     return found[:-2], int(found[-2]), int(found[-1])
 
 
@@ -383,7 +383,7 @@ def latent_space(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
                     add_products(total, k, weight, b)
             yield from _blocks(total)
 
-        out = _summed(rows.mapInArrow(run, FREQUENCIES), np.zeros((FEATURES, width), np.float32))
+        out = _summed(rows.mapInArrow(trimmed(run), FREQUENCIES), np.zeros((FEATURES, width), np.float32))
         sent.destroy()
         return out
 
@@ -450,7 +450,7 @@ def _searched(docs: DataFrame, index) -> DataFrame:
             if found := own.hits(h, bounds):
                 yield to_batch([(rows[0][d], *x) for d, *x in found], arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, HITS)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), HITS)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, trimmed
+
 
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the doc_id's decimal text, modulo ``folds``; null for a null id."""
@@ -59,5 +61,6 @@ def fitted(encoded: DataFrame, fit: Callable[[list[tuple[int, bytes, int]]], obj
 
     key = F.xxhash64("doc_id")
     one = encoded.select("doc_id", encoded.columns[1], "label").repartition(1).sortWithinPartitions(key, *encoded.columns)
-    found = one.mapInArrow(run, "model binary").collect()
+    with small_batches(encoded.sparkSession):
+        found = one.mapInArrow(trimmed(run), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([])

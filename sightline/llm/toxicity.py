@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import Scratch, map_batches, trim
 from .labelled import fitted, held_out, training_rows
 
 BITS, TRAIN_ROWS, EPOCHS = 22, 12_000, 8
@@ -114,9 +114,10 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Weights:
             sigma = (np.sqrt(nx + g * g) - root) / ALPHA
             z[x] = zx + g - sigma * w
             n[x] = nx + g * g
+    some = np.append(np.flatnonzero(np.abs(z[:-1]) > L1), size)  # the bias last
+    z, n = z[some], n[some]
     w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    kept = np.flatnonzero(w[:-1]).astype(np.uint32)
-    return Weights(kept, w[:-1][kept].astype(np.float32), float(w[-1]))
+    return Weights(some[:-1].astype(np.uint32), w[:-1].astype(np.float32), float(w[-1]))
 
 
 TRAINING = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.BinaryType()), T.StructField("label", T.IntegerType())])
@@ -150,7 +151,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` less the rows that are predicted toxic; scored in place, without a join."""
+    """``docs`` less the rows that are predicted toxic; scored in place, without a join, and written."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
 
     @F.pandas_udf("double")
@@ -158,5 +159,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         hasher = Hasher()
         for text in parts:
             yield pd.Series([sent.value.score(hasher.features(t)) for t in text], dtype="float64")
+        del hasher
+        trim()
 
-    return docs.filter(score("text") < THRESHOLD)
+    return Scratch(docs.sparkSession, "toxicity").keep(docs.filter(score("text") < THRESHOLD))
