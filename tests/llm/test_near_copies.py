@@ -87,3 +87,51 @@ def test_few_links_need_no_rounds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near_copies, "LINKS", 10)
     assert few == roots() and len(few) > 600
     assert near_copies._roots(edges.limit(0), scratch).collect() == []
+
+
+def test_sets_are_not_copied_for_every_partition(spark, frame):
+    """What links shuffle follows the texts and not the number of partitions; copies for many pairs lose none."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(40):
+        base = sentence(rng, 1500)
+        texts += [base, edited(rng, base, 3)]
+    base = sentence(rng, 400)
+    texts += [base, *(edited(rng, base, 3) for _ in range(20))]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    doubles, none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(none, False, False, doubles, none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    docs, ran = frame(texts).cache(), set(shuffled())
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id for r in near_copies.one_of_each(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        docs.unpersist()
+    assert got == kept_by_brute_force(texts) and len(got) == 41
+    sent = sum(n for k, n in shuffled().items() if k not in ran)
+    assert sent < 12 * sum(8 * len(shingles(t)) for t in texts)
+
+
+def test_sets_of_many_pairs_are_copied(spark, frame, monkeypatch):
+    """A set of many pairs is dealt out, and each pair is still compared once."""
+    rng = random.Random(24)
+    base = sentence(rng, 60)
+    texts = [base, *(edited(rng, base, 1) for _ in range(12)), *(sentence(rng, 60) for _ in range(3))]
+    docs, scratch = frame(texts), near_copies.Scratch(spark, "test")
+    rows = scratch.keep(near_copies.shingled(docs))
+    fps = [r.fp for r in rows.orderBy("doc_id").collect()]
+    asked = [(a, fps[0]) for a in fps[1:]] + [(fps[13], fps[14])]
+    for share in (1, 3, 256):
+        monkeypatch.setattr(near_copies, "SHARE", share)
+        found = near_copies._verified(spark.createDataFrame(asked, near_copies.PAIRS), docs, rows.select("doc_id", "fp"), scratch).collect()
+        assert sorted((r.a, r.b) for r in found) == sorted((a, fps[0]) for a, t in zip(fps[1:], texts[1:], strict=True) if 5 * len(shingles(t) & shingles(base)) >= 4 * len(shingles(t) | shingles(base)))
