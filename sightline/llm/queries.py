@@ -1,8 +1,9 @@
 """Queries over the driver's tables, one for each operator.
 
-None has a SQL oracle: their results (BPE counts, XXH64 fingerprints, trained
+The first ten have no SQL oracle: their results (BPE counts, XXH64 fingerprints, trained
 scores, permutations, byte runs) have no SQL counterpart. tests/llm holds them
-against brute force, the libraries themselves, or held-out labels.
+against brute force, the libraries themselves, or held-out labels. The others are
+held against SQL as well.
 """
 
 from __future__ import annotations
@@ -77,9 +78,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: The rules (host, path, verdict) that the query judges by, and labels of hosts whose pages it lists.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_LABELS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged, parts
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.sql(f"select * from values {', '.join(map(str, URL_RULES))} as r(host, path, verdict)")
+    listed = pages.filter(F.arrays_overlap(F.split(parts(F.col("url"))[0], r"\."), F.array(*map(F.lit, LISTED_LABELS)))).select("url")
+    return judged(pages, rules, listed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_URLS = r"""
+with p as (select page_id, url, case when strpos(url, '://') > 0 then substring(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+k as (select *, regexp_replace(host, '^www\.', '') || ' ' || rtrim(path, '/') as canon from h),
+listed as (select distinct canon from k where host != '' and len(list_intersect(string_split(host, '.'), [LABELS])) > 0),
+rules(rh, rp, v) as (values RULES),
+best as (select page_id, host, path, canon, max({l: length(rh || rp), v: v, r: rh || rp}) as b from k left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by all)
+select k.page_id, k.host, k.path, (b).r as rule, coalesce((b).v, case when listed.canon is not null then 'block' else 'allow' end) as verdict, listed.canon is not null as is_listed
+from k join best using (page_id, host, path) left join listed on k.canon = listed.canon
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(str(r) for r in URL_RULES)
+    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    return {"op11_url_filter": _URLS.replace("RULES", rules).replace("LABELS", labels)}
