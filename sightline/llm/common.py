@@ -14,6 +14,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -123,6 +124,27 @@ class Scratch:
             _delete(self.spark, df._scratch_path)
 
 
+#: Rows of a table, and bytes of their text, that are broadcast as a whole; a key with more than one in HOT_SHARE rows is hot.
+BROADCAST_ROWS, BROADCAST_BYTES, HOT_SHARE = 100_000, 8 << 20, 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once, where some keys may hold a large part of the rows.
+
+    A small table is broadcast. Of a larger one only the keys with over one in ``HOT_SHARE`` of the
+    rows are, less than ``HOT_SHARE`` by their definition; the other keys meet by a shuffle, none with more than that share.
+    """
+    length = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_ROWS and 4 * size["bytes"] <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key)
+    rows = scratch.keep(rows)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_of_key"))
+    hot = scratch.keep(counts.filter(F.col("_of_key") > F.lit(rows.count() / HOT_SHARE)).select(*key))
+    some = table.join(F.broadcast(hot), key)
+    return rows.join(F.broadcast(some), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
 #: Folders of all jobs of this process.
 _roots: list[str] = []
 

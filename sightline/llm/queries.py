@@ -92,6 +92,18 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, rules, listed)
 
 
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .product_codes import encoded, with_label_errors
+
+    return with_label_errors(encoded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import top_documents
+
+    return top_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -108,7 +120,32 @@ from k join best using (page_id, host, path) left join listed on k.canon = liste
 """
 
 
+_ROUND = """
+a{0} as materialized (select vec_id, part, min({{d: d, e: entry}}) as best from (select vec_id, part, entry, sum((x - c) * (x - c))::bigint as d from comp join c{0} using (part, place) group by all) group by all),
+c{1} as materialized (select part, place, entry, coalesce(n.c, o.c) as c from c{0} o left join
+  (select part, best.e as entry, place, floor(sum(x)::double / count(*))::bigint as c from a{0} join comp using (vec_id, part) group by all) n using (part, entry, place)),"""
+_CODES = f"""
+with kept as (select * from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+comp as materialized (select vec_id, i // (n // 8) as part, i % (n // 8) as place, floor(4096 * x::double)::bigint as x from (select vec_id, len(embedding) as n, unnest(embedding) as x, unnest(range(len(embedding))) as i from kept)),
+c0 as (select part, place, entry, x as c from (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept order by vec_id limit 16) join comp using (vec_id)),
+{"".join(_ROUND.format(k, k + 1) for k in range(7))}
+coded as (select vec_id, string_agg(printf('%02x', best.e), '' order by part) as code, sum(best.d)::bigint as error from a6 group by all)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(c::varchar, ',' order by part, entry, place)) from c6) as codebooks_sha256
+from coded join kept using (vec_id)
+"""
+
+_SEARCH = r"""
+with d as materialized (select *, sum(tf) over (partition by doc_id) as n from (select doc_id, term, count(*) as tf from
+  (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents) group by doc_id, term)),
+q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+t as (select count(distinct doc_id) as docs, sum(tf)::bigint as terms from d),
+w as (select term, floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1)))::bigint as w from d, t group by term, docs),
+s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n::bigint * docs) // terms))))::bigint as score from q join d using (term) join w using (term), t group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(str(r) for r in URL_RULES)
     labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
-    return {"op11_url_filter": _URLS.replace("RULES", rules).replace("LABELS", labels)}
+    return {"op11_url_filter": _URLS.replace("RULES", rules).replace("LABELS", labels), "op12_product_codes": _CODES, "op13_lexical_search": _SEARCH}

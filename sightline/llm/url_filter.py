@@ -13,8 +13,8 @@ long as some rule's (``shapes``). What the filter passes is only possible, so it
 the entries, which removes false positives. The filter has at most ``BLOCKS`` blocks (16 MB); for longer lists
 more false positives reach the join, and the result is the same.
 
-The entries are broadcast up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` of text. Beyond, the join shuffles, but for
-keys with over a thousandth of all hits: there are less than a thousand of them, so their entries are broadcast at any size.
+A list that is small by rows and bytes is broadcast. Beyond, the join shuffles, but for keys with over a thousandth of all
+hits: there are less than a thousand of them, so their entries are broadcast at any size (``common.joined``).
 
 All of this is built-in DataFrame functions.
 
@@ -29,15 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, joined
 
 #: Blocks of a filter, 64 bytes each, and bits in it for each entry.
 BLOCKS, BITS = 1 << 18, 12
 LANES = 8
-#: Entries, and bytes of their text, that are broadcast as a whole.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
-#: A key with more than this share of all hits has its entry broadcast.
-HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,20 +96,6 @@ def _candidates(shapes: Column) -> Column:
     return F.concat(F.array(own("url", *canonical(F.col("host"), F.col("path")))), rules)
 
 
-def _confirmed(hits: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """``hits`` that are entries, with their verdict."""
-    key = ["kind", "host_key", "path_key"]
-    known = known.withColumnsRenamed({"host": "host_key", "path": "path_key"})
-    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host_key") + F.length("path_key")), F.lit(0)).alias("bytes")).first()
-    if size["n"] <= BROADCAST_ROWS and 4 * size["bytes"] <= BROADCAST_BYTES:
-        return hits.join(F.broadcast(known), key)
-    hits = scratch.keep(hits)
-    counts = hits.groupBy(*key).agg(F.count("*").alias("hits"))
-    hot = scratch.keep(counts.filter(F.col("hits") > F.lit(hits.count() / HOT_SHARE)).select(*key))
-    some = known.join(F.broadcast(hot), key)  # less than HOT_SHARE rows
-    return hits.join(F.broadcast(some), key).unionByName(hits.join(F.broadcast(hot), key, "left_anti").join(known, key))
-
-
 def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule (host and path of the one that decides, else null), verdict, is_listed.
 
@@ -135,7 +117,8 @@ def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     hits = each.filter(possible(words, blocks, *hashes(F.col("kind"), F.col("host_key"), F.col("path_key"))))
     rule = F.concat("host_key", "path_key")
     best = F.max(F.when(F.col("kind") == "rule", F.struct(F.length(rule).alias("length"), F.col("verdict").alias("verdict"), rule.alias("rule"))))
-    best = _confirmed(hits, known, scratch).groupBy("row").agg(best.alias("best"), F.max(F.col("kind") == "url").alias("listed"))
+    known = known.withColumnsRenamed({"host": "host_key", "path": "path_key"})
+    best = joined(hits, known, ["kind", "host_key", "path_key"], scratch).groupBy("row").agg(best.alias("best"), F.max(F.col("kind") == "url").alias("listed"))
     is_listed = F.coalesce("listed", F.lit(False))
     verdict = F.coalesce("best.verdict", F.when(is_listed, "block").otherwise("allow"))
     return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), is_listed.alias("is_listed"))

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import url_filter
+from sightline.llm import common, url_filter
 from sightline.llm.url_filter import bloom_filter, judged, possible
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.org", "/fr/x", "block"), ("a.org", "/fr/x", "allow"), ("Shout.IO", "", "block"), (None, "/", "block")]
@@ -49,9 +49,9 @@ def tables(spark):
 @pytest.mark.parametrize("rows, blocks", [(100_000, 1 << 18), (0, 1)])
 def test_as_brute_force(tables, monkeypatch, rows, blocks):
     """Also where entries are too many to be broadcast, and where the filter is too small to hold anything back."""
-    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(url_filter, "BLOCKS", blocks)
-    monkeypatch.setattr(url_filter, "HOT_SHARE", 20)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
     pages, rules, listed = tables
     got = sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict, r.is_listed) for r in judged(pages, rules, listed).collect())))
     want = sorted(str((r.page_id, *brute(r.url, RULES, LISTED))) for r in pages.collect())
