@@ -9,7 +9,8 @@ Two ways compute the same edges. The kernel takes a whole series as an array and
 forms the slopes from blocks of its samples in numpy, with memory bounded by ``CELLS`` and the
 series; only edges leave it, and one shuffle by series is all that moves. The relational one pairs the samples of a
 series on its key and keeps the pairs that pass a windowed maximum, all in SQL: n^2/2 rows a
-series are sorted, so ``natural`` and ``horizontal`` take it only where it is asked for.
+series are sorted, so ``natural`` and ``horizontal`` take it only where it is asked for. ``strategy="long"`` cuts
+each series into spans and joins what these show of themselves (``long_series``): for series that are too long for one task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import GraphError
+from . import long_series
 
 #: Slopes that are formed together, and edges that are handed on together.
 CELLS, EDGES = 1 << 18, 100_000
@@ -148,11 +150,11 @@ def _kernel(s: DataFrame, of: Callable[[np.ndarray], Iterator[tuple[np.ndarray,
     return arrays.mapInArrow(run, schema)
 
 
-def _either(series: DataFrame, short: Callable[[DataFrame], DataFrame], of, strategy: str) -> DataFrame:
+def _either(series: DataFrame, short: Callable[[DataFrame], DataFrame], of, long: Callable[[DataFrame], DataFrame], strategy: str) -> DataFrame:
     s = _checked(series)
-    if strategy not in ("auto", "sql", "kernel"):
-        raise GraphError(f"no strategy {strategy!r}; there are auto, sql and kernel")
-    return short(s) if strategy == "sql" else _kernel(s, of)
+    if strategy not in ("auto", "sql", "kernel", "long"):
+        raise GraphError(f"no strategy {strategy!r}; there are auto, sql, kernel and long")
+    return short(s) if strategy == "sql" else long(s) if strategy == "long" else _kernel(s, of)
 
 
 def _weighted(pairs: DataFrame, weight: str | Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
@@ -166,7 +168,7 @@ def _weighted(pairs: DataFrame, weight: str | Callable[[Column, Column, Column,
 def natural(series: DataFrame, weight="unit", strategy: str = "auto") -> DataFrame:
     """series_id, src, dst, weight of the natural visibility graphs. ``weight`` is a
     name of WEIGHTS or a function of the columns (src, dst, value at src, value at dst)."""
-    return _weighted(_either(series, natural_pairs, natural_blocks, strategy), weight)
+    return _weighted(_either(series, natural_pairs, natural_blocks, long_series.natural_pairs, strategy), weight)
 
 
 def horizontal(series: DataFrame, weight="unit", strategy: str = "auto", mode: str = "standard") -> DataFrame:
@@ -175,4 +177,4 @@ def horizontal(series: DataFrame, weight="unit", strategy: str = "auto", mode: s
         return _weighted(run_pairs(_checked(series)), weight)
     if mode != "standard":
         raise GraphError(f"no mode {mode!r}; there are standard and reference")
-    return _weighted(_either(series, horizontal_pairs, horizontal_blocks, strategy), weight)
+    return _weighted(_either(series, horizontal_pairs, horizontal_blocks, long_series.horizontal_pairs, strategy), weight)

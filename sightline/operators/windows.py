@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SeriesError
+from .running import numbered, running
 
 #: Fixed value: the multiplier that orders series in a split by series.
 SPLIT_MULTIPLIER = 2654435761
@@ -17,8 +18,8 @@ def sliding(series: DataFrame, size: int, stride: int) -> DataFrame:
     """window_no, series_id, series_no, window_start, window (one feature of ``size`` steps).
 
     Missing values leave a window and zeros fill it up on the right. Series shorter than a window give none.
-    window_no counts within the frame's series, in their order; it needs the number of windows
-    of each series only, so no row moves for it beyond the table of series.
+    window_no counts within the frame's series, in their order: it needs the number of windows
+    of each series only, summed over ranges of series (``running``).
     """
     if size < 1 or stride < 1:
         raise SeriesError("size and stride are 1 at least")
@@ -28,10 +29,9 @@ def sliding(series: DataFrame, size: int, stride: int) -> DataFrame:
     rows = series.select("series_id", "idx", near.alias("near"), n.alias("n")).filter((F.col("idx") % stride == 0) & (F.col("idx") + size <= F.col("n")))
     # One row for each series: the place of its first window among all.
     counts = series.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.floor((F.col("n") - size) / stride) + 1, F.lit(0)))
-    order = Window.orderBy("series_id")
-    counts = counts.select("series_id", (F.row_number().over(order) - 1).cast("long").alias("series_no"), F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    counts = running(counts.select("series_id", "k"), ["series_id"], {"series_no": F.lit(1), "first": F.col("k")})
     padded = F.concat("near", F.array_repeat(F.lit(0.0), size - F.size("near")))
-    return rows.join(counts, "series_id").select((F.col("first") + F.col("idx") / stride).cast("long").alias("window_no"), "series_id", "series_no", F.col("idx").alias("window_start"), F.array(padded).alias("window"))
+    return rows.join(counts.drop("k"), "series_id").select((F.col("first") + F.col("idx") / stride).cast("long").alias("window_no"), "series_id", "series_no", F.col("idx").alias("window_start"), F.array(padded).alias("window"))
 
 
 def with_labels(windows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,8 +68,7 @@ def split_by_series(windows: DataFrame, train: float, val: float) -> DataFrame:
     """Whole series, in the order of a multiplicative hash of series_no."""
     key = F.pmod(F.col("series_no").cast("decimal(20,0)") * F.lit(SPLIT_MULTIPLIER).cast("decimal(12,0)"), F.lit(1 << 32).cast("decimal(12,0)")).cast("long")
     series = windows.select("series_no").distinct().withColumn("h", key)
-    order = Window.orderBy("h", "series_no")
-    ranked = series.select("series_no", (F.row_number().over(order) - 1).alias("rank"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("total"))
+    ranked = numbered(series, ["h", "series_no"], "rank").withColumn("total", series.agg(F.count("*").alias("total")).scalar())
     split = _cut(F.col("rank"), F.floor(F.col("total") * train), F.floor(F.col("total") * val))
     return windows.join(ranked.select("series_no", split.alias("split")), "series_no")
 

@@ -7,6 +7,7 @@ sides, since sums are taken in another order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,8 @@ from ..operators import clustering, community, compare, degree, matrix, motifs,
 from ..operators.graph import VisibilityGraph, of_edges
 from ..operators.statistics import graph_statistics
 from ..sources import generators, sinks
-from ..sources.series import CsvOptions, _lines_to_points, to_arrays
+from ..scratch import shared_dir
+from ..sources.series import CsvOptions, _lines_to_points, from_csv, points, to_arrays
 from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +96,16 @@ def _(spark, sf):
     return _lines_to_points(lines, CsvOptions(False, 1, 2, ";", "NA"), "0").select("idx", "t", "value")
 
 
+@query("csv_file", "select row_number() over (order by event_id) - 1 as idx, event_id::double as t, case when event_id % 7 = 0 then null else value end as value from events")
+def _(spark, sf):
+    """The same from files: written in ranges of event_id, read in the order of their names and places."""
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    line = F.concat_ws(";", F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("value").cast("string")))
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    df.repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("line")).write.text(folder)
+    return from_csv(spark, folder, CsvOptions(False, 0, 1, ";", "")).select("idx", "t", "value")
+
+
 def _generated(name: str, sql: str, make: Callable[[SparkSession], DataFrame]) -> None:
     query(f"gen_{name}", sql)(lambda spark, sf: make(spark).select("idx", r6("value").alias("value")))
 
@@ -207,6 +219,28 @@ def _(spark, sf):
     return visibility.horizontal(tables.events(spark, sf), strategy="kernel")
 
 
+for _kind, _build in {"nvg": visibility.natural, "hvg": visibility.horizontal}.items():
+    query(f"{_kind}_edges_sql", ORACLES[f"{_kind}_edges"])(lambda spark, sf, build=_build: build(tables.events(spark, sf), strategy="sql"))
+
+# One long series. No sample sees past one of the greatest value, so the oracle's pairs stay between these.
+_QUANTITIES = "s as materialized (select row_number() over (order by l_orderkey, l_linenumber, l_quantity, l_partkey) - 1 as idx, l_quantity::double as v from lineitem), m as materialized (select *, sum(case when v = (select max(v) from s) then 1 else 0 end) over (order by idx) as k, v = (select max(v) from s) as top from s)"
+_LONG_PAIRS = "p as (select a.idx as src, b.idx as dst, (b.v - a.v) / (b.idx - a.idx) as slope from m a join m b on b.k = a.k and b.idx > a.idx union all select a.idx, b.idx, (b.v - a.v) / (b.idx - a.idx) from m a join m b on b.top and b.k = a.k + 1)"
+
+
+@query("nvg_edges_long", f"with {_QUANTITIES}, {_LONG_PAIRS}, q as (select *, max(slope) over (partition by src order by dst rows between unbounded preceding and 1 preceding) as most from p) select src, dst, 1.0::double as weight from q where most is null or slope > most")
+def _(spark, sf):
+    """All quantities of ``lineitem`` as one series, in spans."""
+    series = points(spark.read.parquet(f"{sf}/lineitem.parquet"), None, ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey"], "l_quantity")
+    return visibility.natural(series, strategy="long").select("src", "dst", "weight")
+
+
+@query("hvg_edges_long", "with s as materialized (select row_number() over (order by o_orderkey) - 1 as idx, o_totalprice::double as v from orders), r as (select a.idx as src, min(b.idx) as dst from s a join s b on b.idx > a.idx and b.v >= a.v group by 1), l as (select max(a.idx) as src, b.idx as dst from s a join s b on a.idx < b.idx and a.v >= b.v group by 2) select src, dst from r union all select src, dst from l join s a on l.src = a.idx join s b on l.dst = b.idx where a.v > b.v")
+def _(spark, sf):
+    """All prices of ``orders`` as one series, in spans."""
+    series = points(spark.read.parquet(f"{sf}/orders.parquet"), None, "o_orderkey", "o_totalprice")
+    return visibility.horizontal(series, strategy="long").select("src", "dst")
+
+
 _DAILY = "s as (select o_orderpriority as series_id, row_number() over (partition by o_orderpriority order by day) - 1 as idx, revenue as v from (select o_orderpriority, o_orderdate::date as day, round(sum(o_totalprice), 2) as revenue from orders group by all))"
 
 

@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SeriesError
+from ..operators.running import numbered
 
 POINTS = T.StructType([
     T.StructField("series_id", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("value", T.DoubleType()),
 ])
 
 
-def points(df: DataFrame, series: str | None, order: str | Sequence[str], value: str, time: str | None = None) -> DataFrame:
-    """Number the rows of each series by the order key. One shuffle, on the series."""
+def points(df: DataFrame, series: str | None, order: str | Sequence[str], value: str, time: str | None = None, long: bool = False) -> DataFrame:
+    """Number the rows of each series by the order key. One shuffle, on the series.
+
+    A table that is one series (``series`` None), and one with series too ``long`` for a task, goes to
+    ranges of the order key instead, and each range is numbered on its own.
+    """
     order = [order] if isinstance(order, str) else list(order)
     missing = [c for c in [*([series] if series else []), *order, value, *([time] if time else [])] if c not in df.columns]
     if missing:
@@ -31,8 +36,12 @@ def points(df: DataFrame, series: str | None, order: str | Sequence[str], value:
     for c in (value, time):
         if c and not isinstance(df.schema[c].dataType, (T.NumericType, T.TimestampType, T.DateType)):
             raise SeriesError(f"{c} is no number")
-    key = F.col(series) if series else F.lit("0")
-    idx = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
+    key, idx = F.col(series) if series else F.lit("0"), F.col("_idx")
+    if long or not series:
+        kept = df.select(*dict.fromkeys([*([series] if series else []), *order, value, *([time] if time else [])]))
+        df = numbered(kept, order, "_idx", series)
+    else:
+        idx = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
     t = F.unix_micros(F.col(time).cast("timestamp")) / 1e6 if time and isinstance(df.schema[time].dataType, (T.TimestampType, T.DateType)) else F.col(time).cast("double") if time else idx.cast("double")
     return df.select(key.alias("series_id"), idx.alias("idx"), t.alias("t"), F.col(value).cast("double").alias("value"))
 
@@ -69,24 +78,27 @@ class CsvOptions:
 
 
 def _lines_to_points(lines: DataFrame, options: CsvOptions, series_id: str) -> DataFrame:
-    """``lines``: n (place in the file) and line."""
+    """``lines``: line, and the columns that order lines."""
+    order = [c for c in lines.columns if c != "line"]
     if options.has_header:
-        first = lines.agg(F.min("n").alias("first"))
-        lines = lines.join(F.broadcast(first), F.col("n") > F.col("first"))  # one row
+        place = F.struct(*order)
+        lines = lines.filter(place > lines.agg(F.min(place).alias("first")).scalar())
     cells = F.split(F.col("line"), r"\Q" + options.delimiter + r"\E", -1)
 
     def number(k: int) -> Column:
         cell = F.trim(F.get(cells, F.lit(k)))
         return F.when((cell == options.missing_value) | (cell == ""), None).otherwise(cell.cast("double"))
 
-    rows = lines.filter(F.trim("line") != "").select("n", (number(options.timestamp_column) if options.timestamp_column is not None else F.lit(None).cast("double")).alias("t"), number(options.value_column).alias("value"))
-    idx = (F.row_number().over(Window.partitionBy(F.lit(series_id)).orderBy("n")) - 1).cast("long")
-    return rows.select(F.lit(series_id).alias("series_id"), idx.alias("idx"), F.coalesce("t", idx.cast("double")).alias("t"), "value")
+    rows = lines.filter(F.trim("line") != "").select(*order, (number(options.timestamp_column) if options.timestamp_column is not None else F.lit(None).cast("double")).alias("t"), number(options.value_column).alias("value"))
+    return numbered(rows, order, "idx").select(F.lit(series_id).alias("series_id"), "idx", F.coalesce("t", F.col("idx").cast("double")).alias("t"), "value")
 
 
 def from_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), series_id: str = "0") -> DataFrame:
-    """The single series of a CSV file, in the order of its lines. Cells that are no numbers fail the query."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    """The single series of a CSV file, or of the files of a folder in the order of their names. Cells that are no numbers fail the query.
+
+    Lines are ordered by file, by the start of the block of the file that a task reads, and by their place in it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
     return _lines_to_points(lines, options, series_id)
 
 
