@@ -465,16 +465,51 @@ def _(spark, sf):
 
 
 # L. Communities.
-@query("communities")
+def _communities(graph: str, nodes: str) -> str:
+    """The rounds of local moving, one after the other; ``nodes`` names the table of all (series_id, node)."""
+    moves = f"""{graph}, lk as materialized (select series_id, src as node, dst as nb, 1 as w from e union all select series_id, dst, src, 1 from e),
+c0_0 as materialized (select series_id, node, node as c, count(*) as d from lk group by all), m2 as materialized (select series_id, count(*) as m2 from lk group by 1)"""
+    for level, (links, rounds) in enumerate(zip(("lk", "fl"), community.ROUNDS, strict=True)):
+        for k in range(rounds):
+            s, turn = f"c{level}_{k}", f"% {community.COLOURS} = {k % community.COLOURS}"
+            moves += f""", t{level}_{k} as (select series_id, node, c, sum(w) as t from (select l.series_id, l.node, s.c, l.w from {links} l join {s} s on s.series_id = l.series_id and s.node = l.nb where l.node {turn} union all select series_id, node, c, 0 from {s} where node {turn}) group by all),
+t{level}_{k}b as (select t.series_id, t.node, max({{g: (m2 * t.t - o.d * (z.d - case when t.c = o.c then o.d else 0 end))::bigint, own: t.c = o.c, n: -t.c}}) as b from t{level}_{k} t join (select series_id, c, sum(d) as d from {s} group by all) z on z.series_id = t.series_id and z.c = t.c join {s} o on o.series_id = t.series_id and o.node = t.node join m2 on m2.series_id = t.series_id group by all),
+c{level}_{k + 1} as materialized (select s.series_id, s.node, coalesce(-b.n, s.c) as c, s.d from {s} s left join t{level}_{k}b t on t.series_id = s.series_id and t.node = s.node)"""
+        last = f"c{level}_{rounds}"
+        moves += f""", r{level} as materialized (select series_id, c, row_number() over (partition by series_id order by f) - 1 as r, d from (select series_id, c, min(node) as f, sum(d)::bigint as d from {last} group by 1, 2)), n{level} as materialized (select s.series_id, s.node, r from {last} s join r{level} r on r.series_id = s.series_id and r.c = s.c)"""
+        if level == 0:
+            moves += ", fl as materialized (select l.series_id, a.r as node, b.r as nb, count(*) as w from lk l join n0 a on a.series_id = l.series_id and a.node = l.node join n0 b on b.series_id = l.series_id and b.node = l.nb where a.r <> b.r group by all), c1_0 as materialized (select series_id, r as node, r as c, d from r0)"
+    return f"{moves}, k as materialized (select x.series_id, x.node, coalesce(n1.r, 0) as community from {nodes} x left join n0 on n0.series_id = x.series_id and n0.node = x.node left join n1 on n1.series_id = x.series_id and n1.node = n0.r)"
+
+
+_K = f"with {_communities(NVG, '(select series_id, idx as node from s)')}"
+
+
+@query("communities", f"{_K} select series_id, node, community from k")
 def _(spark, sf):
     return community.detect_communities(tables.natural(spark, sf))
 
 
-@query("community_sizes")
+@query("community_sizes", f"{_K} select series_id, community, count(*) as size from k group by all")
 def _(spark, sf):
     return community.community_sizes(community.detect_communities(tables.natural(spark, sf)))
 
 
+@query("community_counts", f"{_K} select series_id, count(distinct community) as communities from k group by 1")
+def _(spark, sf):
+    return community.community_sizes(community.detect_communities(tables.natural(spark, sf))).groupBy("series_id").agg(F.count("*").alias("communities"))
+
+
+_DAYS_S = "s as (select '0' as series_id, row_number() over (order by day) - 1 as idx, revenue as v from (select o_orderdate::date as day, round(sum(o_totalprice), 2) as revenue from orders group by all))"
+
+
+@query("communities_long", f"with {_communities(NVG.replace(S, _DAYS_S), '(select series_id, idx as node from s)')} select node, community from k")
+def _(spark, sf):
+    """Of the days of ``orders`` as one series and one graph, over all tasks."""
+    g = VisibilityGraph.from_series(tables.days(spark, sf)).with_strategy("long").natural_visibility()
+    return community.detect_communities(g, strategy="long").select("node", "community")
+
+
 _BLOCKS = f"with {NVG}, {DEG}, m as (select series_id, count(*) as m from e group by 1), i as (select series_id, src // 10 as c, count(*) as i from e where src // 10 = dst // 10 group by 1, 2), g as (select series_id, node // 10 as c, sum(degree) as d from d group by 1, 2) select g.series_id, round(sum({{}} * m * coalesce(i, 0) - d * d)::double / (4 * max(m) * max(m)), 6) as modularity from g join m on g.series_id = m.series_id left join i on g.series_id = i.series_id and g.c = i.c group by 1"
 
 

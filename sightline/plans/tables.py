@@ -28,6 +28,12 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(daily, "o_orderpriority", "day", "revenue")
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by day as one series."""
+    daily = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    return points(daily, None, "day", "revenue")
+
+
 @lru_cache(maxsize=8)
 def _graph(spark: SparkSession, sf_dir: str, kind: str) -> VisibilityGraph:
     builder = VisibilityGraph.from_series(events(spark, sf_dir))

@@ -206,7 +206,7 @@ def test_components_of_two_parts(spark):
 
 
 def test_communities_and_modularity(graph):
-    found = community.detect_communities(graph)
+    found = community.detect_communities(graph, method="sequential")
     got = {(r.series_id, r.node): r.community for r in found.collect()}
     assert [got["S6", k] for k in range(6)] == [0, 0, 0, 0, 1, 1] and [got["S7", k] for k in range(7)] == [0, 0, 0, 0, 1, 1, 1]
     for variant, want in (("reference", {"S5": -0.5, "S6": -0.234694, "S7": -0.15625}), ("standard", {"S5": 0, "S6": 0.122449, "S7": 0.21875})):
@@ -218,6 +218,54 @@ def test_communities_and_modularity(graph):
     assert {r.node for r in community.community_nodes(found, 1).filter("series_id = 'S6'").collect()} == {4, 5}
 
 
+def moved_by_definition(n, edges):
+    """Rounds of local moving, node by node, with two levels."""
+    def moves(nodes, links, degree, rounds):
+        home, twice = {k: k for k in nodes}, sum(degree.values())
+        for k in range(rounds):
+            to = {}
+            for x in nodes:
+                if x % 3 != k % 3:
+                    continue
+                gains = []
+                for c in {home[x], *(home[y] for y in links[x])}:
+                    total = sum(degree[y] for y in nodes if home[y] == c and y != x)
+                    gains.append((twice * sum(w for y, w in links[x].items() if home[y] == c) - degree[x] * total, c == home[x], -c))
+                to[x] = -max(gains)[2]
+            home |= to
+        order = sorted(set(home.values()), key=lambda c: min(x for x in nodes if home[x] == c))
+        return {x: order.index(home[x]) for x in nodes}
+
+    links = {k: {} for k in range(n)}
+    for a, b in edges:
+        links[a][b] = links[b][a] = 1
+    degree = {k: len(links[k]) for k in links}
+    first = moves(list(range(n)), links, degree, 12)
+    folded = {c: {} for c in set(first.values())}
+    for a in links:
+        for b in links[a]:
+            if first[a] != first[b]:
+                folded[first[a]][first[b]] = folded[first[a]].get(first[b], 0) + 1
+    second = moves(sorted(folded), folded, {c: sum(degree[x] for x in first if first[x] == c) for c in folded}, 6)
+    return {x: second[first[x]] for x in first}
+
+
+def test_communities_by_rounds(series, graph):
+    every, _ = series
+    found = community.detect_communities(graph).persist()
+    got = by_series(found, "node", "community")
+    for k, vs in every.items():
+        assert dict(got[k]) == moved_by_definition(len(vs), oracle.natural(vs)), k
+    before = community.modularity(graph, community.detect_communities(graph, method="sequential"), "standard").agg(F.avg("modularity")).first()[0]
+    assert community.modularity(graph, found, "standard").agg(F.avg("modularity")).first()[0] >= before
+
+
+def test_communities_by_joins(series):
+    few = series[1].filter("series_id in ('S6', 'ADV', 'ONE', 'r1', 'r2', 'r3')")
+    g = VisibilityGraph.from_series(few).natural_visibility().persist()
+    assert by_series(community.detect_communities(g, strategy="long"), "node", "community") == by_series(community.detect_communities(g), "node", "community")
+
+
 def test_motifs(series, graph):
     every, _ = series
     three = {}
