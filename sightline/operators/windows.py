@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SeriesError
+from ..scratch import stored
 from .running import numbered, running
 
 #: Fixed value: the multiplier that orders series in a split by series.
@@ -29,7 +30,7 @@ def sliding(series: DataFrame, size: int, stride: int) -> DataFrame:
     rows = series.select("series_id", "idx", near.alias("near"), n.alias("n")).filter((F.col("idx") % stride == 0) & (F.col("idx") + size <= F.col("n")))
     # One row for each series: the place of its first window among all.
     counts = series.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.floor((F.col("n") - size) / stride) + 1, F.lit(0)))
-    counts = running(counts.select("series_id", "k"), ["series_id"], {"series_no": F.lit(1), "first": F.col("k")})
+    counts = running(stored(counts.select("series_id", "k"), "counts"), ["series_id"], {"series_no": F.lit(1), "first": F.col("k")})
     padded = F.concat("near", F.array_repeat(F.lit(0.0), size - F.size("near")))
     return rows.join(counts.drop("k"), "series_id").select((F.col("first") + F.col("idx") / stride).cast("long").alias("window_no"), "series_id", "series_no", F.col("idx").alias("window_start"), F.array(padded).alias("window"))
 
