@@ -1,16 +1,32 @@
-"""Motifs of three and four nodes."""
+"""Motifs of three and four nodes.
+
+Sets of four nodes are counted by their edges without listing any. For each r the number of ways to choose r edges that lie within four
+nodes comes in closed form from degrees, triangles at nodes and on edges, cycles of four and cliques of four;
+inclusion and exclusion over r then gives the sets with exactly k edges. Cycles are counted at their
+node of highest degree, so that hubs pair few of their neighbours.
+
+Significance compares triples with graphs of the same degrees. Those come by rounds of double-edge swaps: in a round a hash of
+(seed, replica, round, edge) orders a graph's edges and decides how neighbours in that order trade ends; a pair trades where the new edges join
+four different nodes, are not there yet, and are wanted by no other pair. All pairs trade at once, so the result
+depends on nothing but the graph. A series and replica is a row of its own, and many share a batch.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import comb
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clustering import triangles
 from .graph import VisibilityGraph
 
+#: Rounds of swaps, and the prime and factors of the hash that orders edges.
+SWAPS, PRIME, FACTORS = 20, 2147483647, (7919, 104729, 1299709, 15485863, 32452843)
 #: Names by number of edges among the nodes.
 THREE = ("empty", "fork", "four_edges", "complete_triangle")
 FOUR = ("empty", "two_edges", "four_edges", "6_edges", "8_edges", "10_edges", "12_edges")
@@ -33,76 +49,140 @@ def motifs3(g: VisibilityGraph) -> DataFrame:
     return s.select("series_id", F.explode(rows).alias("x"), "total").select("series_id", "x.*", "total")
 
 
-def count_four(adjacent: np.ndarray) -> np.ndarray:
-    """Sets of four nodes by number of edges among them, for a symmetric 0/1 matrix."""
-    n, out = len(adjacent), np.zeros(7, np.int64)
-    for i in range(n - 3):
-        for j in range(i + 1, n - 2):
-            rest = adjacent[:, j + 1 :]
-            both = rest[i] + rest[j] + 0
-            k = adjacent[j + 1 :, j + 1 :]
-            sums = both[:, None] + both[None, :] + k + adjacent[i, j]
-            out += np.bincount(sums[np.triu_indices(len(both), 1)].astype(np.int64), minlength=7)
+def _whole(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
+def _choose(n: Column, k: int) -> Column:
+    """Binomial coefficient of a whole number, exactly."""
+    out = _whole(n)
+    for j in range(1, k):
+        out = _whole((out * _whole(n - j)) / _whole(F.lit(j + 1)))
     return out
 
 
+def cliques4(g: VisibilityGraph, t: DataFrame) -> DataFrame:
+    """series_id, a, b, c, d with a < b < c < d: pairs of triangles (of ``t``) on a first edge whose other corners are linked."""
+    c, d = t, t.withColumnRenamed("c", "d")
+    pairs = c.join(d, ["series_id", "a", "b"]).filter("c < d")
+    return pairs.join(g.edges.select("series_id", F.col("src").alias("c"), F.col("dst").alias("d")), ["series_id", "c", "d"], "left_semi").select("series_id", "a", "b", "c", "d")
+
+
+def cycles4(g: VisibilityGraph) -> DataFrame:
+    """series_id, cycles: rings of four nodes, with or without chords."""
+    ranked = g.degrees().select("series_id", "node", F.struct("degree", "node").alias("rank"))
+    links = VisibilityGraph(g.nodes, g.edges).links().select("series_id", F.col("node").alias("v"), F.col("neighbor").alias("u"))
+    links = links.join(ranked.select("series_id", F.col("node").alias("u"), F.col("rank").alias("u_rank")), ["series_id", "u"]).join(ranked.select("series_id", F.col("node").alias("v"), F.col("rank").alias("v_rank")), ["series_id", "v"])
+    up = links.filter("u_rank > v_rank").select("series_id", "v", "u", "u_rank")
+    wedges = up.join(links.select("series_id", "v", F.col("u").alias("w"), F.col("u_rank").alias("w_rank")), ["series_id", "v"]).filter("w_rank < u_rank")
+    ways = wedges.groupBy("series_id", "u", "w").agg(F.count("*").alias("k")).filter("k > 1")
+    return ways.groupBy("series_id").agg(F.sum(_choose(F.col("k"), 2)).alias("cycles"))
+
+
 def motifs4(g: VisibilityGraph) -> DataFrame:
-    """series_id, motif, n_edges, count, total of the sets of four nodes. n^4/24 sets: for short series."""
-    schema = T.StructType([g.edges.schema["series_id"], T.StructField("motif", T.StringType()), T.StructField("n_edges", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("total", T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(pdf["src"].max(), pdf["dst"].max())) + 1
-        a = np.zeros((n, n), np.int8)
-        a[pdf["src"], pdf["dst"]] = a[pdf["dst"], pdf["src"]] = 1
-        counts = count_four(a)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "motif": FOUR, "n_edges": range(7), "count": counts, "total": counts.sum()})
-
-    return g.edges.groupBy("series_id").applyInPandas(lambda pdf: run(pdf), schema)
-
-
-def swapped(edges: list[tuple[int, int]], rng: np.random.Generator) -> list[tuple[int, int]]:
-    """A graph with the same degrees, by ten double-edge swaps for each edge."""
-    edges, there = list(edges), set(edges)
-    for _ in range(10 * len(edges)):
-        i, j = rng.integers(len(edges), size=2)
-        (a, b), (c, d) = edges[i], edges[j]
-        if rng.random() < 0.5:
-            c, d = d, c
-        x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
-        if len({a, b, c, d}) < 4 or x in there or y in there:
-            continue
-        there -= {edges[i], edges[j]}
-        there |= {x, y}
-        edges[i], edges[j] = x, y
-    return edges
-
-
-def count_three(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
-    near: list[set[int]] = [set() for _ in range(n)]
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    t = sum(len(near[a] & near[b]) for a, b in edges) // 3
-    w = sum(len(x) * (len(x) - 1) // 2 for x in near)
-    two = w - 3 * t
-    one = len(edges) * (n - 2) - 2 * two - 3 * t
-    return np.array([n * (n - 1) * (n - 2) // 6 - one - two - t, one, two, t])
+    """series_id, motif, n_edges, count, total of the sets of four nodes of an undirected graph with edges; null where a count is beyond 2^63."""
+    if g.directed:
+        raise ValueError("motifs are counted in undirected graphs")
+    t = triangles(g)
+    corners = t.select("series_id", F.explode(F.array("a", "b", "c")).alias("node")).groupBy("series_id", "node").agg(F.count("*").alias("t"))
+    nodes = g.degrees().join(corners, ["series_id", "node"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    d = F.col("degree")
+    sums = nodes.groupBy("series_id").agg(
+        F.count("*").alias("n"), _whole(F.sum(d) / 2).alias("e"), F.sum(_choose(d, 2)).alias("wedges"), F.sum(_choose(d, 3)).alias("stars"),
+        _whole(F.sum("t") / 3).alias("triangles"), F.sum(_whole(F.col("t")) * _whole(d - 2)).alias("paws"),
+    )
+    ends = g.edges.select("series_id", "src", "dst").join(g.degrees().select("series_id", F.col("node").alias("src"), F.col("degree").alias("x")), ["series_id", "src"]).join(g.degrees().select("series_id", F.col("node").alias("dst"), F.col("degree").alias("y")), ["series_id", "dst"])
+    chains = ends.groupBy("series_id").agg(F.sum(_whole(F.col("x") - 1) * _whole(F.col("y") - 1)).alias("chains"))
+    sides = F.array(*(F.struct(F.col(i).alias("i"), F.col(j).alias("j")) for i, j in ("ab", "ac", "bc")))
+    on_edge = t.select("series_id", F.explode(sides).alias("x")).groupBy("series_id", "x").agg(F.count("*").alias("k"))
+    diamonds = on_edge.groupBy("series_id").agg(F.sum(_choose(F.col("k"), 2)).alias("diamonds"))
+    cliques = cliques4(g, t).groupBy("series_id").agg(_whole(F.count("*")).alias("cliques"))
+    s = sums.filter("e > 0")
+    for part in (chains, diamonds, cycles4(g), cliques):
+        s = s.join(part, "series_id", "left")
+    s = s.na.fill(0, ["chains", "diamonds", "cycles", "cliques"])
+    n, c = F.col("n"), lambda k: _whole(F.col(k))
+    ways = [
+        _choose(n, 4), c("e") * _choose(n - 2, 2), c("wedges") * _whole(n - 3) + _choose(c("e"), 2) - c("wedges"),
+        c("triangles") * _whole(n - 3) + c("stars") + c("chains") - 3 * c("triangles"), c("cycles") + c("paws"), c("diamonds"), c("cliques"),
+    ]
+    s = s.select("series_id", *(_whole(w).alias(f"w{k}") for k, w in enumerate(ways)))
+    exact = [sum((_whole(F.lit((-1) ** (r - k) * comb(r, k)) * F.col(f"w{r}")) for r in range(k + 1, 7)), F.col(f"w{k}")) for k in range(7)]
+    rows = F.array(*(F.struct(F.lit(name).alias("motif"), F.lit(k).alias("n_edges"), _whole(x).try_cast("long").alias("count")) for k, (name, x) in enumerate(zip(FOUR, exact, strict=True))))
+    return s.select("series_id", F.explode(rows).alias("x"), F.col("w0").try_cast("long").alias("total")).select("series_id", "x.*", "total")
+
+
+def edge_hash(src, dst, k: int, replica, seed: int):
+    """A whole number below PRIME that orders the edges of a round; for arrays and single numbers."""
+    x = (src * FACTORS[0] + dst * FACTORS[1] + k * FACTORS[2] + replica * FACTORS[3] + seed * FACTORS[4]) % PRIME
+    y = x * x % PRIME
+    return y * y % PRIME * x % PRIME
+
+
+def swapped(group: np.ndarray, replica: np.ndarray, src: np.ndarray, dst: np.ndarray, rounds: int = SWAPS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Graphs of the same degrees; src < dst are the edges of several graphs (``group``, ascending) at once."""
+    n = int(dst.max()) + 1
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    for k in range(rounds):
+        h = edge_hash(src, dst, k, replica, seed)
+        order = np.lexsort((dst, src, h, group))
+        src, dst, h = src[order], dst[order], h[order]
+        first = np.flatnonzero(place[:-1] % 2 == 0)
+        first = first[group[first] == group[first + 1]]
+        a, b, c, d = src[first], dst[first], src[first + 1], dst[first + 1]
+        flip = h[first] % 2 == 1
+        c, d = np.where(flip, d, c), np.where(flip, c, d)
+        code = lambda g, x, y: (g * n + np.minimum(x, y)) * n + np.maximum(x, y)
+        x, y = code(group[first], a, d), code(group[first], c, b)
+        there = code(group, src, dst)
+        fit = (a != c) & (a != d) & (b != c) & (b != d) & ~np.isin(x, there) & ~np.isin(y, there)
+        first, x, y = first[fit], x[fit], y[fit]
+        wanted, times = np.unique(np.concatenate([x, y]), return_counts=True)
+        once = wanted[times == 1]
+        alone = np.isin(x, once) & np.isin(y, once)
+        first, x, y = first[alone], x[alone], y[alone]
+        src[first], dst[first] = x % (n * n) // n, x % n
+        src[first + 1], dst[first + 1] = y % (n * n) // n, y % n
+    return src, dst
+
+
+def replicas(g: VisibilityGraph, num_random: int, seed: int = 0) -> DataFrame:
+    """series_id, replica, src, dst: graphs of the same degrees as ``g``."""
+    schema = T.StructType([g.edges.schema["series_id"], T.StructField("replica", T.LongType()), T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = batch.column(2).value_lengths().to_numpy()
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(np.cumsum(counts[begin:]), 1 << 18, "right")) + begin)
+                part, group = batch.slice(begin, end - begin), np.repeat(np.arange(end - begin), counts[begin:end])
+                replica = part.column(1).to_numpy()[group]
+                src, dst = swapped(group, replica, *(part.column(c).flatten().to_numpy() for c in (2, 3)), seed=seed)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(group)), pa.array(replica), pa.array(src), pa.array(dst)], names=schema.names)
+                begin = end
+
+    arrays = g.edges.groupBy("series_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
+    return arrays.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_random - 1).cast("long"))).alias("replica"), "src", "dst").mapInArrow(run, schema)
 
 
 def motif_significance(g: VisibilityGraph, num_random: int, seed: int = 0) -> DataFrame:
-    """series_id, motif, z_score of three-node motifs against graphs of the same degrees; 0 where these do not vary."""
-    schema = T.StructType([g.edges.schema["series_id"], T.StructField("motif", T.StringType()), T.StructField("z_score", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
-        n = max(b for _, b in edges) + 1
-        own, rng = count_three(n, edges), np.random.default_rng(seed)
-        others = np.array([count_three(n, swapped(edges, rng)) for _ in range(num_random)])
-        sd = others.std(axis=0)
-        z = np.where(sd > 0, (own - others.mean(axis=0)) / np.where(sd > 0, sd, 1), 0.0)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "motif": THREE, "z_score": z})
-
-    return g.edges.groupBy("series_id").applyInPandas(lambda pdf: run(pdf), schema)
+    """series_id, motif, z_score of three-node motifs against graphs of the same degrees; 0 where these do not vary.
+
+    The triples of such graphs differ by their triangles alone.
+    """
+    key = F.struct("series_id", "replica")
+    random = replicas(g, num_random, seed).select(key.alias("series_id"), "src", "dst")
+    found = triangles(VisibilityGraph(random.select("series_id", F.col("src").alias("node")), random)).groupBy("series_id").agg(F.count("*").alias("t")).select("series_id.*", "t")
+    sums = found.groupBy("series_id").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.col("t")).alias("tt"))
+    own = triangles(g).groupBy("series_id").agg(F.count("*").alias("own"))
+    all_ = g.edges.select("series_id").distinct().join(own, "series_id", "left").join(sums, "series_id", "left").na.fill(0, ["own", "t", "tt"])
+    mean = F.col("t") / num_random
+    # Whole numbers up to the root, so that no variation is exactly 0.
+    varied = (num_random * F.col("tt") - F.col("t") * F.col("t")).cast("long")
+    z = F.when(varied > 0, F.try_divide(F.col("own") - mean, F.sqrt(varied.cast("double")) / num_random)).otherwise(0.0)
+    rows = F.array(*(F.struct(F.lit(name).alias("motif"), (sign * F.col("z")).alias("z_score")) for name, sign in zip(THREE, (-1, 1, -1, 1), strict=True)))
+    return all_.withColumn("z", z).select("series_id", F.explode(rows).alias("x")).select("series_id", "x.*")
 
 
 def most_frequent(motifs: DataFrame) -> DataFrame:

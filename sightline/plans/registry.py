@@ -544,12 +544,39 @@ def _(spark, sf):
     return motifs.most_frequent(motifs.motifs3(tables.natural(spark, sf)))
 
 
-@query("motifs4")
+# By pairs of nodes and a third one: bit masks of neighbours tell how many fourth ones make so many edges.
+_CLASSES = ["excl - (xor(a.m, b.m) & excl) - (a.m & b.m & excl)", "xor(a.m, b.m) & excl", "a.m & b.m & excl"]
+_M4 = f"""with {NVG}, {LINKS}, n as (select series_id, count(*) as n from s group by 1), adj as materialized (select s.series_id, s.idx, n, coalesce(bit_or(1::hugeint << l.nb::int), 0::hugeint) as m from s join n on s.series_id = n.series_id left join l on l.series_id = s.series_id and l.node = s.idx group by all),
+two as materialized (select a.series_id, a.idx as i, b.idx as j, (a.m >> b.idx::int) & 1 as e, a.m as am, b.m as bm, {", ".join(f"{c.replace('excl', '(((1::hugeint << a.n::int) - 1) - (1::hugeint << a.idx::int) - (1::hugeint << b.idx::int))')} as c{q}" for q, c in enumerate(_CLASSES))} from adj a join adj b on a.series_id = b.series_id and a.idx < b.idx),
+three as (select t.series_id, e + p as base, {", ".join(f"sum(bit_count(c{q} & m)) as s{q}1, sum(bit_count(c{q}) - bit_count(c{q} & m) - case when p = {q} then 1 else 0 end) as s{q}0" for q in range(3))} from (select t.series_id, e, c0, c1, c2, c.m, ((am >> c.idx::int) & 1) + ((bm >> c.idx::int) & 1) as p from two t join adj c on c.series_id = t.series_id and c.idx <> i and c.idx <> j) t group by all),
+four as (select series_id, unnest([{", ".join(f"base + {q + x}" for q in range(3) for x in range(2))}]) as n_edges, unnest([{", ".join(f"s{q}{x}" for q in range(3) for x in range(2))}]) as c from three),
+names as (select unnest(range(7))::int as n_edges, unnest({list(motifs.FOUR)}) as motif)"""
+
+
+@query("motifs4", f"{_M4} select n.series_id, motif, names.n_edges, coalesce(sum(c) // 12, 0)::bigint as count, (n.n * (n.n - 1) * (n.n - 2) * (n.n - 3) // 24)::bigint as total from n join names on n.n > 1 left join four on four.series_id = n.series_id and four.n_edges = names.n_edges group by all")
 def _(spark, sf):
     return motifs.motifs4(tables.natural(spark, sf))
 
 
-@query("motif_significance")
+def _swaps(replicas: int, seed: int = 0) -> str:
+    key, same = "series_id, rep", "{0}.series_id = {1}.series_id and {0}.rep = {1}.rep"
+    out = f"e0 as materialized (select series_id, rep, src, dst from e, (select unnest(range({replicas})) as rep))"
+    p, f = motifs.PRIME, motifs.FACTORS
+    for k in range(motifs.SWAPS):
+        x = f"(src * {f[0]} + dst * {f[1]} + {k * f[2] + seed * f[4]} + rep * {f[3]}) % {p}"
+        out += f""", o{k} as materialized (select *, row_number() over (partition by {key} order by h, src, dst) - 1 as p from (select {key}, src, dst, (y * y % {p}) * x % {p} as h from (select *, x * x % {p} as y from (select *, {x} as x from e{k})))),
+v{k} as materialized (select {key}, p, least(a, d) as x1, greatest(a, d) as x2, least(c, b) as y1, greatest(c, b) as y2 from (select f.series_id, f.rep, f.p, f.src as a, f.dst as b, case when f.h % 2 = 1 then g.dst else g.src end as c, case when f.h % 2 = 1 then g.src else g.dst end as d from o{k} f join o{k} g on {same.format("f", "g")} and g.p = f.p + 1 where f.p % 2 = 0) where a <> c and a <> d and b <> c and b <> d),
+z{k} as materialized (select v.* from v{k} v left join e{k} x on {same.format("v", "x")} and x.src = x1 and x.dst = x2 left join e{k} y on {same.format("v", "y")} and y.src = y1 and y.dst = y2 where x.src is null and y.src is null),
+u{k} as materialized (select {key}, s, d from (select {key}, x1 as s, x2 as d from z{k} union all select {key}, y1, y2 from z{k}) group by all having count(*) = 1),
+k{k} as materialized (select z.* from z{k} z join u{k} a on {same.format("z", "a")} and a.s = x1 and a.d = x2 join u{k} b on {same.format("z", "b")} and b.s = y1 and b.d = y2),
+e{k + 1} as materialized (select o.series_id, o.rep, coalesce(a.x1, b.y1, src) as src, coalesce(a.x2, b.y2, dst) as dst from o{k} o left join k{k} a on {same.format("o", "a")} and a.p = o.p left join k{k} b on {same.format("o", "b")} and b.p = o.p - 1)"""
+    last = f"e{motifs.SWAPS}"
+    return f"""{out}, rt as (select x.series_id, x.rep, count(*) as t from {last} x join {last} y on {same.format("x", "y")} and x.dst = y.src join {last} z on {same.format("x", "z")} and x.src = z.src and y.dst = z.dst group by all),
+rq as (select m.series_id, m.rep, coalesce(t, 0) as t from (select distinct {key} from e0) m left join rt on {same.format("m", "rt")}),
+rw as (select rq.series_id, case when stddev_pop(t) > 0 then (coalesce(any_value(c), 0) - avg(t)) / stddev_pop(t) else 0 end as z from rq left join (select series_id, count(*) as c from t group by 1) o on o.series_id = rq.series_id group by 1)"""
+
+
+@query("motif_significance", f"with {NVG}, {TRI}, {_swaps(5)} select series_id, unnest({list(motifs.THREE)}) as motif, unnest([round(-z, 6), round(z, 6), round(-z, 6), round(z, 6)]) as z_score from rw")
 def _(spark, sf):
     return motifs.motif_significance(tables.natural(spark, sf), 5).withColumn("z_score", r6("z_score"))
 
@@ -690,12 +717,23 @@ def _(spark, sf):
     return trees.lightest_edges(g).withColumn("weight", r6("weight"))
 
 
-@query("mst")
+# An edge is in the tree where no way between its ends keeps to lighter edges.
+_RANKED = "rk as materialized (select series_id, src, dst, abs(vb - va) as w, row_number() over (partition by series_id order by abs(vb - va), src, dst) as r from e), lw as materialized (select series_id, src as node, dst as nb, r from rk union all select series_id, dst, src, r from rk), h(series_id, s, t, r) using key (series_id, s, t) as (select series_id, idx, idx, 0 from s union select h.series_id, h.s, lw.nb, min(greatest(h.r, lw.r)) from h join lw on h.series_id = lw.series_id and h.t = lw.node left join recurring.h z on z.series_id = h.series_id and z.s = h.s and z.t = lw.nb where z.r is null or greatest(h.r, lw.r) < z.r group by all)"
+
+
+@query("mst", f"with recursive {NVG}, {_RANKED} select rk.series_id, src, dst, round(w, 6) as weight from rk join h on h.series_id = rk.series_id and h.s = rk.src and h.t = rk.dst where h.r = rk.r")
 def _(spark, sf):
     g = VisibilityGraph.from_series(tables.events(spark, sf)).with_weight("absdiff").natural_visibility()
     return trees.minimum_spanning_tree(g).withColumn("weight", r6("weight"))
 
 
+@query("mst_by_joins", ORACLES["mst"])
+def _(spark, sf):
+    """The same over all tasks, as for graphs that are too large for one."""
+    g = VisibilityGraph.from_series(tables.events(spark, sf)).with_weight("absdiff").natural_visibility()
+    return trees.minimum_spanning_tree(g, strategy="long").withColumn("weight", r6("weight"))
+
+
 @query("scc", f"with {S} select series_id, idx as node, idx as component from s")
 def _(spark, sf):
     return trees.strongly_connected_components(tables.natural(spark, sf))

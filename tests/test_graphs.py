@@ -292,10 +292,27 @@ def test_motifs(series, graph):
 
 
 def test_swaps_keep_degrees():
-    edges = sorted((i, int(j)) for i, js in visibility.natural_of(np.array(random_series(5, 1)["r0"] * 2)) for j in js)
-    out = motifs.swapped(edges, np.random.default_rng(0))
-    count = lambda es: sorted(np.bincount(np.array(es).ravel()).tolist())
-    assert count(out) == count(edges) and len(set(out)) == len(edges)
+    graphs = [sorted((i, int(j)) for i, js in visibility.natural_of(np.array(v)) for j in js) for v in random_series(5, 12).values()]
+    group = np.repeat(np.arange(12), [len(e) for e in graphs])
+    src, dst = np.array([e for es in graphs for e in es]).T
+    out = motifs.swapped(group, group % 3, src, dst)
+    assert (out[0] < out[1]).all()
+    changed = 0
+    for k, edges in enumerate(graphs):
+        own = list(zip(*(x[group == k].tolist() for x in out), strict=True))
+        assert np.bincount(np.array(own).ravel()).tolist() == np.bincount(np.array(edges).ravel()).tolist() and len(set(own)) == len(edges)
+        alone = motifs.swapped(np.zeros(len(edges), int), np.full(len(edges), k % 3), *np.array(edges).T)
+        assert sorted(own) == sorted(zip(*(x.tolist() for x in alone), strict=True))
+        changed += set(own) != set(edges)
+    assert changed > 6
+
+
+def test_four_nodes_of_a_long_series(spark):
+    """A series of 10,000 samples, whose sets of four are far too many to list; pairs of hubs and small graphs are in the query's oracle."""
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate(rng.normal(size=10_000))], "series_id string, idx long, value double")
+    got = {r.n_edges: (r["count"], r.total) for r in motifs.motifs4(VisibilityGraph.from_series(df).natural_visibility().persist()).collect()}
+    assert sum(c for c, _ in got.values()) == got[0][1] == 10_000 * 9_999 * 9_998 * 9_997 // 24 and all(c > 0 for c, _ in got.values())
 
 
 def test_compare(graph, series):
@@ -332,6 +349,16 @@ def test_trees(series, graph):
     every, df = series
     g = VisibilityGraph.from_series(df).with_weight("absdiff").natural_visibility()
     mst = by_series(trees.minimum_spanning_tree(g), "src", "dst")
+    some = VisibilityGraph(g.nodes, g.edges.filter("series_id in ('S5', 'S7', 'r1', 'r2', 'FLAT')"))
+    assert by_series(trees.minimum_spanning_tree(some, strategy="long"), "src", "dst") == {k: mst[k] for k in ("S5", "S7", "r1", "r2", "FLAT")}
+    for name, v in every.items():
+        home = list(range(len(v)))
+        kruskal = set()
+        for a, b in sorted(oracle.natural(v), key=lambda e: (abs(v[e[1]] - v[e[0]]), e)):
+            if home[a] != home[b]:
+                kruskal.add((a, b))
+                home = [home[a] if h == home[b] else h for h in home]
+        assert mst.get(name, set()) == kruskal
     assert all(len(mst[name]) == len(v) - 1 for name, v in every.items() if len(v) > 1)
     assert all(len(oracle.distances(len(v), mst[name])[0]) == len(v) for name, v in every.items() if len(v) > 1)
     assert trees.lightest_edges(g).filter("series_id = 'S5'").count() == 4
