@@ -68,26 +68,35 @@ def sample_entropy(series: DataFrame, m: int, r: float) -> DataFrame:
     """series_id, sample_entropy: n - m templates for each length, ordered pairs, greatest
     difference up to r; 0 where one of the shares is none, or for n <= m + 1.
 
-    Templates of both lengths are compared within their series' array, so nothing is joined.
+    Templates lie in cells of side r by their first samples, so one that is near lies in the same or a neighbouring cell; a template meets
+    only these, wherever its series is. Templates of the same samples are counted first and meet as one, and
+    pairs of the longer templates are those of the shorter whose next samples are near as well.
     """
-    arrays = series.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("a")).select("series_id", F.col("a.value").alias("v"))
-    n = F.size("v")
-
-    def share(k: int) -> Column:
-        count = n - k
-        starts = F.when(count > 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-
-        def near(i: Column, j: Column) -> Column:
-            out = F.abs(F.get(F.col("v"), i) - F.get(F.col("v"), j)) <= r
-            for d in range(1, k):
-                out = out & (F.abs(F.get(F.col("v"), i + d) - F.get(F.col("v"), j + d)) <= r)
-            return out
-
-        matches = F.aggregate(starts, F.lit(0).cast("long"), lambda s, i: s + F.size(F.filter(starts, lambda j: (i != j) & near(i, j))))
-        return F.when(count > 1, F.try_divide(matches, (count * (count - 1)).cast("double"))).otherwise(0.0)
-
-    shares = arrays.select("series_id", n.alias("n"), share(m).alias("p"), share(m + 1).alias("q"))
-    return shares.select("series_id", F.when((F.col("n") <= m + 1) | (F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise(-F.log(F.try_divide(F.col("q"), F.col("p")))).alias("sample_entropy"))
+    w = order()
+    values = [F.col("value") if k == 0 else F.lead("value", k).over(w) for k in range(m + 1)]
+    # A template of m samples is one of the n - m only if a sample follows it; the longer needs one more.
+    names = [f"v{k}" for k in range(m + 1)]
+    templates = series.select("series_id", *(v.alias(k) for v, k in zip(values, names, strict=True)), F.lead("idx", m + 1).over(w).isNotNull().alias("longer")).filter(F.col(names[-1]).isNotNull())
+    same = templates.groupBy("series_id", *names, "longer").agg(F.count("*").alias("c"))
+    side = float(r) if r > 0 else 1.0
+    cells = [f"cell{k}" for k in range(min(m, 2))]
+    placed = same.select("*", *(F.floor(F.col(n) / side).alias(c) for n, c in zip(names, cells, strict=False)))
+    # Of two cells side by side only one looks for the other, and what it finds counts twice.
+    steps = [(0,), (1,)] if len(cells) == 1 else [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    moved = F.array(*(F.struct(F.lit(2 if any(step) else 1).alias("times"), *((F.col(c) + d).alias(c) for c, d in zip(cells, step, strict=True))) for step in steps))
+    near = placed.select("series_id", F.explode(moved).alias("to"), *(F.col(n).alias(f"o_{n}") for n in names), F.col("longer").alias("o_longer"), F.col("c").alias("o_c"))
+    other = near.select("series_id", "to.*", *(f"o_{n}" for n in names), "o_longer", "o_c")
+    close = [F.abs(F.col(n) - F.col(f"o_{n}")) <= r for n in names]
+    pairs = other.join(placed, ["series_id", *cells])
+    for x in close[:-1]:
+        pairs = pairs.filter(x)
+    ways = F.col("c") * F.col("o_c") * F.col("times")
+    met = pairs.groupBy("series_id").agg(F.sum(ways).alias("p"), F.sum(F.when(F.col("longer") & F.col("o_longer") & close[-1], ways)).alias("q"))
+    n = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    # Each template has met itself, too.
+    own = 1 if r >= 0 else 0
+    shares = n.join(met, "series_id", "left").select("series_id", "n", *(F.try_divide(F.coalesce(x, F.lit(0)) - own * k, (k * (k - 1)).cast("double")).alias(x) for x, k in (("p", F.col("n") - m), ("q", F.col("n") - m - 1))))
+    return shares.select("series_id", F.when((F.col("n") <= m + 1) | (F.coalesce("p", F.lit(0)) <= 0) | (F.coalesce("q", F.lit(0)) <= 0), 0.0).otherwise(-F.log(F.try_divide(F.col("q"), F.col("p")))).alias("sample_entropy"))
 
 
 def hurst_exponent(series: DataFrame) -> DataFrame:

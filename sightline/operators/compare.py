@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .clustering import clustering
 from .degree import density
 from .graph import VisibilityGraph
+from .visibility import natural_and_horizontal
 
 
 def compare(a: VisibilityGraph, b: VisibilityGraph) -> DataFrame:
@@ -25,6 +27,30 @@ def compare(a: VisibilityGraph, b: VisibilityGraph) -> DataFrame:
     return corr.join(overlap, "series_id", "left").join(cc, "series_id").join(dd, "series_id").select("series_id", F.coalesce("edge_overlap", F.lit(0.0)).alias("edge_overlap"), "degree_correlation", "clustering_diff", "density_diff")
 
 
+def compare_kinds(series: DataFrame) -> DataFrame:
+    """``compare`` of the natural and the horizontal graph of each series, in one pass.
+
+    Horizontal edges are natural ones with a flag, so degrees, triangles and edges of both graphs are counted together,
+    over one table of edges.
+    """
+    e = stored(natural_and_horizontal(series), "kinds")
+    h = F.col("is_horizontal").cast("long")
+    ends = e.select("series_id", F.explode(F.array("src", "dst")).alias("node"), "is_horizontal").groupBy("series_id", "node").agg(F.count("*").alias("x"), F.sum(h).alias("y"))
+    ab, bc, ac = (e.select("series_id", F.col("src").alias(i), F.col("dst").alias(j), F.col("is_horizontal").alias(f"h{i}{j}")) for i, j in ("ab", "bc", "ac"))
+    t = ab.join(bc, ["series_id", "b"]).join(ac, ["series_id", "a", "c"]).select("series_id", F.explode(F.array("a", "b", "c")).alias("node"), (F.col("hab") & F.col("hbc") & F.col("hac")).cast("long").alias("both"))
+    t = t.groupBy("series_id", "node").agg(F.count("*").alias("tx"), F.sum("both").alias("ty"))
+    share = lambda t, d: F.when(F.col(d) < 2, 0.0).otherwise(F.try_divide(F.coalesce(t, F.lit(0)), F.col(d) * (F.col(d) - 1) / 2))
+    nodes = ends.join(t, ["series_id", "node"], "left").select("series_id", "x", "y", share("tx", "x").alias("cx"), share("ty", "y").alias("cy"))
+    sums = nodes.groupBy("series_id").agg(
+        F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("dx"), F.stddev_pop("y").alias("dy"),
+        F.avg("cx").alias("cx"), F.avg("cy").alias("cy"),
+    )
+    flat = (F.col("dx") == 0) | (F.col("dy") == 0)
+    rows = sums.select("series_id", F.try_divide("sy", "sx").alias("edge_overlap"), F.when(flat, 1.0).otherwise(F.try_divide(F.col("c"), F.col("dx") * F.col("dy"))).alias("degree_correlation"), F.abs(F.col("cx") - F.col("cy")).alias("clustering_diff"), F.try_divide(F.col("sx") - F.col("sy"), F.col("k") * (F.col("k") - 1)).alias("density_diff"))
+    single = series.groupBy("series_id").agg(F.count("*").alias("n")).filter("n = 1")
+    return rows.union(single.select("series_id", F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+
+
 def batch_statistics(statistics: DataFrame) -> DataFrame:
     """One row of averages over the series of ``graph_statistics``."""
     return statistics.agg(F.count("*").alias("num_graphs"), F.avg("edge_count").alias("avg_edges"), F.avg("average_clustering").alias("avg_clustering"), F.avg("average_path_length").alias("avg_path_length"), F.avg("density").alias("avg_density"))

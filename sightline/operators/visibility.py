@@ -124,21 +124,38 @@ def horizontal_blocks(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.repeat([i for i, _ in found], [len(d) for _, d in found]), np.concatenate([d for _, d in found])
 
 
-def _kernel(s: DataFrame, of: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    schema = T.StructType([s.schema["series_id"], T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("va", T.DoubleType()), T.StructField("vb", T.DoubleType())])
+def reaching(v: np.ndarray) -> np.ndarray:
+    """The place of the next sample that is as high or higher, n where there is none."""
+    out, stack, values = np.full(len(v), len(v)), [], v.tolist()
+    for i, x in enumerate(values):
+        while stack and values[stack[-1]] <= x:
+            out[stack.pop()] = i
+        stack.append(i)
+    return out
+
+
+def flagged_blocks(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Natural edges, and whether each is a horizontal one as well: all horizontal edges are natural."""
+    after, before = reaching(v), len(v) - 1 - reaching(v[::-1])[::-1]
+    for src, dst in natural_blocks(v):
+        yield src, dst, (after[src] == dst) | (before[dst] == src)
+
+
+def _kernel(s: DataFrame, of: Callable[[np.ndarray], Iterator[tuple[np.ndarray, ...]]], flag: str | None = None) -> DataFrame:
+    schema = T.StructType([s.schema["series_id"], T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("va", T.DoubleType()), T.StructField("vb", T.DoubleType()), *([T.StructField(flag, T.BooleanType())] if flag else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held, size = batch.column(0), [], 0
 
             def out() -> pa.RecordBatch:
-                k, src, dst, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(k)), *map(pa.array, (src, dst, a, b))], names=schema.names)
+                k, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(k)), *map(pa.array, columns)], names=schema.names)
 
             for k in range(batch.num_rows):
                 v = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
-                for src, dst in of(v):
-                    held.append((np.full(len(src), k), src, dst, v[src], v[dst]))
+                for src, dst, *flags in of(v):
+                    held.append((np.full(len(src), k), src, dst, v[src], v[dst], *flags))
                     size += len(src)
                     if size > EDGES:
                         yield out()
@@ -150,6 +167,11 @@ def _kernel(s: DataFrame, of: Callable[[np.ndarray], Iterator[tuple[np.ndarray,
     return arrays.mapInArrow(run, schema)
 
 
+def natural_and_horizontal(series: DataFrame) -> DataFrame:
+    """series_id, src, dst, is_horizontal of the natural graphs; the horizontal graphs are the edges with the flag."""
+    return _kernel(_checked(series), flagged_blocks, "is_horizontal").select("series_id", "src", "dst", "is_horizontal")
+
+
 def _either(series: DataFrame, short: Callable[[DataFrame], DataFrame], of, long: Callable[[DataFrame], DataFrame], strategy: str) -> DataFrame:
     s = _checked(series)
     if strategy not in ("auto", "sql", "kernel", "long"):

@@ -599,6 +599,13 @@ def _(spark, sf):
 
 @query("compare_nvg_hvg", f"with {NVG}, hq as (select *, max(vb) {_BETWEEN} as hm from p), he as (select series_id, src, dst from hq where hm is null or hm < least(va, vb)), {DEG}, {TRI}, k as (select series_id, node, count(*) as links from (select series_id, unnest([a, b, c]) as node from t) group by all), hl as (select series_id, src as node, dst as nb from he union all select series_id, dst, src from he), hd as (select s.series_id, s.idx as node, count(hl.nb) as degree from s left join hl on s.series_id = hl.series_id and s.idx = hl.node group by all), ht as (select x.series_id, x.src as a, x.dst as b, y.dst as c from he x join he y on x.series_id = y.series_id and x.dst = y.src join he z on x.series_id = z.series_id and x.src = z.src and y.dst = z.dst), hk as (select series_id, node, count(*) as links from (select series_id, unnest([a, b, c]) as node from ht) group by all), n as (select d.series_id, d.degree as x, hd.degree as y, case when d.degree < 2 then 0.0 else coalesce(k.links, 0) / (d.degree * (d.degree - 1) / 2.0) end as cx, case when hd.degree < 2 then 0.0 else coalesce(hk.links, 0) / (hd.degree * (hd.degree - 1) / 2.0) end as cy from d join hd on d.series_id = hd.series_id and d.node = hd.node left join k on d.series_id = k.series_id and d.node = k.node left join hk on d.series_id = hk.series_id and d.node = hk.node) select series_id, round(sum(y) / sum(x), 6) as edge_overlap, round(corr(x, y), 6) as degree_correlation, round(abs(avg(cx) - avg(cy)), 6) as clustering_diff, round(abs(sum(x) - sum(y)) / (count(*) * (count(*) - 1)), 6) as density_diff from n group by 1")
 def _(spark, sf):
+    c = compare.compare_kinds(tables.events(spark, sf))
+    return c.select("series_id", *(r6(x).alias(x) for x in c.columns[1:]))
+
+
+@query("compare_graphs", ORACLES["compare_nvg_hvg"])
+def _(spark, sf):
+    """The same of two graphs that know nothing of each other."""
     c = compare.compare(tables.natural(spark, sf), tables.horizontal(spark, sf))
     return c.select("series_id", *(r6(x).alias(x) for x in c.columns[1:]))
 

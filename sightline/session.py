@@ -11,9 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with UTC timestamps and adaptive execution; clusters bring their own."""
+    """A session with UTC timestamps and adaptive execution; clusters bring their own.
+
+    Joins whose partitions all turn out to be small are hashed instead of sorted.
+    """
     builder = SparkSession.builder.master(master).appName("sightline").config("spark.sql.shuffle.partitions", shuffle_partitions)
-    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m", "spark.ui.enabled": "false", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -366,3 +366,17 @@ def test_trees(series, graph):
     assert {(r.series_id, r.node): r.distance for r in paths.dijkstra(graph).collect()} == {k: v for k, v in hops.items() if k[0] != "ONE"}
     order = by_series(trees.topological_sort(graph), "node", "position")["S5"]
     assert order == {(k, k) for k in range(5)} and trees.strongly_connected_components(graph).select(F.countDistinct("series_id", "component")).first()[0] == graph.nodes.count()
+
+
+def test_both_kinds_in_one_pass(series):
+    every, df = series
+    found = visibility.natural_and_horizontal(df).collect()
+    for name, v in every.items():
+        own = {(r.src, r.dst): r.is_horizontal for r in found if r.series_id == name}
+        assert set(own) == oracle.natural(v) and {e for e, h in own.items() if h} == oracle.horizontal(v)
+    builder = VisibilityGraph.from_series(df)
+    want = {r[0]: tuple(r[1:]) for r in compare.compare(builder.natural_visibility(), builder.horizontal_visibility()).collect()}
+    got = {r[0]: tuple(r[1:]) for r in compare.compare_kinds(df).collect()}
+    assert got.keys() == want.keys()
+    for name in want:
+        assert got[name] == pytest.approx(want[name])
