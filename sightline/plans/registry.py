@@ -464,6 +464,29 @@ def _(spark, sf):
     return paths.betweenness(tables.natural(spark, sf), "reference").withColumn("betweenness", r6("betweenness"))
 
 
+# A graph of one long series, searched from every hundredth sample.
+_BALANCES = "s as (select '0' as series_id, row_number() over (order by c_custkey) - 1 as idx, c_acctbal::double as v from customer)"
+_FROM = DIST.replace(S, _BALANCES).replace("select series_id, idx, idx, 0 from s", "select series_id, idx, idx, 0 from s where idx % 100 = 0")
+
+
+def _balances(spark: SparkSession, sf: str) -> VisibilityGraph:
+    series = points(spark.read.parquet(f"{sf}/customer.parquet"), None, "c_custkey", "c_acctbal")
+    return VisibilityGraph.from_series(series).with_strategy("long").natural_visibility()
+
+
+@query("distances_long", f"with {_FROM} select s as source, t as target, hops from h")
+def _(spark, sf):
+    g = _balances(spark, sf)
+    return paths.distances_from(g, g.nodes.filter("node % 100 = 0").select("series_id", F.col("node").alias("source"))).drop("series_id")
+
+
+@query("closeness_long", f"with {_FROM} select s as node, max(hops)::bigint as eccentricity, count(*) filter (hops > 0) as reached, round(count(*) filter (hops > 0) / sum(hops), 6) as closeness from h group by 1")
+def _(spark, sf):
+    g = _balances(spark, sf)
+    sums = paths.sums_from(g, g.nodes.filter("node % 100 = 0").select("series_id", F.col("node").alias("source")))
+    return sums.join(paths.closeness(sums), ["series_id", "node"]).select("node", "eccentricity", "reached", r6("closeness").alias("closeness"))
+
+
 # L. Communities.
 def _communities(graph: str, nodes: str) -> str:
     """The rounds of local moving, one after the other; ``nodes`` names the table of all (series_id, node)."""

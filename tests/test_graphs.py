@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.errors import GraphError
@@ -218,6 +219,21 @@ def test_communities_and_modularity(graph):
     assert {r.node for r in community.community_nodes(found, 1).filter("series_id = 'S6'").collect()} == {4, 5}
 
 
+def test_searches_by_joins(series):
+    """From all nodes of some graphs, more than 64 of one, directed and in pieces, as within a task."""
+    few = series[1].filter("series_id in ('S7', 'r1', 'ONE')").union(series[1].filter("series_id in ('r2', 'r3', 'r4')").select(F.lit("both"), (F.row_number().over(Window.orderBy("series_id", "idx")) - 1).cast("long"), "t", "value"))
+    g = VisibilityGraph.from_series(few).natural_visibility().persist()
+    pieces = of_edges(g.edges.filter("src div 5 = dst div 5"))
+    for own in (g, VisibilityGraph(g.nodes, g.edges, directed=True), pieces):
+        sources = own.nodes.select("series_id", F.col("node").alias("source"))
+        want = by_series(paths.distances(own), "source", "target", "hops")
+        ends = {(r.series_id, r.node) for r in own.nodes.collect()}
+        want = {k: {x for x in v if (k, x[0]) in ends} for k, v in want.items()}
+        assert by_series(paths.distances_from(own, sources), "source", "target", "hops") == want
+        sums = by_series(paths.node_paths(own, betweenness=False), "node", "eccentricity", "reached", "hops")
+        assert by_series(paths.sums_from(own, sources), "node", "eccentricity", "reached", "hops") == {k: {x for x in v if (k, x[0]) in ends} for k, v in sums.items()}
+
+
 def moved_by_definition(n, edges):
     """Rounds of local moving, node by node, with two levels."""
     def moves(nodes, links, degree, rounds):
