@@ -817,3 +817,89 @@ def _(spark, sf):
 @query("export_npy")
 def _(spark, sf):
     return sinks.to_npy(tables.natural(spark, sf))
+
+
+@query("export_npy_values", f"with {NVG}, {DEG}, m as (select series_id, sum(k * (3 * src + 2 * dst + 1) + 0)::double as x from (select series_id, src, dst, row_number() over (partition by series_id order by src, dst) as k from e) group by 1), n as (select series_id, count(*) as n, sum(degree * (node + 1))::double as y from d group by 1), c as (select series_id, count(*) as c from e group by 1) select n.series_id, 128 + 24 * c as edges, 128 + 8 * n * n as adjacency, 128 + 8 * n as degrees, x as edge_digest, y as degree_digest from n join c on n.series_id = c.series_id join m on m.series_id = n.series_id")
+def _(spark, sf):
+    """Lengths of the files, and weighted sums of the numbers read back from them."""
+    files = sinks.to_npy(tables.natural(spark, sf))
+    back = files.select("series_id", *(F.octet_length(c).cast("long").alias(c) for c in ("edges", "adjacency", "degrees")), sinks.npy_values("edges").alias("e"), sinks.npy_values("degrees").alias("d"))
+    weights = F.array(F.lit(3), F.lit(2), F.lit(1))
+    digest = lambda values, weight: F.aggregate(F.transform(values, weight), F.lit(0.0), lambda s, x: s + x)
+    edge = digest("e", lambda x, i: x * F.get(weights, i % 3) * (F.floor(i / 3) + 1))
+    return back.select("series_id", "edges", "adjacency", "degrees", edge.alias("edge_digest"), digest("d", lambda x, i: x * (i + 1)).alias("degree_digest"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("files_parquet", f"with {NVG} select series_id, src as source, dst as target, weight from e")
+def _(spark, sf):
+    """Edges written in ranges and read back."""
+    folder = _folder(spark, "edges")
+    sinks.write_parquet(tables.natural(spark, sf), folder)
+    return sinks.read_parquet(spark, folder)
+
+
+@query("files_edges_csv", f"with {NVG} select series_id, src as source, dst as target, weight from e")
+def _(spark, sf):
+    g, folder = tables.natural(spark, sf), _folder(spark, "edges")
+    sinks.write_edges_csv(g, folder)
+    return sinks.read_csv(spark, folder, sinks.edge_list(g))
+
+
+@query("files_features_csv", f"with {S} select series_id, idx as node, round(lead(v) over {_O} - v, 6) as delta_forward, case when v > lag(v) over {_O} and v > lead(v) over {_O} then 1.0::double else 0.0 end as is_local_max from s")
+def _(spark, sf):
+    own = features.FeatureSet().add_builtin("delta_forward").add_builtin("is_local_max")
+    g, folder = VisibilityGraph.from_series(tables.events(spark, sf)).with_features(own).natural_visibility(), _folder(spark, "features")
+    sinks.write_features_csv(g, folder)
+    return sinks.read_csv(spark, folder, sinks.features_table(g)).withColumn("delta_forward", r6("delta_forward"))
+
+
+@query("files_dot", ORACLES["export_dot"])
+def _(spark, sf):
+    texts, folder = sinks.to_dot(tables.natural(spark, sf)), _folder(spark, "dot")
+    sinks.write_text(texts, folder)
+    return sinks.read_text(spark, folder, texts)
+
+
+# Of the rest: a dropped value stays missing, own imputations, windows by their numbers, with labels, and labelled batches.
+@query("impute_drop", f"with {GAP} select series_id, idx, v as value from s")
+def _(spark, sf):
+    return impute.impute(tables.gapped(spark, sf), "drop", strict=False).select("series_id", "idx", "value")
+
+
+@query("impute_custom", f"with {GAP} select series_id, idx, round(coalesce(v, (max(v) {_W.format('rows between 2 preceding and 2 following')} + min(v) {_W.format('rows between 2 preceding and 2 following')}) / 2, 0), 6) as value from s")
+def _(spark, sf):
+    """The middle of the range of the samples around, else zero."""
+    def middle(v, w):
+        near = w.rowsBetween(-2, 2)
+        return (F.max(v).over(near) + F.min(v).over(near)) / 2
+
+    return impute.impute(tables.gapped(spark, sf), impute.Missing(middle).with_fallback("zero")).select("series_id", "idx", r6("value").alias("value"))
+
+
+@query("extract_windows", f"with {_WINDOWS} select window_no, series_id, window_start, total from w where exists (select * from w v where v.window_no = w.window_no * 2)")
+def _(spark, sf):
+    """The windows of the first half, by a table of numbers."""
+    every = _windows(spark, sf)
+    numbers = every.filter("window_no % 2 = 0").select(F.expr("window_no div 2").alias("window_no"))
+    return windows.extract_windows(every, numbers).select("window_no", "series_id", "window_start", r6(vector.total(F.get("window", F.lit(0)))).alias("total"))
+
+
+@query("window_batches_labelled", f"with {_WINDOWS}, y as (select w.window_no, w.total, b.v as label from w left join s b on b.series_id = w.series_id and b.idx = w.window_start + 8) select window_no // 32 as batch, count(*) as windows, count(label) as labelled, round(sum(label), 3) as labels from y group by 1")
+def _(spark, sf):
+    """Batches for training: the sample after a window is its label."""
+    series = tables.gapped(spark, sf)
+    every = _windows(spark, sf)
+    labels = every.select("window_no", "series_id", (F.col("window_start") + 8).alias("idx")).join(series, ["series_id", "idx"]).select("window_no", F.col("value").alias("label"))
+    b = windows.batches(windows.with_labels(every, labels), 32)
+    return b.groupBy("batch").agg(F.count("*").alias("windows"), F.count("label").alias("labelled"), F.round(F.sum("label"), 3).alias("labels"))
+
+
+@query("batch_of_two_tables", f"with {S}, {_DAYS_S.replace('s as', 'z as')}, b as (select 'events/' || series_id as series_id, idx, v from s union all select 'orders/' || series_id, idx, v from z), p as (select a.series_id, a.idx as src, b.idx as dst, a.v as va, b.v as vb, (b.v - a.v) / (b.idx - a.idx) as slope from b a join b on a.series_id = b.series_id and a.idx < b.idx), q as (select *, max(slope) {_BETWEEN} as most from p), e as (select * from q where most is null or slope > most) select series_id, count(*) as edges, sum(dst - src)::bigint as spans from e group by 1")
+def _(spark, sf):
+    """Series of two tables as one labelled batch."""
+    both = compare.batch({"events": tables.events(spark, sf), "orders": tables.days(spark, sf)})
+    return visibility.natural(both).groupBy("series_id").agg(F.count("*").alias("edges"), F.sum(F.col("dst") - F.col("src")).alias("spans"))

@@ -8,11 +8,14 @@ and nodes have no such limit.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import VisibilityGraph
 
@@ -120,19 +123,62 @@ def to_npy(g: VisibilityGraph) -> DataFrame:
     return joined.mapInPandas(run, schema)
 
 
+def npy_values(column: str) -> Column:
+    """The numbers of a numpy file in a binary column, row after row."""
+
+    @F.pandas_udf("array<double>")
+    def values(files: pd.Series) -> pd.Series:
+        return files.map(lambda x: np.load(io.BytesIO(x)).ravel())
+
+    return values(column)
+
+
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _of_series(df: DataFrame, series: Iterable | None) -> DataFrame:
+    return df if series is None else df.filter(F.col("series_id").isin(list(series)))
+
+
 def write_parquet(g: VisibilityGraph, path: str) -> None:
-    """source, target, weight, in folders by series."""
-    edge_list(g).write.partitionBy("series_id").parquet(path)
+    """series_id, source, target, weight, in ranges."""
+    _ranges(edge_list(g), "series_id", "source", "target").write.parquet(path)
+
+
+def read_parquet(spark: SparkSession, path: str, series: Iterable | None = None) -> DataFrame:
+    """Edges that ``write_parquet`` wrote, of all series or of some."""
+    return _of_series(spark.read.parquet(path), series)
 
 
 def write_edges_csv(g: VisibilityGraph, path: str, include_weights: bool = True) -> None:
-    edge_list(g, include_weights).write.option("header", True).csv(path)
+    _ranges(edge_list(g, include_weights), "series_id", "source", "target").write.option("header", True).csv(path)
+
+
+def features_table(g: VisibilityGraph) -> DataFrame:
+    """series_id, node and the features, in the order of their names."""
+    return g.nodes.select("series_id", "node", *sorted(g.feature_names()))
+
+
+def write_features_csv(g: VisibilityGraph, path: str) -> None:
+    """The table of features with a header; a missing value is an empty cell."""
+    _ranges(features_table(g), "series_id", "node").write.option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, like: DataFrame, series: Iterable | None = None) -> DataFrame:
+    """A table that was written as CSV, with the columns of ``like``; a cell that doesn't fit fails the query."""
+    return _of_series(spark.read.schema(like.schema).option("mode", "FAILFAST").csv(path, header=True), series)
 
 
 def write_text(text: DataFrame, path: str) -> None:
-    """One text a series, from ``to_dot``, ``to_graphml`` and the like, in folders by series."""
+    """Texts from ``to_dot``, ``to_graphml`` and the like in ranges of series: a line is a JSON object of series_id and text."""
     column = next(c for c in text.columns if c != "series_id")
-    text.select("series_id", F.col(column).alias("value")).write.partitionBy("series_id").text(path)
+    _ranges(text.select("series_id", F.col(column).alias("text")), "series_id").write.json(path)
+
+
+def read_text(spark: SparkSession, path: str, like: DataFrame, series: Iterable | None = None) -> DataFrame:
+    schema = T.StructType([like.schema["series_id"], T.StructField("text", T.StringType())])
+    return _of_series(spark.read.schema(schema).option("mode", "FAILFAST").json(path), series)
 
 
 def write_hdf5(g: VisibilityGraph, path: str) -> None:

@@ -210,13 +210,27 @@ def test_text_sinks(graph):
 
 
 def test_file_sinks(spark, graph, tmp_path):
-    sinks.write_parquet(graph, str(tmp_path / "p"))
-    back = spark.read.parquet(str(tmp_path / "p"))
-    assert {(r.source, r.target, r.weight) for r in back.collect()} == {(r.src, r.dst, r.weight) for r in graph.edges.collect()}
-    sinks.write_edges_csv(graph, str(tmp_path / "c"))
-    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 5
-    sinks.write_text(sinks.to_graphml(graph), str(tmp_path / "g"))
-    assert any("</graphml>" in r.value for r in spark.read.text(str(tmp_path / "g")).collect())
+    """What is written is read back, in no more files than tasks for any number of series; a filter skips files."""
+    rows = [(f"s{k:03d}", i, float(i), float((i * 7 + k) % 5)) for k in range(200) for i in range(6)]
+    own = features.FeatureSet().add_builtin("delta_forward").add_builtin("z_score")
+    many = VisibilityGraph.from_series(spark.createDataFrame(rows, "series_id string, idx long, t double, value double")).with_features(own).natural_visibility()
+    edges = {tuple(r) for r in sinks.edge_list(many).collect()}
+    sinks.write_parquet(many, str(tmp_path / "p"))
+    files = list((tmp_path / "p").glob("*.parquet"))
+    assert len(files) <= 4 and {tuple(r) for r in sinks.read_parquet(spark, str(tmp_path / "p")).collect()} == edges
+    some = sinks.read_parquet(spark, str(tmp_path / "p"), ["s003", "s150"])
+    assert {tuple(r) for r in some.collect()} == {e for e in edges if e[0] in ("s003", "s150")}
+    assert "PushedFilters: [In(series_id" in some._jdf.queryExecution().toString()
+    sinks.write_edges_csv(many, str(tmp_path / "c"))
+    assert {tuple(r) for r in sinks.read_csv(spark, str(tmp_path / "c"), sinks.edge_list(many)).collect()} == edges
+    sinks.write_features_csv(many, str(tmp_path / "f"))
+    assert {tuple(r) for r in sinks.read_csv(spark, str(tmp_path / "f"), sinks.features_table(many)).collect()} == {tuple(r) for r in sinks.features_table(many).collect()}
+    texts = sinks.to_graphml(many)
+    sinks.write_text(texts, str(tmp_path / "g"))
+    assert {tuple(r) for r in sinks.read_text(spark, str(tmp_path / "g"), texts).collect()} == {tuple(r) for r in texts.collect()}
+    assert len(list((tmp_path / "g").glob("*.json"))) <= 4
+    values = sinks.to_npy(graph).select(sinks.npy_values("edges").alias("e"), sinks.npy_values("degrees").alias("d")).first()
+    assert values.e[:6] == [0, 1, 1, 1, 2, 1] and values.d == [1, 3, 2, 3, 1]
 
 
 def test_sql_surface(spark, graph):
