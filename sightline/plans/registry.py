@@ -258,6 +258,14 @@ def _(spark, sf):
     return spark.sql("select series_id, e.src, e.dst from series_arrays, lateral visibility_edges(values, 'horizontal') e")
 
 
+@query("visibility_pairs_sql", f"with {NVG} select series_id, src, dst from e")
+def _(spark, sf):
+    """The same in SQL by batches of series."""
+    sqlfns.register(spark)
+    to_arrays(tables.events(spark, sf)).createOrReplaceTempView("series_arrays")
+    return spark.sql("select series_id, inline(visibility_pairs(values, 'natural')) from series_arrays")
+
+
 # F. Accessors.
 @query("nvg_degree", f"with {NVG}, {DEG} select series_id, node, degree from d")
 def _(spark, sf):

@@ -237,6 +237,11 @@ def test_sql_surface(spark, graph):
     sqlfns.register(spark)
     rows = spark.sql("select * from visibility_edges(array(1D, 3D, 2D, 4D, 1D), 'natural')").collect()
     assert {(r.src, r.dst) for r in rows} == {(0, 1), (1, 2), (1, 3), (2, 3), (3, 4)}
+    for kind, values in (("natural", "array(1D, 3D, 2D, 4D, 1D)"), ("horizontal", "array(1D)"), ("horizontal", "array()")):
+        pairs = spark.sql(f"select inline(visibility_pairs(cast({values} as array<double>), '{kind}'))").collect()
+        assert {(r.src, r.dst) for r in pairs} == ({(r.src, r.dst) for r in rows} if kind == "natural" else set())
+    with pytest.raises(Exception, match="impute first"):
+        spark.sql("select visibility_pairs(array(1D, null), 'natural')").collect()
     sqlfns.create_views(graph, "g")
     assert spark.sql("select sum(degree) s from g_degrees").first().s == 10
 
