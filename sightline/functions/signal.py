@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from .impute import order
 
@@ -20,12 +22,15 @@ def fft_windows(series: DataFrame, window_size: int) -> DataFrame:
     half = window_size // 2
     near = F.collect_list(F.coalesce("value", F.lit(0.0))).over(order().rowsBetween(-half, half - 1))
 
-    @F.pandas_udf("array<double>")
-    def magnitudes(windows: pd.Series) -> pd.Series:
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def magnitudes(windows: pa.Array) -> pa.Array:
+        lengths = windows.value_lengths().to_numpy()
         padded = np.zeros((len(windows), window_size))
-        lengths = windows.map(len).to_numpy()
-        padded[np.arange(window_size) < lengths[:, None]] = np.concatenate(windows.to_list()) if len(windows) else []
-        return pd.Series(list(np.abs(np.fft.fft(padded))))
+        padded[np.arange(window_size) < lengths[:, None]] = windows.flatten().to_numpy()
+        # The bins past the middle mirror those before it.
+        half_bins = np.abs(np.fft.rfft(padded))
+        bins = np.concatenate([half_bins, half_bins[:, (window_size - 1) // 2 : 0 : -1]], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(windows) + 1) * window_size, pa.int32()), pa.array(bins.ravel()))
 
     return series.select("series_id", "idx", near.alias("x")).select("series_id", "idx", magnitudes("x").alias("magnitudes"))
 

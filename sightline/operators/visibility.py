@@ -66,16 +66,20 @@ def horizontal_pairs(s: DataFrame) -> DataFrame:
 
 def run_pairs(s: DataFrame) -> DataFrame:
     """The narrower horizontal rule: adjacent samples, and those with strictly
-    falling samples from src up to the one before dst, all below dst after src."""
+    falling samples from src up to the one before dst, all below dst after src.
+
+    Within a falling run every sample after the next is lower than that one, so
+    the only far partner of a sample is the one that ends its run: no samples are paired.
+    """
     w = Window.partitionBy("series_id").orderBy("idx")
     s = s.withColumns({"next": F.lead("v").over(w), "next_idx": F.lead("idx").over(w)})
     breaks = F.sum(F.when(F.col("v") > F.col("next"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("run", F.coalesce(breaks, F.lit(0)))
-    adjacent = s.filter("next is not null").select("series_id", F.col("idx").alias("src"), F.col("next_idx").alias("dst"), F.col("v").alias("va"), F.col("next").alias("vb"))
-    a = s.select("series_id", "run", F.col("idx").alias("src"), F.col("v").alias("va"), F.col("next").alias("floor"))
-    b = s.filter("next is not null").select("series_id", "run", F.col("idx").alias("last"), F.col("next_idx").alias("dst"), F.col("next").alias("vb"))
-    far = a.join(b, ["series_id", "run"]).filter((F.col("last") > F.col("src")) & (F.col("floor") < F.col("vb")))
-    return adjacent.union(far.select("series_id", "src", "dst", "va", "vb"))
+    run = Window.partitionBy("series_id", "run").orderBy("idx").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    s = s.withColumns({"end": F.last("next").over(run), "end_idx": F.last("next_idx").over(run)})
+    far = (F.col("end_idx") > F.col("next_idx")) & (F.col("next") < F.col("end"))
+    ends = F.array_compact(F.array(F.when(F.col("next").isNotNull(), F.struct(F.col("next_idx").alias("dst"), F.col("next").alias("vb"))), F.when(far, F.struct(F.col("end_idx").alias("dst"), F.col("end").alias("vb")))))
+    return s.select("series_id", F.col("idx").alias("src"), F.col("v").alias("va"), F.explode(ends).alias("e")).select("series_id", "src", "e.dst", "va", "e.vb")
 
 
 def natural_blocks(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -106,22 +106,34 @@ def _(spark, sf):
     return from_csv(spark, folder, CsvOptions(False, 0, 1, ";", "")).select("idx", "t", "value")
 
 
-def _generated(name: str, sql: str, make: Callable[[SparkSession], DataFrame]) -> None:
-    query(f"gen_{name}", sql)(lambda spark, sf: make(spark).select("idx", r6("value").alias("value")))
+def _generated(name: str, value: str, make: Callable[[DataFrame], DataFrame], before: str = "", join: str = "") -> None:
+    """A signal made on the samples of each series of ``events``, and what it leaves of them."""
+    sql = f"with {before}{S}, n as (select series_id, count(*) as n from s group by 1), g as (select s.series_id, s.idx, s.v, {value} as g from s join n on s.series_id = n.series_id {join}) select series_id, idx, round(g, 6) as value, round(v - g, 6) as rest from g"
+
+    def run(spark, sf):
+        series = tables.events(spark, sf)
+        both = make(series).select("series_id", "idx", F.col("value").alias("g")).join(series.select("series_id", "idx", "value"), ["series_id", "idx"])
+        return both.select("series_id", "idx", r6("g").alias("value"), r6(F.col("value") - F.col("g")).alias("rest"))
+
+    query(f"gen_{name}", sql)(run)
 
 
-_generated("sine_wave", "select range as idx, round(2 * sin(2 * pi() * 3 * range / 1000), 6) as value from range(1000)", lambda s: generators.sine_wave(s, 1000, 3, 2))
-_generated("multi_frequency", "select range as idx, round(sin(2 * pi() * range / 1000) + sin(2 * pi() * 7 * range / 1000), 6) as value from range(1000)", lambda s: generators.multi_frequency(s, 1000, [1, 7]))
-_generated("sawtooth", "select range as idx, round((range % 7) / 7, 6) as value from range(1000)", lambda s: generators.sawtooth(s, 1000, 7))
-_generated("square_wave", "select range as idx, case when (range // 5) % 2 = 0 then 1.0::double else -1.0 end as value from range(1000)", lambda s: generators.square_wave(s, 1000, 10))
-_generated("step_function", "select range as idx, ([1.5, -2.0, 4.25]::double[])[least(range // 333, 2) + 1] as value from range(1000)", lambda s: generators.step_function(s, 1000, [1.5, -2.0, 4.25]))
-_generated("random_walk", "select range as idx, case when range % 2 = 0 then -1.0::double else 0.0 end as value from range(1000)", lambda s: generators.random_walk(s, 1000, 42))
-_generated("logistic_map", "with recursive x(idx, v) as (select 0::bigint, 0.2::double union all select idx + 1, 3.2 * v * (1 - v) from x where idx < 199) select idx, round(v, 6) as value from x", lambda s: generators.logistic_map(s, 200, 3.2, 0.2))
+_LEVELS = [1.5, -2.0, 4.25]
+_generated("sine_wave", "2 * sin(2 * pi() * 3 * s.idx / n)", lambda s: generators.on(s, lambda i, n: generators.sine(i, n, 3, 2)))
+_generated("multi_frequency", "sin(2 * pi() * s.idx / n) + sin(2 * pi() * 7 * s.idx / n)", lambda s: generators.on(s, lambda i, n: generators.frequencies(i, n, [1, 7])))
+_generated("sawtooth", "(s.idx % 7) / 7", lambda s: generators.on(s, lambda i, n: generators.saw(i, 7)))
+_generated("square_wave", "case when (s.idx // 5) % 2 = 0 then 1.0::double else -1.0 end", lambda s: generators.on(s, lambda i, n: generators.square(i, 10)))
+_generated("step_function", f"({_LEVELS}::double[])[least(s.idx // greatest(n // 3, 1), 2) + 1]", lambda s: generators.on(s, lambda i, n: generators.steps(i, n, _LEVELS)))
+_generated("random_walk", "case when s.idx % 2 = 0 then -1.0::double else 0.0 end", lambda s: generators.on(s, lambda i, n: generators.walk(i, 42)))
 _generated(
-    "trend_with_noise",
-    "with recursive x(idx, st) as (select 0::bigint, (42::hugeint * 1664525 + 1013904223) % 18446744073709551616 union all select idx + 1, (((st // 4294967296) * 1664525 % 4294967296) * 4294967296 + (st % 4294967296) * 1664525 + 1013904223) % 18446744073709551616 from x where idx < 199) select idx, round(0.1 * idx + (st / 18446744073709551616.0 - 0.5) * 2, 6) as value from x",
-    lambda s: generators.trend_with_noise(s, 200, 0.1, 2.0, 42),
-)
+    "logistic_map", "x.v", lambda s: generators.logistic_on(s.groupBy("series_id").agg(F.count("*").alias("n")), 3.2, 0.2),
+    "recursive x(idx, v) as (select 0::bigint, 0.2::double union all select idx + 1, 3.2 * v * (1 - v) from x where idx < 999), ", "join x on x.idx = s.idx",
+)
+_generated(
+    "trend_with_noise", "0.1 * s.idx + (st / 18446744073709551616.0 - 0.5) * 2", lambda s: generators.noisy_trend(s, 0.1, 2.0, 42, 1 << 10),
+    "recursive x(idx, st) as (select 0::bigint, (42::hugeint * 1664525 + 1013904223) % 18446744073709551616 union all select idx + 1, (((st // 4294967296) * 1664525 % 4294967296) * 4294967296 + (st % 4294967296) * 1664525 + 1013904223) % 18446744073709551616 from x where idx < 999), ",
+    "join x on x.idx = s.idx",
+)
 
 # C. Imputation.
 _W = "over (partition by series_id order by idx {})"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +32,26 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(daily, None, "day", "revenue")
 
 
-@lru_cache(maxsize=8)
+#: Graphs of the last tables that were asked for; those of others are let go.
+_kept: dict[tuple, VisibilityGraph] = {}
+
+
 def _graph(spark: SparkSession, sf_dir: str, kind: str) -> VisibilityGraph:
-    builder = VisibilityGraph.from_series(events(spark, sf_dir))
-    g = builder.natural_visibility() if kind == "natural" else builder.horizontal_visibility()
-    return g.persist()
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _kept:
+        if any(k[:2] != key[:2] for k in _kept):
+            clear()
+        builder = VisibilityGraph.from_series(events(spark, sf_dir))
+        _kept[key] = (builder.natural_visibility() if kind == "natural" else builder.horizontal_visibility()).persist()
+    return _kept[key]
+
+
+def clear() -> None:
+    """Let go of all graphs."""
+    for (app, *_), g in list(_kept.items()):
+        if g.edges.sparkSession.sparkContext._jsc and g.edges.sparkSession.sparkContext.applicationId == app:
+            g.edges.unpersist()
+    _kept.clear()
 
 
 def natural(spark: SparkSession, sf_dir: str) -> VisibilityGraph:

@@ -1,84 +1,123 @@
-"""Synthetic series, computed on the executors from ``spark.range``.
+"""Synthetic series, computed on the executors.
 
-Sequential recurrences (the logistic map, the generator of pseudorandom numbers)
-are folded inside one row's array.
+Each is a column of the sample's number i (and the series' length n), so it can be made on the samples of
+given series as well as on new ones: ``on(series, lambda i, n: sine(i, n, 3, 2))``. Sequential recurrences are folded (the logistic
+map, all series of a batch at once) or have a closed form (the generator of pseudorandom numbers).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 # The 64-bit linear congruential generator's multiplier and increment.
 MULTIPLIER = 1664525
 INCREMENT = 1013904223
 
 
+def on(series: DataFrame, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """``series`` (series_id, idx, t) with values made of each sample's number and its series' length."""
+    n = series.groupBy("series_id").agg(F.count("*").alias("_n"))
+    return series.join(n, "series_id").select("series_id", "idx", "t", value(F.col("idx"), F.col("_n")).cast("double").alias("value"))
+
+
 def _series(spark: SparkSession, n: int, value: Column, series_id: str) -> DataFrame:
     return spark.range(n).select(F.lit(series_id).alias("series_id"), F.col("id").alias("idx"), F.col("id").cast("double").alias("t"), value.cast("double").alias("value"))
 
 
-def sine_wave(spark: SparkSession, n: int, frequency: float, amplitude: float, series_id: str = "sine") -> DataFrame:
-    return _series(spark, n, amplitude * F.sin(2 * math.pi * frequency * F.col("id") / n), series_id)
+def sine(i: Column, n: Column, frequency: float, amplitude: float) -> Column:
+    return amplitude * F.sin(2 * math.pi * frequency * i / n)
 
 
-def multi_frequency(spark: SparkSession, n: int, frequencies: Sequence[float], series_id: str = "multi") -> DataFrame:
-    value = F.lit(0.0)
-    for f in frequencies:
-        value = value + F.sin(2 * math.pi * f * F.col("id") / n)
-    return _series(spark, n, value, series_id)
+def frequencies(i: Column, n: Column, of: Sequence[float]) -> Column:
+    return sum((F.sin(2 * math.pi * f * i / n) for f in of), F.lit(0.0))
 
 
-def sawtooth(spark: SparkSession, n: int, period: int, series_id: str = "sawtooth") -> DataFrame:
-    return _series(spark, n, (F.col("id") % period) / period, series_id)
+def saw(i: Column, period: int) -> Column:
+    return (i % period) / period
 
 
-def square_wave(spark: SparkSession, n: int, period: int, series_id: str = "square") -> DataFrame:
+def square(i: Column, period: int) -> Column:
     if period < 2:
         raise ValueError("period is 2 at least")
-    half = period // 2
-    return _series(spark, n, F.when(F.floor(F.col("id") / half) % 2 == 0, 1.0).otherwise(-1.0), series_id)
+    return F.when(F.floor(i / (period // 2)) % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def step_function(spark: SparkSession, n: int, levels: Sequence[float], series_id: str = "steps") -> DataFrame:
+def steps(i: Column, n: Column, levels: Sequence[float]) -> Column:
     """Equal stretches at each level; the last takes what is over."""
-    regime = max(1, n // len(levels))
-    at = F.least(F.floor(F.col("id") / regime), F.lit(len(levels) - 1)).cast("int")
-    return _series(spark, n, F.element_at(F.array(*map(F.lit, map(float, levels))), at + 1), series_id)
+    regime = F.greatest(F.floor(n / len(levels)), F.lit(1))
+    at = F.least(F.floor(i / regime), F.lit(len(levels) - 1)).cast("int")
+    return F.element_at(F.array(*map(F.lit, map(float, levels))), at + 1)
 
 
-def random_walk(spark: SparkSession, n: int, seed: int, series_id: str = "walk") -> DataFrame:
+def walk(i: Column, seed: int) -> Column:
     """Steps of one up or down by the lowest bit of the generator.
 
     Multiplier and increment are odd, so that bit alternates: the walk goes one
     step and comes back, which is its closed form.
     """
-    first = 1.0 if (seed + INCREMENT) % 2 == 0 else -1.0
-    return _series(spark, n, F.when(F.col("id") % 2 == 0, first).otherwise(0.0), series_id)
+    return F.when(i % 2 == 0, 1.0 if (seed + INCREMENT) % 2 == 0 else -1.0).otherwise(0.0)
+
+
+def sine_wave(spark: SparkSession, n: int, frequency: float, amplitude: float, series_id: str = "sine") -> DataFrame:
+    return _series(spark, n, sine(F.col("id"), F.lit(n), frequency, amplitude), series_id)
+
+
+def multi_frequency(spark: SparkSession, n: int, of: Sequence[float], series_id: str = "multi") -> DataFrame:
+    return _series(spark, n, frequencies(F.col("id"), F.lit(n), of), series_id)
+
+
+def sawtooth(spark: SparkSession, n: int, period: int, series_id: str = "sawtooth") -> DataFrame:
+    return _series(spark, n, saw(F.col("id"), period), series_id)
+
+
+def square_wave(spark: SparkSession, n: int, period: int, series_id: str = "square") -> DataFrame:
+    return _series(spark, n, square(F.col("id"), period), series_id)
+
+
+def step_function(spark: SparkSession, n: int, levels: Sequence[float], series_id: str = "steps") -> DataFrame:
+    return _series(spark, n, steps(F.col("id"), F.lit(n), levels), series_id)
+
+
+def random_walk(spark: SparkSession, n: int, seed: int, series_id: str = "walk") -> DataFrame:
+    return _series(spark, n, walk(F.col("id"), seed), series_id)
 
 
-def _folded(spark: SparkSession, n: int, start: Column, step, series_id: str) -> DataFrame:
-    """Series of start, step(start), step(step(start)), ... by one fold over an array."""
-    zero = F.array(start)
-    states = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n - 1))), zero, lambda acc, _: F.concat(acc, F.array(step(F.element_at(acc, -1)))))
-    table = spark.range(1).select(F.posexplode(F.slice(states, 1, n)).alias("idx", "value"))
-    return table.select(F.lit(series_id).alias("series_id"), F.col("idx").cast("long").alias("idx"), F.col("idx").cast("double").alias("t"), "value")
+def logistic_on(lengths: DataFrame, r: float, x0: float) -> DataFrame:
+    """series_id, idx, t, value: x0, r x (1 - x), ... for each row of ``lengths`` (series_id, n); a series is an array on the way."""
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def states(n: pa.Array) -> pa.Array:
+        x, count, out = float(x0), n.to_numpy(), []
+        for _ in range(int(count.max()) if len(count) else 0):
+            out.append(x)
+            x = r * x * (1 - x)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(np.concatenate([np.zeros(0), *(out[:k] for k in count)])))
+
+    rows = lengths.select("series_id", F.posexplode(states("n")).alias("idx", "value"))
+    return rows.select("series_id", F.col("idx").cast("long").alias("idx"), F.col("idx").cast("double").alias("t"), "value")
 
 
 def logistic_map(spark: SparkSession, n: int, r: float, x0: float, series_id: str = "logistic") -> DataFrame:
-    return _folded(spark, n, F.lit(float(x0)), lambda x: r * x * (1 - x), series_id)
+    return logistic_on(spark.range(1).select(F.lit(series_id).alias("series_id"), F.lit(n).cast("long").alias("n")), r, x0)
 
 
-def trend_with_noise(spark: SparkSession, n: int, trend: float, noise_amplitude: float, seed: int, series_id: str = "trend") -> DataFrame:
-    """trend * i plus noise uniform in +-amplitude/2. The generator's k-th state is
-    an affine map of the seed, so every row finds its own from a power of the multiplier."""
+def noisy_trend(series: DataFrame, trend: float, noise_amplitude: float, seed: int, most: int = 1 << 20) -> DataFrame:
+    """series_id, idx, t, value: trend * i plus noise uniform in +-amplitude/2, on the samples of ``series``, ``most`` for each at most.
+
+    The generator's k-th state is an affine map of the seed, so every row finds its own from a power of the multiplier.
+    """
     modulus = 1 << 64
     # states after 2**b steps as affine maps; a row combines those of its bits
     maps, a, c = [], MULTIPLIER % modulus, INCREMENT % modulus
-    for _ in range(max(1, n.bit_length())):
+    for _ in range(max(1, most.bit_length())):
         maps.append((a, c))
         a, c = a * a % modulus, (a * c + c) % modulus
 
@@ -92,10 +131,14 @@ def trend_with_noise(spark: SparkSession, n: int, trend: float, noise_amplitude:
         return ((high + low).cast("decimal(38,0)") % m).cast("decimal(20,0)")
 
     state = F.lit(str(seed % modulus)).cast("decimal(20,0)")
-    steps = F.col("id") + 1
-    df = spark.range(n).withColumn("x", state)
+    number = F.when(F.col("idx") < most, F.col("idx") + 1).otherwise(F.raise_error(F.lit(f"more than {most} samples")).cast("long"))
+    df = series.select("series_id", "idx", "t", number.alias("steps"), state.alias("x"))
     for b, (a, c) in enumerate(maps):
         moved = (times(a, F.col("x")).cast("decimal(38,0)") + F.lit(str(c)).cast("decimal(38,0)")) % F.lit(str(modulus)).cast("decimal(38,0)")
-        df = df.withColumn("x", F.when(F.shiftright(steps, b).bitwiseAND(F.lit(1)) == 1, moved.cast("decimal(20,0)")).otherwise(F.col("x")))
+        df = df.withColumn("x", F.when(F.shiftright("steps", b).bitwiseAND(F.lit(1)) == 1, moved.cast("decimal(20,0)")).otherwise(F.col("x")))
     noise = (F.col("x").cast("double") / float(modulus) - 0.5) * noise_amplitude
-    return df.select(F.lit(series_id).alias("series_id"), F.col("id").alias("idx"), F.col("id").cast("double").alias("t"), (trend * F.col("id") + noise).alias("value"))
+    return df.select("series_id", "idx", "t", (trend * F.col("idx") + noise).alias("value"))
+
+
+def trend_with_noise(spark: SparkSession, n: int, trend: float, noise_amplitude: float, seed: int, series_id: str = "trend") -> DataFrame:
+    return noisy_trend(_series(spark, n, F.lit(0.0), series_id), trend, noise_amplitude, seed, n)
