@@ -104,8 +104,10 @@ class Scratch:
     ``clean_up`` or until the folder is emptied; what nothing reads any more is dropped at once.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, row_group: int | None = None):
+        """``row_group`` bounds what a writing task holds of a table in memory (bytes)."""
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.options = {"parquet.block.size": str(row_group)} if row_group else {}
         _roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         with small_batches(self.spark):
-            df.write.parquet(path)
+            df.write.options(**self.options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

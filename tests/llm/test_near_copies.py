@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sightline.llm import near_copies, simhash
+from sightline.llm import common, near_copies, simhash
 
 import corpus_pipeline
 
@@ -58,6 +58,7 @@ def corpus(rng):
 def test_stage_against_brute_force(spark, frame, monkeypatch, dense, rounds):
     monkeypatch.setattr(near_copies, "DENSE", dense)
     monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "FEW", 0 if dense == 3 else 1 << 18)
     texts = corpus(random.Random(7))
     got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, frame(texts), "").collect()}
     want = kept_by_brute_force(texts)
@@ -135,3 +136,28 @@ def test_sets_of_many_pairs_are_copied(spark, frame, monkeypatch):
         monkeypatch.setattr(near_copies, "SHARE", share)
         found = near_copies._verified(spark.createDataFrame(asked, near_copies.PAIRS), docs, rows.select("doc_id", "fp"), scratch).collect()
         assert sorted((r.a, r.b) for r in found) == sorted((a, fps[0]) for a, t in zip(fps[1:], texts[1:], strict=True) if 5 * len(shingles(t) & shingles(base)) >= 4 * len(shingles(t) | shingles(base)))
+
+
+def test_centres_are_always_dealt_out(spark, frame, monkeypatch):
+    """The text that a group comes from is b in all its pairs, whatever the hashes, and no task has all of them; joins of large tables lose none."""
+    monkeypatch.setattr(near_copies, "SHARE", 4)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    sides = set()
+    pruned = near_copies._pruned
+
+    def watched(pairs, classes, scratch):
+        found = pruned(pairs, classes, scratch)
+        rows = pairs.collect()
+        if len(rows) >= 25:
+            sides.add(max((sum(r[k] == v for r in rows), k) for k in (0, 1) for v in {r[k] for r in rows})[1])
+        return found
+
+    monkeypatch.setattr(near_copies, "_pruned", watched)
+    for seed in range(3):
+        rng = random.Random(seed)
+        base = sentence(rng, 60)
+        texts = [base, *(edited(rng, base, 1) for _ in range(30)), *[base] * 20, *(sentence(rng, 60) for _ in range(5))]
+        rng.shuffle(texts)
+        assert {r.doc_id for r in near_copies.one_of_each(frame(texts)).collect()} == kept_by_brute_force(texts)
+    assert sides == {1}
