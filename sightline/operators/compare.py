@@ -56,6 +56,12 @@ def batch_statistics(statistics: DataFrame) -> DataFrame:
     return statistics.agg(F.count("*").alias("num_graphs"), F.avg("edge_count").alias("avg_edges"), F.avg("average_clustering").alias("avg_clustering"), F.avg("average_path_length").alias("avg_path_length"), F.avg("density").alias("avg_density"))
 
 
+def batch_summary(statistics: DataFrame) -> DataFrame:
+    """text: the one row of ``batch_statistics`` as lines."""
+    parts = [F.concat(F.lit(f"{c}: "), F.coalesce((F.round(c, 2) if c != "num_graphs" else F.col(c)).cast("string"), F.lit("-"))) for c in statistics.columns]
+    return statistics.select(F.concat_ws("\n", *parts).alias("text"))
+
+
 def batch(series: dict[str, DataFrame]) -> DataFrame:
     """Labelled series as one frame: label and series_id become the key."""
     out = None

@@ -194,3 +194,9 @@ def frequencies(motifs: DataFrame) -> DataFrame:
     return motifs.select("series_id", "motif", F.when(F.col("total") > 0, F.try_divide(F.col("count") * 100.0, F.col("total"))).otherwise(0.0).alias("percent"))
 
 
+def summary(motifs: DataFrame) -> DataFrame:
+    """series_id, text: a line for each motif, the most frequent first, with its share (cut to hundredths of a percent)."""
+    share = F.expr("(cast(count as decimal(25,0)) * 10000) div greatest(total, 1)")
+    line = F.concat(F.col("motif"), F.lit(": "), F.col("count").cast("string"), F.lit(" ("), F.expr("share div 100").cast("string"), F.lit("."), F.lpad((F.col("share") % 100).cast("string"), 2, "0"), F.lit("%)"))
+    lines = motifs.withColumn("share", share).select("series_id", F.struct((-F.col("count")).alias("order"), "n_edges", line.alias("line")).alias("x"))
+    return lines.groupBy("series_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("series_id", F.array_join(F.col("x.line"), "\n").alias("text"))

@@ -303,6 +303,8 @@ def test_motifs(series, graph):
     share = {(r.series_id, r.motif): r.percent for r in motifs.frequencies(motifs.motifs3(graph)).collect()}
     assert share["S5", "fork"] == pytest.approx(40)
     assert {r.series_id: r["count"] for r in motifs.most_frequent(motifs.motifs3(graph)).collect()}["S7"] == 18
+    text = {r.series_id: r.text.split("\n") for r in motifs.summary(motifs.motifs3(graph)).collect()}
+    assert text["S7"] == ["fork: 18 (51.42%)", "four_edges: 8 (22.85%)", "empty: 7 (20.00%)", "complete_triangle: 2 (5.71%)"] and text["ONE"][0] == "empty: 0 (0.00%)"
     z = motifs.motif_significance(graph, 3).filter("series_id = 'r1'").collect()
     assert len(z) == 4 and all(np.isfinite(r.z_score) for r in z)
 
@@ -384,6 +386,11 @@ def test_trees(series, graph):
     assert order == {(k, k) for k in range(5)} and trees.strongly_connected_components(graph).select(F.countDistinct("series_id", "component")).first()[0] == graph.nodes.count()
 
 
+def test_batch_summary(graph):
+    text = compare.batch_summary(compare.batch_statistics(graph_statistics(graph))).first().text.split("\n")
+    assert text[0] == f"num_graphs: {graph.nodes.select('series_id').distinct().count()}" and len(text) == 5 and text[1].startswith("avg_edges: ")
+
+
 def test_both_kinds_in_one_pass(series):
     every, df = series
     found = visibility.natural_and_horizontal(df).collect()
