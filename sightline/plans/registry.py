@@ -582,7 +582,7 @@ def _(spark, sf):
     return motifs.frequencies(motifs.motifs3(tables.natural(spark, sf))).withColumn("percent", r6("percent"))
 
 
-@query("motif_summary", f"with {_M3}, l as (select series_id, count, n_edges, motif || ': ' || count || ' (' || ((count::hugeint * 10000 // greatest(total, 1)) // 100) || '.' || lpad(((count::hugeint * 10000 // greatest(total, 1)) % 100)::varchar, 2, '0') || '%)' as line from x) select series_id, string_agg(line, chr(10) order by count desc, n_edges) as text from l group by 1")
+@query("motif_summary", f"with {_M3}, tl as (select series_id, count, n_edges, motif || ': ' || count || ' (' || ((count::hugeint * 10000 // greatest(total, 1)) // 100) || '.' || lpad(((count::hugeint * 10000 // greatest(total, 1)) % 100)::varchar, 2, '0') || '%)' as line from x) select series_id, string_agg(line, chr(10) order by count desc, n_edges) as text from tl group by 1")
 def _(spark, sf):
     return motifs.summary(motifs.motifs3(tables.natural(spark, sf)))
 
