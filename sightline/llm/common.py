@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -211,5 +211,46 @@ def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
 
+#: Tasks whose sums meet in one task, before all do.
+LEVEL = 256
+SUMS = T.StructType([T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType())])
+_LEVELS = T.StructType([T.StructField("group", T.LongType()), *SUMS.fields])
+
+
+def summed(parts: DataFrame, dtype: np.dtype) -> list[tuple[int, np.ndarray]]:
+    """(block, sum) over the arrays of ``dtype`` that tasks hand over as rows of ``SUMS``, the sums in the order of blocks.
+
+    Sums are added in two levels, ``LEVEL`` tasks together first, by tasks that read the rows of a
+    block one after the other: they hold one sum, and batches of ``BATCH_BYTES``. Rows come in the order
+    of the tasks that made them, and so the sums are the same in every run over the same partitions.
+    """
+    wide = np.int64 if np.issubdtype(dtype, np.integer) else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return to_batch([(*at, total.astype(dtype).tobytes())], arrow)
+
+        arrow, at, total = to_arrow_schema(_LEVELS), None, None
+        for batch in batches:
+            for group, block, sums in zip(*(batch.column(k) for k in range(3)), strict=True):
+                own = np.frombuffer(sums.as_buffer(), dtype)
+                if at != (key := (group.as_py(), block.as_py())):
+                    if at is not None:
+                        yield out()
+                    at, total = key, np.zeros(len(own), wide)
+                total += own
+        if at is not None:
+            yield out()
+
+    def level(rows: DataFrame, group: Column) -> DataFrame:
+        some = rows.select(group.cast("long").alias("group"), "block", "sums", F.col("task"))
+        return some.repartition("group", "block").sortWithinPartitions("group", "block", "task").select("group", "block", "sums").mapInArrow(trimmed(run), _LEVELS)
+
+    first = level(parts.select("block", "sums", F.spark_partition_id().alias("task")), F.floor(F.col("task") / LEVEL))
+    with small_batches(parts.sparkSession):
+        found = level(first.withColumnRenamed("group", "task"), F.lit(0)).select("block", "sums").collect()
+    return [(r["block"], np.frombuffer(r["sums"], dtype)) for r in sorted(found, key=lambda r: r["block"])]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -10,8 +10,8 @@ gives a latent space: two passes multiply a block by all passages and back, task
 and sum the pieces in Spark; the first block is random, and a Nystroem approximation
 from the second's product takes the place of more passes. They read the features of
 the words (two bytes each), which are written once. A task hands over one sum of
-FEATURES x (DIM + OVER) numbers, so there is one for ``TASK_WORDS`` words; sums come to
-the driver one after the other. Directions are scaled by their singular values, since the
+FEATURES x (DIM + OVER) numbers, so there is one for ``TASK_WORDS`` words; sums are
+added in two levels, as streams (``common.summed``), and the driver has one. Directions are scaled by their singular values, since the
 strongest tell languages and not passages apart.
 
 Search: an inverted index has the rarer half of each item's words. A text whose
@@ -43,14 +43,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, fresh, to_batch, trimmed
+from .common import SUMS, Scratch, fresh, summed, to_batch, trimmed
 
 FEATURE_BITS, DIM, OVER, PASSAGE = 16, 64, 8, 48
 FEATURES = 1 << FEATURE_BITS
@@ -260,7 +259,6 @@ class Index:
         return [(d, self.items[k].item_id, c, s, r, a, w) for (d, k), (s, c, r, a, w) in best.items()]
 
 
-FREQUENCIES = T.StructType([T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType())])
 WORDS = T.StructType([T.StructField("features", T.BinaryType())])
 HITS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.DoubleType()),
@@ -269,24 +267,16 @@ HITS = T.StructType([
 
 
 def _summed(parts: DataFrame, out: np.ndarray) -> np.ndarray:
-    """Adds what tasks hand over in blocks (block, sums) of one whole to ``out``, block by block."""
-    dtype = out.dtype
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["sums"].iloc[0], dtype).copy()
-        for b in pdf["sums"].iloc[1:]:
-            total += np.frombuffer(b, dtype)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.tobytes()]})
-
+    """Adds what tasks hand over in blocks (block, sums) of one whole to ``out``."""
     flat, edges = out.ravel(), np.cumsum([0, *(len(x) for x in np.array_split(np.empty(out.size, np.int8), BLOCKS))])
-    for r in parts.groupBy("block").applyInPandas(lambda pdf: add(pdf), FREQUENCIES).collect():
-        flat[edges[r["block"]] : edges[r["block"] + 1]] += np.frombuffer(r["sums"], dtype)
+    for block, own in summed(parts, out.dtype):
+        flat[edges[block] : edges[block + 1]] += own
     return out
 
 
 def _blocks(x: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k, p in enumerate(np.array_split(x.ravel(), BLOCKS)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=FREQUENCIES.names)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=SUMS.names)
 
 
 def features(texts: DataFrame) -> DataFrame:
@@ -327,7 +317,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
             own[-2:] += len(bounds) - 1, len(words)
         yield from _blocks(own)
 
-    found = _summed(rows.mapInArrow(trimmed(run), FREQUENCIES), np.zeros(FEATURES + 2, np.int64))
+    found = _summed(rows.mapInArrow(trimmed(run), SUMS), np.zeros(FEATURES + 2, np.int64))
     return found[:-2], int(found[-2]), int(found[-1])
 
 
@@ -383,7 +373,7 @@ def latent_space(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
                     add_products(total, k, weight, b)
             yield from _blocks(total)
 
-        out = _summed(rows.mapInArrow(trimmed(run), FREQUENCIES), np.zeros((FEATURES, width), np.float32))
+        out = _summed(rows.mapInArrow(trimmed(run), SUMS), np.zeros((FEATURES, width), np.float32))
         sent.destroy()
         return out
 

@@ -32,14 +32,13 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import CHARS, LOW, WORD, Scratch, word_hashes
+from .common import CHARS, LOW, SUMS, WORD, Scratch, summed, word_hashes
 from .labelled import fitted, held_out
 
 HEAD, RARE, DIM, ORDER, LONG = 320, 64, 32, 4, 24
@@ -281,7 +280,6 @@ class Trainer:
 
 COUNTS = T.StructType([T.StructField("h", T.LongType()), T.StructField("b", T.IntegerType()), T.StructField("c", T.LongType())])
 CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("label", T.IntegerType())])
-MIXED = T.StructType([T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sums", T.BinaryType())])
 SCORED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
     T.StructField("logs", T.DoubleType()), T.StructField("model_log", T.DoubleType()),
@@ -331,8 +329,6 @@ def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int, groups
     """The mean, by tokens, of what each group makes of the parameters."""
 
     def run(batches):
-        from pyspark import TaskContext
-
         model, words, n = Model.of(start.value.copy()), lexicon.value, 0
         trainer = Trainer(model, noise, MIX_RATE, end)
         for _, found in _slices(batches):
@@ -341,18 +337,13 @@ def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int, groups
                 n += len(x[0])
         trainer.flush()
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([(model.flat().astype(np.float64) * n).tobytes()], pa.binary())], names=MIXED.names)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        total = sum(np.frombuffer(b) for b in pdf["sums"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [int(pdf["n"].sum())], "sums": [total.tobytes()]})
+            sums = np.append(model.flat().astype(np.float64) * n, n)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=SUMS.names)
 
     key = F.xxhash64("doc_id", "text").alias("h")
-    parts = train.select(key, "text").repartition(groups, "h").sortWithinPartitions("h", "text").mapInArrow(run, MIXED)
-    found = parts.withColumn("g", F.col("part") % max(1, math.isqrt(groups))).groupBy("g").applyInPandas(lambda pdf: add(pdf), MIXED).collect()
-    n = sum(r["n"] for r in found)
-    return Model.of((sum(np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["part"])) / n).astype(np.float32)) if n else Model.of(start.value)
+    parts = train.select(key, "text").repartition(groups, "h").sortWithinPartitions("h", "text").mapInArrow(run, SUMS)
+    found = summed(parts, np.dtype(np.float64))
+    return Model.of((found[0][1][:-1] / found[0][1][-1]).astype(np.float32)) if found else Model.of(start.value)
 
 
 def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:

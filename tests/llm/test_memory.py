@@ -2,11 +2,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sightline.llm import bwt_dedup, decontam, near_copies
-from sightline.llm.common import BATCH_BYTES, Scratch, trimmed
+from sightline.llm.common import BATCH_BYTES, LEVEL, SUMS, Scratch, summed, trimmed
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -68,3 +69,21 @@ def test_batches_are_small_inside_kept_queries(spark):
     found = [r.n for r in Scratch(spark, "memory").keep(docs.mapInArrow(sizes, "n long")).collect()]
     assert sum(found) > 4000 * 10_000 and max(found) < 2 * BATCH_BYTES
     assert spark.conf.get(key) == before
+
+
+def test_sums_are_streamed(spark):
+    """Sums of 600 tasks, in both levels, equal those of one pass; a task of the sum never holds the rows of a block together."""
+    n = 600
+    assert n > 2 * LEVEL
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                for block in range(3):
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([(np.arange(5) * (i + block)).tobytes()], pa.binary())], names=SUMS.names)
+
+    found = summed(spark.range(0, n, 1, n).mapInArrow(run, SUMS), np.dtype(np.int64))
+    assert [b for b, _ in found] == [0, 1, 2]
+    for block, own in found:
+        assert own.tolist() == [k * sum(i + block for i in range(n)) for k in range(5)]
+    assert summed(spark.range(0).mapInArrow(run, SUMS), np.dtype(np.int64)) == []
