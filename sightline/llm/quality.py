@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,13 +42,8 @@ _symbol = re.compile(r"\W+|_+")
 
 
 def shape(word: str) -> str:
-    """Runs of kinds of characters: A upper case, a other letters, 0 digits, symbols as they are (once)."""
-    out = []
-    for c in word[:64]:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out[:6])
+    """Runs of kinds of characters of the whole word: A upper case, a other letters, 0 digits, symbols as they are (once)."""
+    return "".join(kind for kind, _ in groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 class Encoder:
@@ -128,6 +124,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -35, 35)))
 
 
+def gradients(p: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean logistic loss and half ``DECAY`` times the squared weights, by each of the parameters."""
+    h = z @ p[0] + p[1]
+    a = np.maximum(h, 0)
+    d = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3], -35, 35))) - y) / len(y)
+    back = np.outer(d, p[2]) * (h > 0)
+    return [z.T @ back + DECAY * p[0], back.sum(0), a.T @ d + DECAY * p[2], np.array([d.sum()])]
+
+
+def temperature(logit: np.ndarray, y: np.ndarray) -> float:
+    """Of a grid from 1 to 16, what makes the labels likeliest; the least of equals."""
+    best = (np.inf, 1.0)
+    for t in np.geomspace(1, 16, 61):
+        s = np.where(y > 0, 1, -1) * logit / t
+        best = min(best, (float(np.logaddexp(0, -s).mean()), float(t)))
+    return best[1]
+
+
 def fit(vocabulary: list[str], texts: list[np.ndarray], y: np.ndarray) -> Model:
     vectors = word_vectors(texts)
     if not len(y):
@@ -145,23 +159,14 @@ def fit(vocabulary: list[str], texts: list[np.ndarray], y: np.ndarray) -> Model:
         rng.shuffle(own)
         for at in range(0, len(own), BATCH):
             k = own[at : at + BATCH]
-            h = z[k] @ p[0] + p[1]
-            a = np.maximum(h, 0)
-            d = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3], -35, 35))) - y[k]) / len(k)
-            back = np.outer(d, p[2]) * (h > 0)
-            grads = [z[k].T @ back + DECAY * p[0], back.sum(0), a.T @ d + DECAY * p[2], np.array([d.sum()])]
             t += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(gradients(p, z[k], y[k])):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] -= RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     model = Model(vocabulary, vectors, [mean, scale, *p], 1.0)
     if len(out):
-        logit, best = model.logits(x[out]), (np.inf, 1.0)
-        for temperature in np.geomspace(1, 16, 61):
-            s = np.where(y[out] > 0, 1, -1) * logit / temperature
-            best = min(best, (float(np.logaddexp(0, -s).mean()), float(temperature)))
-        model.temperature = best[1]
+        model.temperature = temperature(model.logits(x[out]), y[out])
     return model
 
 

@@ -95,6 +95,105 @@ def test_weights_are_sparse_and_memo_turns_over(monkeypatch):
 
 def test_shapes():
     assert [quality.shape(w) for w in ("Word", "WORD!!", "a1b", "$$$", "é")] == ["Aa", "A!", "a0a", "$", "a"]
+    assert quality.shape("a1" * 50 + "!" * 90 + "Z") == "a0" * 50 + "!A"  # to the last character
+
+
+def test_word_vectors_by_definition():
+    """A token's own index vector of length one, and half that of the sum over its neighbours in the texts."""
+    rng = np.random.default_rng(2)
+    texts = [np.column_stack([rng.integers(0, 12, n), np.full((n, 2), -1)]).astype(np.int16) for n in (30, 1, 2, 0, 9)]
+    base, unit = quality.index_vectors().astype(np.float64), lambda x: x / max(np.linalg.norm(x), 1e-9)
+    assert all(np.count_nonzero(v) == quality.NONZERO and set(np.unique(v)) <= {-1.0, 0.0, 1.0} for v in base)
+    got = quality.word_vectors(texts)
+    for token in (*range(12), 2000):
+        around = np.zeros(quality.DIM)
+        for ids in texts:
+            w = ids[:, 0].tolist()
+            for i, x in enumerate(w):
+                for j in range(max(0, i - quality.WINDOW), min(len(w), i + quality.WINDOW + 1)):
+                    if x == token and j != i:
+                        around += base[w[j]]
+        assert got[token] == pytest.approx(unit(base[token]) + 0.5 * unit(around), abs=1e-5)
+
+
+def test_pooling_by_definition():
+    vectors = np.random.default_rng(3).normal(size=(quality.VOCABULARY + quality.SHAPES + 1, quality.DIM)).astype(np.float32)
+    ids = quality.Encoder(["plain", "word"]).ids("Plain word WORD! x9 x9")
+    assert ids[:, 2].tolist() == [-1, -1, -1, -1, quality.VOCABULARY + quality.SHAPES] and ids[:3, 0].tolist() == [0, 1, 1]
+    assert quality.pool(ids, vectors) == pytest.approx(sum(vectors[i].astype(np.float64) for row in ids for i in row if i >= 0) / 5, abs=1e-5)
+    assert not quality.pool(ids[:0], vectors).any()
+
+
+def test_the_network_follows_its_gradient():
+    rng = np.random.default_rng(5)
+    z, y = rng.normal(size=(40, quality.DIM)), rng.integers(0, 2, 40).astype(float)
+    p = [rng.normal(0, 0.2, (quality.DIM, quality.HIDDEN)), rng.normal(0, 0.1, quality.HIDDEN), rng.normal(0, 0.3, quality.HIDDEN), np.array([0.1])]
+
+    def loss(p):
+        logit = np.maximum(z @ p[0] + p[1], 0) @ p[2] + p[3][0]
+        return np.logaddexp(0, -np.where(y > 0, 1, -1) * logit).mean() + quality.DECAY / 2 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+
+    found = quality.gradients(p, z, y)
+    for k, at in ((0, (3, 4)), (0, (70, 11)), (1, 6), (2, 9), (3, 0)):
+        up, down = [x.copy() for x in p], [x.copy() for x in p]
+        up[k][at] += 1e-6
+        down[k][at] -= 1e-6
+        assert found[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-6, rel=1e-3, abs=1e-8)
+
+
+def test_temperature_is_the_likeliest_of_its_grid():
+    rng = np.random.default_rng(6)
+    logit = rng.normal(0, 6, 500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-logit / 3))).astype(float)
+    found = quality.temperature(logit, y)
+
+    def likelihood(t):
+        p = [1 / (1 + math.exp(-x / t)) for x in logit.tolist()]
+        return sum(math.log(q if k else 1 - q) for q, k in zip(p, y, strict=True))
+
+    assert 2 < found < 4.5 and all(likelihood(found) >= likelihood(t) - 1e-9 for t in np.geomspace(1, 16, 61))
+    assert quality.temperature(100 * logit, (logit > 0).astype(float)) == 1.0
+
+
+def test_weights_equal_a_plain_loop():
+    """FTRL-proximal by coordinates: weights from z and n, sums over the features, one update each."""
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 40, 12) + 20 * (k % 2)).astype(np.uint32), k % 2) for k in range(60)]
+    z, n, bias = Counter(), Counter(), "bias"
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.arange(len(rows))
+    for epoch in range(toxicity.EPOCHS):
+        np.random.default_rng(epoch).shuffle(order)
+        for k in order:
+            x, y = [*rows[k][0].tolist(), bias], rows[k][1]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = toxicity.fit(rows)
+    want = {i: weight(i) for i in z if i != bias and weight(i)}
+    assert dict(zip(got.index.tolist(), got.value.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
+    assert len(want) > 5 and got.bias == pytest.approx(weight(bias), rel=1e-6)
+    text = rows[1][0]
+    assert got.score(text) == pytest.approx(1 / (1 + math.exp(-weight(bias) - sum(want.get(i, 0) for i in text.tolist()))), rel=1e-5)
+
+
+def test_features_of_a_text_by_definition():
+    """Words, their stems, pairs, and pairs over a gap, each in a bit of its own."""
+    m, odd = (1 << 64) - 1, int(toxicity.ODD)
+    own = "A bad idea, AND bad again".lower().replace(",", "").split()
+    h = [zlib.crc32(w.encode()) for w in own]
+    first = [(x + 1) * odd & m for x in h]
+    want = {(a ^ x + 0x1000003) * odd & m for a, x in zip(first, h[1:], strict=False)} | {(a ^ x + 0x3000017) * odd & m for a, x in zip(first, h[2:], strict=False)} | set(first)
+    want |= {(zlib.crc32(f"{w[:k]}\0".encode()) + 1) * odd & m for w in own for k in toxicity.STEMS}
+    assert set(toxicity.Hasher().features("A bad idea, AND bad again").tolist()) == {x >> (64 - toxicity.BITS) for x in want}
 
 
 def test_language_model(frame):

@@ -48,4 +48,4 @@ def test_run_on_odd_and_empty_tables(spark, odd, none, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
