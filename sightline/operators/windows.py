@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,11 @@ def _cut(at: Column, train: Column, val: Column) -> Column:
     return F.when(at < train, "train").when(at < train + val, "val").otherwise("test")
 
 
+def _part(total: Column, share: float) -> Column:
+    """Floor of a share of ``total``; the share is the decimal that it is written as, so 0.7 of 90 is 63."""
+    return F.floor(total.cast("decimal(18,0)") * F.lit(Decimal(repr(float(share))).quantize(Decimal("1e-17")))).cast("long")
+
+
 def _total(windows: DataFrame) -> Column:
     """Number of windows, as a scalar subquery."""
     return windows.agg(F.count("*").alias("total")).scalar()
@@ -62,7 +68,7 @@ def _total(windows: DataFrame) -> Column:
 def split_by_time(windows: DataFrame, train: float, val: float) -> DataFrame:
     """By place among all windows: floor of the shares, the rest for test."""
     both = windows.withColumn("total", _total(windows))
-    return both.withColumn("split", _cut(F.col("window_no"), F.floor(F.col("total") * train), F.floor(F.col("total") * val))).drop("total")
+    return both.withColumn("split", _cut(F.col("window_no"), _part(F.col("total"), train), _part(F.col("total"), val))).drop("total")
 
 
 def split_by_series(windows: DataFrame, train: float, val: float) -> DataFrame:
@@ -70,7 +76,7 @@ def split_by_series(windows: DataFrame, train: float, val: float) -> DataFrame:
     key = F.pmod(F.col("series_no").cast("decimal(20,0)") * F.lit(SPLIT_MULTIPLIER).cast("decimal(12,0)"), F.lit(1 << 32).cast("decimal(12,0)")).cast("long")
     series = windows.select("series_no").distinct().withColumn("h", key)
     ranked = numbered(series, ["h", "series_no"], "rank").withColumn("total", series.agg(F.count("*").alias("total")).scalar())
-    split = _cut(F.col("rank"), F.floor(F.col("total") * train), F.floor(F.col("total") * val))
+    split = _cut(F.col("rank"), _part(F.col("total"), train), _part(F.col("total"), val))
     return windows.join(ranked.select("series_no", split.alias("split")), "series_no")
 
 

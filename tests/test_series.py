@@ -261,3 +261,12 @@ def test_stream_finds_the_batch_edges(spark, tmp_path, kind):
     whole = series.points(spark.createDataFrame(rows, "series_id string, t double, value double"), "series_id", "t", "value")
     want = {(r.series_id, r.src, r.dst) for r in getattr(visibility, kind)(whole).collect()}
     assert {(r.series_id, r.src, r.dst) for r in spark.table(name).collect()} == want
+
+
+def test_shares_are_decimals(spark):
+    """0.7 of 90 is 63, though 90 * 0.7 lies below it in doubles."""
+    df = spark.range(180).selectExpr("concat('s', lpad(cast(id div 2 as string), 2, '0')) as series_id", "id % 2 as idx", "cast(id as double) as value")
+    w = windows.sliding(df, 2, 1)
+    for strategy in ("time", "series"):
+        got = windows.split(w, strategy, 0.7, 0.15).groupBy("split").count().collect()
+        assert {r.split: r["count"] for r in got} == {"train": 63, "val": 13, "test": 14}
