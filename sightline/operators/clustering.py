@@ -12,13 +12,14 @@ def triangles(g: VisibilityGraph) -> DataFrame:
     """series_id, a, b, c with a < b < c: each triangle once.
 
     The two edges that start at a are paired and then looked up; visibility
-    graphs have a few edges for each sample, so pairs stay few.
+    graphs have a few edges for each sample, so pairs stay few. Edges are never broadcast: what
+    is known of their size before they are made is far too low.
     """
     e = g.edges.select("series_id", "src", "dst")
     ab = e.select("series_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     bc = e.select("series_id", F.col("src").alias("b"), F.col("dst").alias("c"))
     ac = e.select("series_id", F.col("src").alias("a"), F.col("dst").alias("c"))
-    return ab.join(bc, ["series_id", "b"]).join(ac, ["series_id", "a", "c"], "left_semi").select("series_id", "a", "b", "c")
+    return ab.join(bc.hint("merge"), ["series_id", "b"]).join(ac.hint("merge"), ["series_id", "a", "c"], "left_semi").select("series_id", "a", "b", "c")
 
 
 def _closed(g: VisibilityGraph) -> DataFrame:

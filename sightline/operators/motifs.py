@@ -13,15 +13,14 @@ depends on nothing but the graph. A series and replica is a row of its own, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import local
 from .clustering import triangles
 from .graph import VisibilityGraph
 
@@ -146,24 +145,34 @@ def swapped(group: np.ndarray, replica: np.ndarray, src: np.ndarray, dst: np.nda
     return src, dst
 
 
+def _copies(g: VisibilityGraph, num_random: int) -> DataFrame:
+    """series_id, replica, src, dst: the edges of each graph as arrays, a row for each replica."""
+    rows = local.arrays(g.edges, "src", "dst")
+    return rows.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_random - 1).cast("long"))).alias("replica"), "src", "dst")
+
+
 def replicas(g: VisibilityGraph, num_random: int, seed: int = 0) -> DataFrame:
     """series_id, replica, src, dst: graphs of the same degrees as ``g``."""
     schema = T.StructType([g.edges.schema["series_id"], T.StructField("replica", T.LongType()), T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = batch.column(2).value_lengths().to_numpy()
-            begin = 0
-            while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(np.cumsum(counts[begin:]), 1 << 18, "right")) + begin)
-                part, group = batch.slice(begin, end - begin), np.repeat(np.arange(end - begin), counts[begin:end])
-                replica = part.column(1).to_numpy()[group]
-                src, dst = swapped(group, replica, *(part.column(c).flatten().to_numpy() for c in (2, 3)), seed=seed)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(group)), pa.array(replica), pa.array(src), pa.array(dst)], names=schema.names)
-                begin = end
+    def run(group, replica, src, dst):
+        yield group, replica[group], *swapped(group, replica[group], src, dst, seed=seed)
+
+    return local.mapped(_copies(g, num_random), schema, run, 1)
+
+
+def _replica_triangles(g: VisibilityGraph, num_random: int, seed: int) -> DataFrame:
+    """series_id, replica, t: triangles of each of ``replicas``, counted where the swaps are made."""
+    schema = T.StructType([g.edges.schema["series_id"], T.StructField("replica", T.LongType()), T.StructField("t", T.LongType())])
+
+    def run(group, replica, src, dst):
+        graph, _, of = local.united(group, *swapped(group, replica[group], src, dst, seed=seed))
+        t = np.zeros(len(replica), np.int64)
+        for e, _, _ in graph.triangles():
+            t += np.bincount(of[graph.node[graph.lo[e]]], minlength=len(t))
+        yield np.arange(len(replica)), replica, t
 
-    arrays = g.edges.groupBy("series_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
-    return arrays.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_random - 1).cast("long"))).alias("replica"), "src", "dst").mapInArrow(run, schema)
+    return local.mapped(_copies(g, num_random), schema, run, 1)
 
 
 def motif_significance(g: VisibilityGraph, num_random: int, seed: int = 0) -> DataFrame:
@@ -171,12 +180,10 @@ def motif_significance(g: VisibilityGraph, num_random: int, seed: int = 0) -> Da
 
     The triples of such graphs differ by their triangles alone.
     """
-    key = F.struct("series_id", "replica")
-    random = replicas(g, num_random, seed).select(key.alias("series_id"), "src", "dst")
-    found = triangles(VisibilityGraph(random.select("series_id", F.col("src").alias("node")), random)).groupBy("series_id").agg(F.count("*").alias("t")).select("series_id.*", "t")
+    found = _replica_triangles(g, num_random, seed)
     sums = found.groupBy("series_id").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.col("t")).alias("tt"))
     own = triangles(g).groupBy("series_id").agg(F.count("*").alias("own"))
-    all_ = g.edges.select("series_id").distinct().join(own, "series_id", "left").join(sums, "series_id", "left").na.fill(0, ["own", "t", "tt"])
+    all_ = g.edges.select("series_id").distinct().join(own.hint("merge"), "series_id", "left").join(sums.hint("merge"), "series_id", "left").na.fill(0, ["own", "t", "tt"])
     mean = F.col("t") / num_random
     # Whole numbers up to the root, so that no variation is exactly 0.
     varied = (num_random * F.col("tt") - F.col("t") * F.col("t")).cast("long")

@@ -403,3 +403,14 @@ def test_both_kinds_in_one_pass(series):
     assert got.keys() == want.keys()
     for name in want:
         assert got[name] == pytest.approx(want[name])
+
+
+def test_significance_sends_no_edges_to_the_driver(graph):
+    """Triangles of the swapped graphs are counted where these are made, and no table of edges is broadcast."""
+    want = {}
+    for r in motifs.replicas(graph, 2, 3).collect():
+        want.setdefault((r.series_id, r.replica), set()).add((r.src, r.dst))
+    got = {(r.series_id, r.replica): r.t for r in motifs._replica_triangles(graph, 2, 3).collect()}
+    assert got == {k: sum((a, c) in e for a, b in e for x, c in e if x == b) for k, e in want.items()} and sum(got.values()) > 20
+    for df in (motifs.motif_significance(graph, 2), clustering.triangles(graph)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
