@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.errors import GraphError
-from sightline.operators import clustering, community, compare, degree, matrix, motifs, paths, trees, visibility
+from sightline.operators import clustering, community, compare, degree, far, matrix, motifs, paths, trees, visibility
 from sightline.operators.graph import VisibilityGraph, of_edges
 from sightline.operators.statistics import graph_statistics, summary
 
@@ -414,3 +414,24 @@ def test_significance_sends_no_edges_to_the_driver(graph):
     assert got == {k: sum((a, c) in e for a, b in e for x, c in e if x == b) for k, e in want.items()} and sum(got.values()) > 20
     for df in (motifs.motif_significance(graph, 2), clustering.triangles(graph)):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_by_spans(spark, series, monkeypatch):
+    """A graph of many spans takes no rounds, however far its nodes are apart; where there are too many gates, rounds find the same."""
+    rng = np.random.default_rng(3)
+    rows = [("chain", i, i + 1) for i in range(90)] + [("any", *sorted(rng.choice(60, 2, False).tolist())) for _ in range(70)] + [("star", 40, i) for i in range(41, 80)]
+    made = of_edges(spark.createDataFrame(rows, "series_id string, src long, dst long").distinct())
+    few = VisibilityGraph.from_series(series[1].filter("series_id in ('S7', 'r1', 'r2', 'ONE')")).natural_visibility().persist()
+    rounds = paths.searches
+    monkeypatch.setattr(far, "SPAN", 7)
+    for own in (made, few):
+        sources = own.nodes.filter("node % 3 <> 1").select("series_id", F.col("node").alias("source"))
+        want = by_series(paths.distances(own).filter("source % 3 <> 1").join(own.nodes.select("series_id", F.col("node").alias("source")), ["series_id", "source"], "left_semi").join(own.nodes.select("series_id", F.col("node").alias("target")), ["series_id", "target"], "left_semi"), "source", "target", "hops")
+        sums = {k: {(s, max(d for x, _, d in v if x == s), sum(x == s for x, _, _ in v) - 1, sum(d for x, _, d in v if x == s)) for s in {x for x, _, _ in v}} for k, v in want.items()}
+        monkeypatch.setattr(paths, "searches", None)
+        monkeypatch.setattr(far, "GATES", 1 << 20)
+        assert by_series(paths.distances_from(own, sources), "source", "target", "hops") == want
+        assert by_series(paths.sums_from(own, sources), "node", "eccentricity", "reached", "hops") == sums
+    monkeypatch.setattr(paths, "searches", rounds)
+    monkeypatch.setattr(far, "GATES", 1)
+    assert by_series(paths.sums_from(few, sources), "node", "eccentricity", "reached", "hops") == sums
