@@ -13,12 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import VisibilityGraph
 
+#: Bytes of numpy files that are handed on together.
+FILES = 8 << 20
+
 
 @dataclass(frozen=True)
 class JsonOptions:
@@ -103,24 +107,39 @@ def to_graphml(g: VisibilityGraph) -> DataFrame:
 
 
 def to_npy(g: VisibilityGraph) -> DataFrame:
-    """series_id, edges, adjacency, degrees: numpy files as binary, one graph for each row."""
-    rows = g.adjacency_rows().groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("row", "entries"))).alias("a"))
+    """series_id, edges, adjacency, degrees: numpy files as binary, one graph for each row.
+
+    Matrices are made from edges, one at a time, and handed on by ``FILES`` bytes.
+    """
     edges = g.edges.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "weight"))).alias("e"))
-    degrees = g.degrees().groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("node", "degree"))).alias("d"))
-    joined = rows.join(edges, "series_id", "left").join(degrees, "series_id").select("series_id", "a.entries", "e", "d.degree")
-    schema = f"series_id {joined.schema['series_id'].dataType.simpleString()}, edges binary, adjacency binary, degrees binary"
+    nodes = g.nodes.groupBy("series_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    joined = nodes.join(edges, "series_id", "left").select("series_id", "nodes", "e.src", "e.dst", "e.weight")
+    schema = T.StructType([joined.schema["series_id"], *(T.StructField(c, T.BinaryType()) for c in ("edges", "adjacency", "degrees"))])
+    directed = g.directed
 
-    def packed(x) -> bytes:
+    def packed(x: np.ndarray) -> bytes:
         out = io.BytesIO()
-        np.save(out, np.asarray(x, dtype=float))
+        np.save(out, x.astype(float, copy=False))
         return out.getvalue()
 
-    def run(batches):
-        for pdf in batches:
-            edge = [packed([[r["src"], r["dst"], r["weight"]] for r in e] if e is not None else np.zeros((0, 3))) for e in pdf["e"]]
-            yield pdf[["series_id"]].assign(edges=edge, adjacency=[packed(np.vstack(list(a))) for a in pdf["entries"]], degrees=[packed(d) for d in pdf["degree"]])
-
-    return joined.mapInPandas(run, schema)
+    def files(nodes, src, dst, weight) -> tuple[bytes, bytes, bytes]:
+        n = len(nodes)
+        matrix, degree = np.zeros((n, n)), np.bincount(np.searchsorted(nodes, src if directed else np.concatenate([src, dst])), minlength=n)
+        kept = dst < n
+        matrix[np.searchsorted(nodes, src[kept]), dst[kept]] = weight[kept]
+        return packed(np.column_stack([src, dst, weight])), packed(matrix), packed(degree)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            held, size, first = [], 0, 0
+            for k in range(batch.num_rows):
+                held.append(files(*(np.zeros(0, np.int64) if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in (batch.column(c)[k] for c in range(1, 5)))))
+                size += sum(map(len, held[-1]))
+                if size > FILES or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), *(pa.array(c, pa.binary()) for c in zip(*held, strict=True))], names=schema.names)
+                    held, size, first = [], 0, k + 1
+
+    return joined.mapInArrow(run, schema)
 
 
 def npy_values(column: str) -> Column:

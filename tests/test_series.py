@@ -270,3 +270,21 @@ def test_shares_are_decimals(spark):
     for strategy in ("time", "series"):
         got = windows.split(w, strategy, 0.7, 0.15).groupBy("split").count().collect()
         assert {r.split: r["count"] for r in got} == {"train": 63, "val": 13, "test": 14}
+
+
+def test_npy_moves_no_matrices(spark):
+    """Matrices are made where the files are: what Spark moves to them are edges, in the order of nodes."""
+    rows = [(k, i, float((i * 7 + k) % 5)) for k in range(3) for i in range(6)] + [(9, 0, 1.0)]
+    g = VisibilityGraph.from_series(spark.createDataFrame(rows, "series_id long, idx long, value double")).natural_visibility()
+    files = sinks.to_npy(g)
+    assert "entries" not in files._jdf.queryExecution().analyzed().toString()
+    edges = {}
+    for e in g.edges.collect():
+        edges.setdefault(e.series_id, []).append((e.src, e.dst, e.weight))
+    for r in files.collect():
+        n, own = (1 if r.series_id == 9 else 6), sorted(edges.get(r.series_id, []))
+        want = np.zeros((n, n))
+        for a, b, w in own:
+            want[a, b] = w
+        assert (np.load(io.BytesIO(r.adjacency)) == want).all() and np.load(io.BytesIO(r.edges)).tolist() == [list(e) for e in own]
+        assert (np.load(io.BytesIO(r.degrees)) == ((want > 0) + (want > 0).T).sum(axis=0)).all()
