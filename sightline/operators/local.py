@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Edges of series that are worked on together; paths of two edges that are formed together; edges up to which a series' graph is left to one task.
-TOGETHER, CELLS, LARGE = 1 << 18, 1 << 20, 1 << 22
+TOGETHER, CELLS, LARGE = 1 << 18, 1 << 20, 1 << 20
 
 
 def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -78,10 +78,11 @@ def cycles4(g: VisibilityGraph) -> DataFrame:
     return ways.groupBy("series_id").agg(F.sum(_choose(F.col("k"), 2)).alias("cycles"))
 
 
-def motifs4(g: VisibilityGraph) -> DataFrame:
-    """series_id, motif, n_edges, count, total of the sets of four nodes of an undirected graph with edges; null where a count is beyond 2^63."""
-    if g.directed:
-        raise ValueError("motifs are counted in undirected graphs")
+PARTS = ("e", "wedges", "stars", "triangles", "paws", "chains", "diamonds", "cycles", "cliques")
+
+
+def _parts_by_joins(g: VisibilityGraph) -> DataFrame:
+    """series_id, n and the counts ``PARTS`` of each graph with edges, for graphs that are too large for a task."""
     t = triangles(g)
     corners = t.select("series_id", F.explode(F.array("a", "b", "c")).alias("node")).groupBy("series_id", "node").agg(F.count("*").alias("t"))
     nodes = g.degrees().join(corners, ["series_id", "node"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
@@ -99,7 +100,59 @@ def motifs4(g: VisibilityGraph) -> DataFrame:
     s = sums.filter("e > 0")
     for part in (chains, diamonds, cycles4(g), cliques):
         s = s.join(part, "series_id", "left")
-    s = s.na.fill(0, ["chains", "diamonds", "cycles", "cliques"])
+    return s.na.fill(0, ["chains", "diamonds", "cycles", "cliques"]).select("series_id", "n", *(_whole(F.col(k)).alias(k) for k in PARTS))
+
+
+def _parts(g: VisibilityGraph) -> DataFrame:
+    """The same in one task for each graph, many of which share a batch. Up to ``local.LARGE`` edges no count is beyond 2^63."""
+    schema = T.StructType([g.edges.schema["series_id"], *(T.StructField(k, T.LongType()) for k in PARTS)])
+
+    def run(group, src, dst):
+        graph, _, of = local.united(group, src, dst)
+        groups = int(group[-1]) + 1
+        out = {k: np.zeros(groups, np.int64) for k in PARTS}
+        by_rank, d = of[graph.node], graph.degree[graph.node]
+
+        def add(k: str, where: np.ndarray, what: np.ndarray | None = None) -> None:
+            np.add.at(out[k], where, 1 if what is None else what)
+
+        corners, on_edge = np.zeros(graph.n, np.int64), np.zeros(len(src), np.int64)
+        for e, f, h in graph.triangles():
+            for x in (graph.lo[e], graph.hi[e], graph.hi[f]):
+                corners += np.bincount(x, minlength=graph.n)
+            for x in (e, f, h):
+                on_edge += np.bincount(x, minlength=len(src))
+            add("triangles", by_rank[graph.lo[e]])
+        add("e", group)
+        add("wedges", by_rank, d * (d - 1) // 2)
+        add("stars", by_rank, d * (d - 1) // 2 * (d - 2) // 3)
+        add("paws", by_rank, corners * (d - 2))
+        add("chains", by_rank[graph.lo], (d[graph.lo] - 1) * (d[graph.hi] - 1))
+        add("diamonds", by_rank[graph.lo], on_edge * (on_edge - 1) // 2)
+        for x, k in graph.cycles():
+            add("cycles", by_rank[x], k * (k - 1) // 2)
+        for x in graph.cliques():
+            add("cliques", by_rank[x])
+        yield np.arange(groups), *out.values()
+
+    found = local.mapped(local.arrays(g.edges, "src", "dst"), schema, run)
+    n = g.nodes.groupBy("series_id").agg(F.count("*").alias("n"))
+    return found.join(n.hint("merge"), "series_id").select("series_id", "n", *(_whole(F.col(k)).alias(k) for k in PARTS))
+
+
+def motifs4(g: VisibilityGraph) -> DataFrame:
+    """series_id, motif, n_edges, count, total of the sets of four nodes of an undirected graph with edges; null where a count is beyond 2^63.
+
+    Graphs of up to ``local.LARGE`` edges are counted in a task each, larger ones by joins.
+    """
+    if g.directed:
+        raise ValueError("motifs are counted in undirected graphs")
+    few, large = local.divided(g.edges)
+    if large is None:
+        s = _parts(g)
+    else:
+        some = lambda ids: VisibilityGraph(g.nodes.join(ids, "series_id", "left_semi"), g.edges.join(ids, "series_id", "left_semi"))
+        s = _parts(some(few)).union(_parts_by_joins(some(large)))
     n, c = F.col("n"), lambda k: _whole(F.col(k))
     ways = [
         _choose(n, 4), c("e") * _choose(n - 2, 2), c("wedges") * _whole(n - 3) + _choose(c("e"), 2) - c("wedges"),

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.errors import GraphError
-from sightline.operators import clustering, community, compare, degree, far, matrix, motifs, paths, trees, visibility
+from sightline.operators import clustering, community, compare, degree, far, local, matrix, motifs, paths, trees, visibility
 from sightline.operators.graph import VisibilityGraph, of_edges
 from sightline.operators.statistics import graph_statistics, summary
 
@@ -435,3 +435,13 @@ def test_searches_by_spans(spark, series, monkeypatch):
     monkeypatch.setattr(paths, "searches", rounds)
     monkeypatch.setattr(far, "GATES", 1)
     assert by_series(paths.sums_from(few, sources), "node", "eccentricity", "reached", "hops") == sums
+
+
+def test_four_nodes_in_a_task_and_by_joins(graph, monkeypatch):
+    """Series share batches of a kernel without a join of edges; those above the limit have the same counts by joins."""
+    found = motifs.motifs4(graph)
+    assert found._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    want = by_series(found, "motif", "count", "total")
+    for limit in (0, 12):
+        monkeypatch.setattr(local, "LARGE", limit)
+        assert by_series(motifs.motifs4(graph), "motif", "count", "total") == want
