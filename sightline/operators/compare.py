@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import stored
+from . import local
 from .clustering import clustering
 from .degree import density
 from .graph import VisibilityGraph
@@ -27,6 +30,35 @@ def compare(a: VisibilityGraph, b: VisibilityGraph) -> DataFrame:
     return corr.join(overlap, "series_id", "left").join(cc, "series_id").join(dd, "series_id").select("series_id", F.coalesce("edge_overlap", F.lit(0.0)).alias("edge_overlap"), "degree_correlation", "clustering_diff", "density_diff")
 
 
+def _nodes_by_joins(e: DataFrame) -> DataFrame:
+    """series_id, x, y, tx, ty of each node: degrees and triangles in all edges and in horizontal ones; for graphs that are too large for a task."""
+    h = F.col("is_horizontal").cast("long")
+    ends = e.select("series_id", F.explode(F.array("src", "dst")).alias("node"), "is_horizontal").groupBy("series_id", "node").agg(F.count("*").alias("x"), F.sum(h).alias("y"))
+    ab, bc, ac = (e.select("series_id", F.col("src").alias(i), F.col("dst").alias(j), F.col("is_horizontal").alias(f"h{i}{j}")) for i, j in ("ab", "bc", "ac"))
+    t = ab.join(bc, ["series_id", "b"]).join(ac, ["series_id", "a", "c"]).select("series_id", F.explode(F.array("a", "b", "c")).alias("node"), (F.col("hab") & F.col("hbc") & F.col("hac")).cast("long").alias("both"))
+    t = t.groupBy("series_id", "node").agg(F.count("*").alias("tx"), F.sum("both").alias("ty"))
+    return ends.join(t, ["series_id", "node"], "left").select("series_id", "x", "y", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tx", "ty")))
+
+
+def _nodes(e: DataFrame) -> DataFrame:
+    """The same in one task for each graph, many of which share a batch."""
+    schema = T.StructType([e.schema["series_id"], *(T.StructField(c, T.LongType()) for c in ("x", "y", "tx", "ty"))])
+
+    def run(group, src, dst, flat):
+        graph, base, of = local.united(group, src, dst)
+        y = np.bincount(np.concatenate([src, dst]) + np.tile(base[group], 2), weights=np.tile(flat, 2), minlength=graph.n).astype(np.int64)
+        tx, ty, flat = np.zeros(graph.n, np.int64), np.zeros(graph.n, np.int64), flat[graph.at]
+        for e, f, g in graph.triangles():
+            both = flat[e] & flat[f] & flat[g]
+            for corner in (graph.lo[e], graph.hi[e], graph.hi[f]):
+                tx += np.bincount(corner, minlength=graph.n)
+                ty += np.bincount(corner[both], minlength=graph.n)
+        kept = graph.degree[graph.node] > 0
+        yield of[graph.node][kept], graph.degree[graph.node][kept], y[graph.node][kept], tx[kept], ty[kept]
+
+    return local.mapped(local.arrays(e, "src", "dst", "is_horizontal"), schema, run)
+
+
 def compare_kinds(series: DataFrame) -> DataFrame:
     """``compare`` of the natural and the horizontal graph of each series, in one pass.
 
@@ -34,13 +66,10 @@ def compare_kinds(series: DataFrame) -> DataFrame:
     over one table of edges.
     """
     e = stored(natural_and_horizontal(series), "kinds")
-    h = F.col("is_horizontal").cast("long")
-    ends = e.select("series_id", F.explode(F.array("src", "dst")).alias("node"), "is_horizontal").groupBy("series_id", "node").agg(F.count("*").alias("x"), F.sum(h).alias("y"))
-    ab, bc, ac = (e.select("series_id", F.col("src").alias(i), F.col("dst").alias(j), F.col("is_horizontal").alias(f"h{i}{j}")) for i, j in ("ab", "bc", "ac"))
-    t = ab.join(bc, ["series_id", "b"]).join(ac, ["series_id", "a", "c"]).select("series_id", F.explode(F.array("a", "b", "c")).alias("node"), (F.col("hab") & F.col("hbc") & F.col("hac")).cast("long").alias("both"))
-    t = t.groupBy("series_id", "node").agg(F.count("*").alias("tx"), F.sum("both").alias("ty"))
+    few, large = local.divided(e)
+    found = _nodes(e) if large is None else _nodes(e.join(few, "series_id", "left_semi")).union(_nodes_by_joins(e.join(large, "series_id", "left_semi")))
     share = lambda t, d: F.when(F.col(d) < 2, 0.0).otherwise(F.try_divide(F.coalesce(t, F.lit(0)), F.col(d) * (F.col(d) - 1) / 2))
-    nodes = ends.join(t, ["series_id", "node"], "left").select("series_id", "x", "y", share("tx", "x").alias("cx"), share("ty", "y").alias("cy"))
+    nodes = found.select("series_id", "x", "y", share("tx", "x").alias("cx"), share("ty", "y").alias("cy"))
     sums = nodes.groupBy("series_id").agg(
         F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("dx"), F.stddev_pop("y").alias("dy"),
         F.avg("cx").alias("cx"), F.avg("cy").alias("cy"),

@@ -445,3 +445,14 @@ def test_four_nodes_in_a_task_and_by_joins(graph, monkeypatch):
     for limit in (0, 12):
         monkeypatch.setattr(local, "LARGE", limit)
         assert by_series(motifs.motifs4(graph), "motif", "count", "total") == want
+
+
+def test_kinds_in_a_task_and_by_joins(spark, series, monkeypatch):
+    """Triangles of both kinds are counted without a join of edges; graphs above the limit have the same figures by joins."""
+    found = compare.compare_kinds(series[1])
+    assert "Join" not in found._jdf.queryExecution().analyzed().toString()
+    rows = lambda df: {r[0]: tuple(None if x is None else round(x, 9) for x in r[1:]) for r in df.collect()}
+    want = rows(found)
+    for limit in (0, 12):
+        monkeypatch.setattr(local, "LARGE", limit)
+        assert rows(compare.compare_kinds(series[1])) == want
