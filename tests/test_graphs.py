@@ -456,3 +456,13 @@ def test_kinds_in_a_task_and_by_joins(spark, series, monkeypatch):
     for limit in (0, 12):
         monkeypatch.setattr(local, "LARGE", limit)
         assert rows(compare.compare_kinds(series[1])) == want
+
+
+def test_clustering_in_a_task_and_by_joins(graph, monkeypatch):
+    """Triangles at nodes are counted without a join of edges; graphs above the limit have the same by joins."""
+    found = clustering._closed(graph)
+    assert "Join" not in found._jdf.queryExecution().analyzed().toString()
+    want = by_series(found, "node", "links")
+    for limit in (0, 12):
+        monkeypatch.setattr(local, "LARGE", limit)
+        assert by_series(clustering._closed(graph), "node", "links") == want
