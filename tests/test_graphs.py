@@ -466,3 +466,20 @@ def test_clustering_in_a_task_and_by_joins(graph, monkeypatch):
     for limit in (0, 12):
         monkeypatch.setattr(local, "LARGE", limit)
         assert by_series(clustering._closed(graph), "node", "links") == want
+
+
+def _tasks_of_pairs(spark, monkeypatch, of):
+    """Same edges as the kernel's, and the most pairs of a task, with series of 300 and of few samples."""
+    monkeypatch.setattr(visibility, "PAIRS", 2000)
+    monkeypatch.setattr(visibility, "SOURCES", 16)
+    rng = np.random.default_rng(2)
+    rows = [(f"s{k}", i, float(x)) for k, n in enumerate([300, *[20] * 60, 1]) for i, x in enumerate(rng.integers(0, 9, n))]
+    series = spark.createDataFrame(rows, "series_id string, idx long, value double")
+    assert {tuple(r) for r in of(series, strategy="sql").collect()} == {tuple(r) for r in of(series, strategy="kernel").collect()}
+    pairs = visibility._pairs(series.select("series_id", "idx", F.col("value").alias("v")))
+    return pairs.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+
+
+def test_horizontal_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    total, most = _tasks_of_pairs(spark, monkeypatch, visibility.horizontal)
+    assert total == 300 * 299 // 2 + 60 * 190 and most < 12_000
