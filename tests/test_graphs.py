@@ -483,3 +483,8 @@ def _tasks_of_pairs(spark, monkeypatch, of):
 def test_horizontal_pairs_of_a_task_are_bounded(spark, monkeypatch):
     total, most = _tasks_of_pairs(spark, monkeypatch, visibility.horizontal)
     assert total == 300 * 299 // 2 + 60 * 190 and most < 12_000
+
+
+def test_natural_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    total, most = _tasks_of_pairs(spark, monkeypatch, visibility.natural)
+    assert total == 300 * 299 // 2 + 60 * 190 and most < 12_000
