@@ -59,3 +59,11 @@ def test_hull_and_tangents():
     assert np.allclose(long_series.tangents(right, y, (hx, hv), True), ((v - y[:, None]) / (x - right[:, None])).min(axis=1))
     flat = long_series.hull(np.arange(10), np.full(10, 3.0))
     assert flat[0].tolist() == [0, 9]
+
+
+def test_edges_of_a_span_leave_together():
+    v = np.random.default_rng(4).integers(1, 51, 8192).astype(float)
+    pieces = list(long_series._edge_pieces(long_series.natural_within(v, 8192)[0], 8192, v))
+    want = np.concatenate([np.stack(p, axis=1) for p in visibility.natural_blocks(v)]) + 8192
+    assert len(pieces) == 1 and {(a, b) for a, b in zip(*(x.tolist() for x in pieces[0][:2]))} == set(map(tuple, want.tolist()))
+    assert (v[pieces[0][0] - 8192] == pieces[0][2]).all() and (v[pieces[0][1] - 8192] == pieces[0][3]).all()

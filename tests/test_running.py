@@ -82,3 +82,13 @@ def test_csv_of_many_files_and_blocks(spark, tmp_path):
     want = [*range(300, 600), *range(300), *range(600, 900)]
     assert [r.t for r in got] == want and [r.idx for r in got] == list(range(900))
     assert [r.value for r in got] == [k if k % 5 else None for k in want]
+
+
+def test_numbers_of_a_table_need_no_window(spark):
+    """Ranges are sorted once, as they are written."""
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("v")).repartition(5)
+    found = numbered(df, ["k"], "n")
+    assert "Window" not in found._jdf.queryExecution().analyzed().toString()
+    assert all(r.n == r.k for r in found.collect()) and found.count() == 1000
+    assert found.schema["n"].dataType.simpleString() == "bigint"
+    assert numbered(df.filter("k < 0"), ["k"], "n").count() == 0
