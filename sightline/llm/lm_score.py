@@ -222,7 +222,7 @@ class Trainer:
         order = np.argsort(rows.astype(np.int16), kind="stable")
         ordered = rows[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        some, total = ordered[first], np.add.reduceat(g[order], first, axis=0)
+        some, total = ordered[first], np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
         moved = q[some] + total * total
         q[some] = moved
         p[some] -= self.rate * total / np.sqrt(moved)
@@ -249,9 +249,9 @@ class Trainer:
         if not len(rows):
             return
         context, places, long, padded = m.contexts(ids, self.end)
-        context, target = context[rows], ids[rows]
+        context, target = np.take(context, rows, axis=0), ids[rows]
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), CLASSES - 1)
-        own_out = m.outputs[target]
+        own_out = np.take(m.outputs, target, axis=0)
         right = np.einsum("ij,ij->i", context, own_out) + m.bias[target] - self.log_noise[target]
         some = m.outputs[noise]
         g_wrong = context @ -some.T
@@ -280,10 +280,14 @@ class Trainer:
 
 COUNTS = T.StructType([T.StructField("h", T.LongType()), T.StructField("b", T.IntegerType()), T.StructField("c", T.LongType())])
 CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("label", T.IntegerType())])
+ENCODED = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType()),
+    T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("inner", T.DoubleType()),
+    T.StructField("rare", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))),
+])
 SCORED = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+    T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
     T.StructField("logs", T.DoubleType()), T.StructField("model_log", T.DoubleType()),
-    T.StructField("rare", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))),
 ])
 
 
@@ -325,23 +329,23 @@ def _most_frequent(counts: DataFrame, types: int) -> list[tuple[int, int, int]]:
     return sorted(own, key=lambda x: (-x[2], x[0]))
 
 
-def _mixed(train: DataFrame, lexicon, start, noise: np.ndarray, end: int, groups: int) -> Model:
-    """The mean, by tokens, of what each group makes of the parameters."""
+def _mixed(train: DataFrame, start, noise: np.ndarray, end: int, groups: int) -> Model:
+    """The mean, by tokens, of what each group makes of the parameters; of ``train`` (h, ids)."""
 
     def run(batches):
-        model, words, n = Model.of(start.value.copy()), lexicon.value, 0
+        model, n = Model.of(start.value.copy()), 0
         trainer = Trainer(model, noise, MIX_RATE, end)
-        for _, found in _slices(batches):
-            for x in found:
-                trainer.text(words.classes[words.encode(*x)[0]].astype(np.int64))
-                n += len(x[0])
+        for batch in batches:
+            for x in batch.column(1):
+                ids = np.frombuffer(x.as_buffer(), np.int16).astype(np.int64)
+                trainer.text(ids)
+                n += len(ids)
         trainer.flush()
         if n:
             sums = np.append(model.flat().astype(np.float64) * n, n)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=SUMS.names)
 
-    key = F.xxhash64("doc_id", "text").alias("h")
-    parts = train.select(key, "text").repartition(groups, "h").sortWithinPartitions("h", "text").mapInArrow(run, SUMS)
+    parts = train.select("h", "ids").repartition(groups, "h").sortWithinPartitions("h", "ids").mapInArrow(run, SUMS)
     found = summed(parts, np.dtype(np.float64))
     return Model.of((found[0][1][:-1] / found[0][1][-1]).astype(np.float32)) if found else Model.of(start.value)
 
@@ -386,32 +390,43 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFram
     some = hashed.select("h").distinct().orderBy("h").limit(WARM_DOCS)
     sample = hashed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text"))
     start = sc.broadcast(fitted(sample.mapInArrow(coded, CODED), warm, WARM_DOCS))
-    final = sc.broadcast(_mixed(train, lexicon, start, noise, end, max(1, -(-total // GROUP_TOKENS))).flat())
     # By code, what a token's own count adds to the probability of its class.
     within = np.where(words.classes < HEAD, 0, words.log_count - np.concatenate([np.zeros(HEAD), np.log10(z)])[words.classes])
     within = sc.broadcast(within)
 
-    def score(batches):
-        model, words, arrow = Model.of(final.value), lexicon.value, to_arrow_schema(SCORED)
-        prepared, pair = model.prepared(), arrow.field("rare").type.value_type
-        for doc_ids, found in _slices(batches):
+    def encode(batches):
+        words, arrow = lexicon.value, to_arrow_schema(ENCODED)
+        pair = arrow.field("rare").type.value_type
+        for keys, found in _slices(batches):
             out, rares, times = [], [], []
-            for i, (h, buckets) in zip(doc_ids, found, strict=True):
+            for key, (h, buckets) in zip(keys, found, strict=True):
                 codes, rare = words.encode(h, buckets)
-                ids = words.classes[codes].astype(np.int64)
-                mine = float(model.log10s(ids, end, prepared).sum() + within.value[codes].sum())
                 rare, n = np.unique(rare.view(np.int64), return_counts=True)
                 rares.append(rare)
                 times.append(n)
-                out.append((i, len(ids), int(words.seen[codes].sum()), float(words.log_count[codes].sum()), mine))
+                out.append((key["doc_id"], key["h"], words.classes[codes].tobytes(), len(codes), int(words.seen[codes].sum()), float(words.log_count[codes].sum()), float(within.value[codes].sum())))
             pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(rares), pa.int64()), pa.array(np.concatenate(times), pa.int32())], fields=list(pair))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rares)]), pa.int32()), pairs).cast(arrow.field("rare").type)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=False)), lists], schema=arrow)
 
-    scored = scratch.keep(docs.mapInArrow(score, SCORED).withColumn("row", F.monotonically_increasing_id()))
-    joined = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.n").join(counts, "h")
+    # Texts become tokens once; training and scoring read the classes of these.
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("h")).alias("key"), "text")
+    encoded = scratch.keep(keyed.mapInArrow(encode, ENCODED).withColumn("row", F.monotonically_increasing_id()))
+    mixed = _mixed(encoded.filter(~held_out(F.col("doc_id"), folds, fold)), start, noise, end, max(1, -(-total // GROUP_TOKENS)))
+    final = sc.broadcast(mixed.flat())
+
+    def score(batches):
+        model = Model.of(final.value)
+        prepared = model.prepared()
+        for batch in batches:
+            logs = [model.log10s(np.frombuffer(x.as_buffer(), np.int16).astype(np.int64), end, prepared).sum() for x in batch.column(6)]
+            logs = pa.array(np.array(logs) + batch.column(5).to_numpy(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], logs], names=SCORED.names)
+
+    scored = scratch.keep(encoded.select("row", "doc_id", "n_tokens", "n_known", "logs", "inner", "ids").mapInArrow(score, SCORED))
+    joined = encoded.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.n").join(counts, "h")
     more = joined.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more"))
-    out = scored.drop("rare").join(more, "row", "left")
+    out = scored.join(more, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),

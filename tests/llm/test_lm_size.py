@@ -20,3 +20,18 @@ def test_codes_are_those_of_a_dictionary():
     codes, rare = lexicon.encode(asked, np.full(len(asked), 7, np.int32))
     assert codes.tolist() == [want.get(h, len(known) + 7) for h in asked.tolist()]
     assert rare.tolist() == [h for h in asked.tolist() if h not in want]
+
+
+def test_training_reads_encoded_texts(spark):
+    """Groups are trained on from classes of tokens, made once, as a plain loop does in the order of hashes."""
+    rng = np.random.default_rng(1)
+    rows = sorted((int(h), rng.integers(0, lm_score.CLASSES, int(n)).astype(np.int16).tobytes()) for h, n in zip(rng.integers(-(1 << 62), 1 << 62, 40), rng.integers(1, 300, 40), strict=True))
+    noise = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
+    start = spark.sparkContext.broadcast(lm_score.Model(np.log(noise)).flat())
+    model = lm_score.Model.of(start.value.copy())
+    trainer = lm_score.Trainer(model, noise, lm_score.MIX_RATE, 0)
+    for _, ids in rows:
+        trainer.text(np.frombuffer(ids, np.int16).astype(np.int64))
+    trainer.flush()
+    found = lm_score._mixed(spark.createDataFrame([(h, bytearray(x)) for h, x in rows], "h long, ids binary").repartition(5), start, noise, 0, 1)
+    assert np.allclose(found.flat(), model.flat(), atol=1e-6)
