@@ -161,3 +161,22 @@ def test_centres_are_always_dealt_out(spark, frame, monkeypatch):
         rng.shuffle(texts)
         assert {r.doc_id for r in near_copies.one_of_each(frame(texts)).collect()} == kept_by_brute_force(texts)
     assert sides == {1}
+
+
+def test_simhash_links_come_first(spark, frame):
+    """Fingerprints are majorities over shingles; what is within their bits meets by them, what is equal in them by a star."""
+    rng = random.Random(25)
+    base = sentence(rng, 3000)
+    texts = [base, edited(rng, base, 1), *(sentence(rng, 80) for _ in range(8))]
+    for items in near_copies.shingles([*texts, ""]):
+        hashes = items.tolist()
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert near_copies.simhash_of(items) % (1 << 64) == want
+    scratch = near_copies.Scratch(spark, "test")
+    rows = scratch.keep(near_copies.shingled(frame(texts)))
+    fps, sims = zip(*((r.fp, r.sim) for r in rows.orderBy("doc_id").collect()), strict=True)
+    want = {frozenset((fps[i], fps[j])) for i in range(10) for j in range(i) if ((sims[i] ^ sims[j]) % (1 << 64)).bit_count() <= simhash.TAU}
+    found = near_copies._near_fingerprints(rows, scratch).collect()
+    assert {frozenset(r) for r in found} == want and frozenset(fps[:2]) in want
+    equal = spark.createDataFrame([(k, 7) for k in range(5)], "fp long, sim long")
+    assert sorted(map(tuple, near_copies._near_fingerprints(equal, scratch).collect())) == [(k, 4) for k in range(4)]
