@@ -158,11 +158,24 @@ def clean_up(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Give memory that is free in this process back to the system, where the C library can (glibc)."""
+    """Give memory that is free in this process back to the system: Arrow's pool, and the C library's where it can (glibc)."""
+    pa.default_memory_pool().release_unused()
     if found := getattr(ctypes.CDLL(None), "malloc_trim", None):
         found(0)
 
 
+def rested(spark: SparkSession) -> None:
+    """Have the driver and the executors collect garbage, between stages of a long job.
+
+    A Java heap grows to its limit with the garbage of large shuffles, and stays there beside the Python workers of the
+    stages that follow; a full collection gives back what it frees, of classes and buffers outside the heap as well.
+    There are as many tasks as cores, so idle executors all have some.
+    """
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over batches; at the end of the task its memory goes back to the system.
 

@@ -2,12 +2,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sightline.llm import bwt_dedup, decontam, near_copies
-from sightline.llm.common import BATCH_BYTES, LEVEL, SUMS, Scratch, summed, trimmed
+from sightline.llm import bwt_dedup, common, decontam, near_copies
+from sightline.llm.common import BATCH_BYTES, LEVEL, SUMS, Scratch, rested, summed, trimmed
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -87,3 +88,36 @@ def test_sums_are_streamed(spark):
     for block, own in found:
         assert own.tolist() == [k * sum(i + block for i in range(n)) for k in range(5)]
     assert summed(spark.range(0).mapInArrow(run, SUMS), np.dtype(np.int64)) == []
+
+
+def _collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_executors_rest(spark):
+    """A full collection by the driver, and one by tasks, which share its process here."""
+    before = _collections(spark)
+    rested(spark)
+    assert _collections(spark) >= before + 2
+
+
+def test_stages_start_from_rest(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "rested", lambda s: calls.append(s))
+    docs = spark.createDataFrame([(i, f"some text {i} " * 30, "s", 0) for i in range(3)], "doc_id long, text string, source string, n_chars long")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert len(calls) == k + 1
+
+
+def test_arrow_memory_goes_back(monkeypatch):
+    """At a task's end, also what Arrow's pool keeps for later buffers."""
+    asked = []
+
+    class Pool:
+        def release_unused(self):
+            asked.append(1)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(trimmed(lambda batches: iter([1]))(iter([]))) == [1] and asked == [1]
