@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -86,17 +86,26 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside hand ``BATCH_BYTES`` at once to Python, since executors and workers hold several batches each."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _with(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries that run inside hand ``BATCH_BYTES`` at once to Python, since executors and workers hold several batches each."""
+    return _with(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def shuffled_once(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries that are made and run inside delete their shuffle files when they end. Else those stay until the driver happens
+    to collect its garbage. Each must be run only once."""
+    return _with(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 class Scratch:
     """Tables of one job in the shared folder: they cut lineage and survive lost executors.
 
@@ -125,6 +134,12 @@ class Scratch:
         for df in dfs:
             _delete(self.spark, df._scratch_path)
 
+    def drop_all(self) -> None:
+        """Delete all tables, once nothing reads any of them."""
+        _delete(self.spark, self.root)
+        if self.root in _roots:
+            _roots.remove(self.root)
+
 
 #: Rows of a table, and bytes of their text, that are broadcast as a whole; a key with more than one in HOT_SHARE rows is hot.
 BROADCAST_ROWS, BROADCAST_BYTES, HOT_SHARE = 100_000, 8 << 20, 1000
@@ -236,6 +251,7 @@ def summed(parts: DataFrame, dtype: np.dtype) -> list[tuple[int, np.ndarray]]:
     Sums are added in two levels, ``LEVEL`` tasks together first, by tasks that read the rows of a
     block one after the other: they hold one sum, and batches of ``BATCH_BYTES``. Rows come in the order
     of the tasks that made them, and so the sums are the same in every run over the same partitions.
+    Shuffle files go with the query: they are as large for a small table as for a large one, and jobs make several sums.
     """
     wide = np.int64 if np.issubdtype(dtype, np.integer) else np.float64
 
@@ -260,7 +276,7 @@ def summed(parts: DataFrame, dtype: np.dtype) -> list[tuple[int, np.ndarray]]:
         return some.repartition("group", "block").sortWithinPartitions("group", "block", "task").select("group", "block", "sums").mapInArrow(trimmed(run), _LEVELS)
 
     first = level(parts.select("block", "sums", F.spark_partition_id().alias("task")), F.floor(F.col("task") / LEVEL))
-    with small_batches(parts.sparkSession):
+    with small_batches(parts.sparkSession), shuffled_once(parts.sparkSession):
         found = level(first.withColumnRenamed("group", "task"), F.lit(0)).select("block", "sums").collect()
     return [(r["block"], np.frombuffer(r["sums"], dtype)) for r in sorted(found, key=lambda r: r["block"])]
 
