@@ -13,6 +13,7 @@ from sightline.errors import GraphError
 from sightline.operators import clustering, community, compare, degree, far, local, matrix, motifs, paths, trees, visibility
 from sightline.operators.graph import VisibilityGraph, of_edges
 from sightline.operators.statistics import graph_statistics, summary
+from sightline.sources.series import points
 
 from . import oracle
 
@@ -437,6 +438,38 @@ def test_searches_by_spans(spark, series, monkeypatch):
     assert by_series(paths.sums_from(few, sources), "node", "eccentricity", "reached", "hops") == sums
 
 
+def test_searches_leave_tables_that_follow_the_input(spark, tmp_path, monkeypatch):
+    """Four times the nodes and sources leave about four times the bytes of hops in tables; those of sources may go in parts, and like hops lie side by side in files."""
+    monkeypatch.setattr(far, "SPAN", 16)
+    real, left = far.stored, []
+    for n, part in ((200, 1 << 23), (800, 1 << 23), (60, 40)):
+        monkeypatch.setattr(far, "PART", part, raising=False)
+        g = of_edges(spark.range(n - 1).selectExpr("'s' series_id", "id src", "id + 1 dst"))
+        sources = spark.range(0, n, 2).selectExpr("'s' series_id", "id source")
+        left.append(0)
+
+        def stored(df, name="table"):
+            out = real(df, name)
+            hops = [F.sum(F.octet_length(c)) for c, kind in out.dtypes if kind == "binary"]
+            left[-1] += sum(out.agg(*hops).first()) if hops else 0
+            return out
+
+        monkeypatch.setattr(far, "stored", stored)
+        found = paths.distances_from(g, sources)
+        bad = found.agg(F.count("*"), F.count_distinct("source", "target"), F.sum(F.expr("int(hops <> abs(source - target))"))).first()
+        assert tuple(bad) == (n * n // 2, n * n // 2, 0)
+        if n < 200:
+            sums = {(r.node, r.eccentricity, r.reached) for r in paths.sums_from(g, sources).collect()}
+            assert sums == {(s, max(s, n - 1 - s), n - 1) for s in range(0, n, 2)}
+    assert left[1] < 6 * left[0]
+    monkeypatch.undo()
+    v = np.random.default_rng(5).random(12_000)
+    one = VisibilityGraph.from_series(points(spark.createDataFrame(list(enumerate(v.tolist())), "t long, v double"), None, "t", "v")).natural_visibility()
+    sources = one.nodes.filter("node % 10 = 0").select("series_id", F.col("node").alias("source"))
+    paths.distances_from(one, sources).drop("series_id").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 14_400_000 > 2 * sum(f.stat().st_size for f in (tmp_path / "pairs").iterdir())
+
+
 def test_four_nodes_in_a_task_and_by_joins(graph, monkeypatch):
     """Series share batches of a kernel without a join of edges; those above the limit have the same counts by joins."""
     found = motifs.motifs4(graph)
